@@ -37,20 +37,32 @@ def _naive(value: Instant) -> str:
 LEVEL_OF_TYPE = {"error": "error", "purchase": "warn", "signup": "info", "click": "info", "view": "debug"}
 
 
-def logs_from(events: DataFrame) -> DataFrame:
+def level_of(event_type: Column) -> Column:
     level = F.lit(None).cast("string")
     for kind, name in LEVEL_OF_TYPE.items():
-        level = F.when(F.col("event_type") == kind, name).otherwise(level)
+        level = F.when(event_type == kind, name).otherwise(level)
+    return level
+
+
+def service_of(user_id: Column) -> Column:
+    return F.concat(F.lit("svc-"), F.pmod(user_id, F.lit(8)).cast("string"))
+
+
+def message_of(event_type: Column, user_id: Column) -> Column:
+    return F.concat(event_type, F.lit(" by user_"), user_id.cast("string"), F.lit(" 100% done"))
+
+
+def logs_from(events: DataFrame, *extra: str) -> DataFrame:
+    """``events`` rows as log rows; ``extra`` names event columns to keep besides."""
     return events.select(
         hex_id(F.col("event_id")).alias("id"),
         instants.from_millis(instants.naive_millis(F.col("ts"))).alias("timestamp"),
-        level.alias("level"),
-        F.concat(F.lit("svc-"), F.pmod("user_id", F.lit(8)).cast("string")).alias("service"),
-        F.concat(
-            F.col("event_type"), F.lit(" by user_"), F.col("user_id").cast("string"), F.lit(" 100% done")
-        ).alias("message"),
+        level_of(F.col("event_type")).alias("level"),
+        service_of(F.col("user_id")).alias("service"),
+        message_of(F.col("event_type"), F.col("user_id")).alias("message"),
         F.col("props").alias("attributes"),
         F.from_json("props", "map<string,string>").alias("attr"),
+        *extra,
     )
 
 
@@ -84,3 +96,60 @@ def orders_view(
         F.lit("{}").alias("attributes"),
         F.create_map().cast("map<string,string>").alias("attr"),
     )
+
+
+# Fixed value: the clock of the derived batches, after every event.
+BATCH_CLOCK = "2024-02-01T00:00:00.000Z"
+BATCH_SIZE = 5
+DEFECTS = 20
+
+
+def envelopes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` packed five to a batch, with a defect chosen by the event number.
+
+    0 unknown level, 1 no service, 2 extra field, 3 wrong instant notation, 4 nested attribute,
+    5 empty message, 6 instant far ahead, otherwise valid.
+    """
+    logs = logs_from(table(spark, sf_dir, "events"), "event_id", "value")
+    defect = F.pmod("event_id", F.lit(DEFECTS))
+
+    def member(name: str, text: Column, unless: Column | None = None) -> Column:
+        quoted = F.concat(F.lit(f'"{name}":'), F.to_json(text.cast("variant")))
+        return quoted if unless is None else F.when(~unless, quoted)
+
+    at = instants.wire_timestamp(F.col("timestamp"))
+    instant = (
+        F.when(defect == 3, F.replace(at, F.lit("T"), F.lit(" ")))
+        .when(defect == 6, "9999-01-01T00:00:00Z").otherwise(at)
+    )
+    bag = F.when(defect == 4, F.lit('{"nested":{"no":true}}')).otherwise(
+        F.concat(F.lit('{"v":'), F.col("value").cast("string"), F.lit(',"ok":true,"k":'),
+                 F.element_at("attr", F.lit("k")), F.lit("}"))
+    )
+    entry = F.concat(
+        F.lit("{"),
+        F.concat_ws(
+            ",",
+            member("timestamp", instant),
+            member("level", F.when(defect == 0, "critical").otherwise(F.col("level"))),
+            member("service", F.col("service"), defect == 1),
+            member("message", F.when(defect == 5, "").otherwise(F.col("message"))),
+            F.concat(F.lit('"attributes":'), bag),
+            F.when(defect == 2, F.lit('"extra":1')),
+        ),
+        F.lit("}"),
+    )
+    rows = logs.select(
+        F.floor(F.col("event_id") / BATCH_SIZE).cast("string").alias("batch_id"),
+        F.struct(F.col("event_id"), entry.alias("entry")).alias("e"),
+    )
+    bodies = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+    return bodies.select(
+        "batch_id",
+        instants.instant_lit(BATCH_CLOCK).alias("received_at"),
+        F.concat(
+            F.lit('{"logs":['),
+            F.array_join(F.transform("entries", lambda e: e["entry"]), ","),
+            F.lit("]}"),
+        ).alias("body"),
+    )

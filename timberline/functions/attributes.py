@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCALAR_KINDS = r"^(STRING|BOOLEAN|BIGINT|DECIMAL|DOUBLE|FLOAT)"
-NUMBER_KINDS = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+# Numbers a double holds unchanged and whose text is already in final form.
+_FINAL_NUMBER = r"\A-?(0|[1-9][0-9]{0,14}|[0-9]{1,7}\.[0-9]{1,6})\z"
+_PLAIN_KEY = r"\A[A-Za-z0-9_.:/-]*\z"
+_INFINITE = ('"Infinity"', '"-Infinity"')
 
 
 def kind(value: Column) -> Column:
@@ -18,21 +22,30 @@ def object_fields(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _shortest(x: Column) -> Column:
     """Scientific notation with the fewest digits that still reads back as the same double."""
-    candidates = [F.format_string(f"%.{digits}e", x) for digits in (14, 15, 16)]
-    return F.coalesce(
-        *[F.when(text.try_cast("double") == x, text) for text in candidates[:-1]],
-        candidates[-1],
-    )
+    def narrow(longest: Column) -> Column:
+        shorter = [F.format_string(f"%.{digits}e", x) for digits in (14, 15)]
+        return F.coalesce(*[F.when(text.try_cast("double") == x, text) for text in shorter], longest)
 
+    return _let(F.format_string("%.16e", x), narrow)
 
-def _layout(x: Column) -> tuple[Column, Column, Column]:
-    """Sign, significant digits and the position of the decimal point of a non-zero double."""
-    parts = F.split(_shortest(F.abs(x)), "e")
-    digits = F.rtrim(F.replace(parts[0], F.lit("."), F.lit("")), F.lit("0"))
-    point = parts[1].try_cast("int") + 1
-    return F.when(x < 0, "-").otherwise(""), digits, point
+
+def _with_layout(x: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """Give ``body`` the sign, significant digits and decimal point position of a non-zero double."""
+    def cut(parts: Column) -> Column:
+        digits = F.rtrim(F.replace(parts[0], F.lit("."), F.lit("")), F.lit("0"))
+        return F.struct(digits.alias("digits"), (parts[1].try_cast("int") + 1).alias("point"))
+
+    sign = F.when(x < 0, "-").otherwise("")
+    return _let(
+        _let(F.split(_shortest(F.abs(x)), "e"), cut), lambda n: body(sign, n["digits"], n["point"])
+    )
 
 
 def _plain(sign: Column, digits: Column, point: Column) -> Column:
@@ -44,79 +57,90 @@ def _plain(sign: Column, digits: Column, point: Column) -> Column:
     return F.concat(sign, text)
 
 
-def number_plain(x: Column) -> Column:
-    """Decimal text without exponent: the form attribute filters compare with."""
-    exact = (x == F.floor(x)) & (F.abs(x) < 9_007_199_254_740_992)
-    return F.when(exact, x.cast("bigint").cast("string")).otherwise(_plain(*_layout(x)))
-
-
-def number_json(x: Column) -> Column:
-    """JSON text of a double: exponent form from 1e21 up and below 1e-6."""
-    sign, digits, point = _layout(x)
+def _scientific(sign: Column, digits: Column, point: Column) -> Column:
     mantissa = F.when(
         F.length(digits) > 1,
         F.concat(F.left(digits, F.lit(1)), F.lit("."), digits.substr(F.lit(2), F.length(digits))),
     ).otherwise(digits)
     exponent = point - 1
-    scientific = F.concat(
-        sign, mantissa, F.lit("e"),
-        F.when(exponent >= 0, "+").otherwise("-"), F.abs(exponent).cast("string"),
+    return F.concat(
+        sign, mantissa, F.lit("e"), F.when(exponent >= 0, "+").otherwise("-"), F.abs(exponent).cast("string")
     )
-    return F.when(
-        (x != 0) & ((F.abs(x) >= 1e21) | (F.abs(x) < 1e-6)), scientific
-    ).otherwise(number_plain(x))
 
 
-def _short_decimal(value: Column) -> Column:
-    """Text of an integer or decimal with at most 15 digits, which a double holds unchanged."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(text.rlike(r"^-?\d{1,15}$") | text.rlike(r"^-?\d{1,7}\.\d{1,6}$"), text)
-
-
-def scalar_plain(value: Column) -> Column:
-    """Comparison text of one scalar VARIANT."""
-    number = F.coalesce(_short_decimal(value), number_plain(F.try_variant_get(value, "$", "double")))
-    return F.when(kind(value).rlike(NUMBER_KINDS), number).otherwise(
-        F.try_variant_get(value, "$", "string")
-    )
-
-
-def scalar_json(value: Column) -> Column:
-    """JSON text of one scalar VARIANT."""
-    number = F.coalesce(_short_decimal(value), number_json(F.try_variant_get(value, "$", "double")))
-    return F.when(kind(value).rlike(NUMBER_KINDS), number).otherwise(F.to_json(value))
+def number_texts(x: Column) -> Column:
+    """``(json, plain)`` of a double: JSON text has an exponent from 1e21 up and below 1e-6, plain text,
+    which attribute filters compare with, never has."""
+    def both(sign: Column, digits: Column, point: Column) -> Column:
+        return _let(
+            _plain(sign, digits, point),
+            lambda plain: F.struct(
+                F.when((F.abs(x) >= 1e21) | (F.abs(x) < 1e-6), _scientific(sign, digits, point))
+                .otherwise(plain).alias("json"),
+                plain.alias("plain"),
+            ),
+        )
 
+    zero = F.struct(F.lit("0").alias("json"), F.lit("0").alias("plain"))
+    return F.when(x == 0, zero).otherwise(_with_layout(x, both))
+
+
+def _texts(value: Column) -> Column:
+    """``(json, plain)`` of one VARIANT; ``json`` is NULL unless it is a string, boolean or finite number."""
+    def by_text(json: Column) -> Column:
+        first = json.substr(1, 1)
+        same = F.struct(json.alias("json"), json.alias("plain"))
+        none = F.struct(F.lit(None).cast("string").alias("json"), F.lit(None).cast("string").alias("plain"))
+        infinite = json.isin(*_INFINITE) & (kind(value) == "DOUBLE")
+        text = F.struct(json.alias("json"), F.try_variant_get(value, "$", "string").alias("plain"))
+        return (
+            F.when(first == '"', F.when(infinite, none).otherwise(text))
+            .when(first.isin("t", "f"), same)
+            .when(first.isin("{", "[", "n"), none)
+            .when(json.rlike(_FINAL_NUMBER), same)
+            .otherwise(_let(json.try_cast("double"), number_texts))
+        )
 
-def quoted(text: Column) -> Column:
-    return F.to_json(text.cast("variant"))
+    return _let(F.to_json(value), by_text)
 
 
-def ordered_entries(fields: Column, render) -> Column:
-    """``(bytes, key, text)`` per attribute, short keys first, then by key bytes."""
+def attribute_entries(fields: Column) -> Column:
+    """``(bytes, key, text(json, plain))`` per attribute, short keys first, then by key bytes."""
     return F.array_sort(
         F.transform(
             F.map_entries(fields),
             lambda e: F.struct(
-                F.octet_length(e["key"]).alias("bytes"),
-                e["key"].alias("key"),
-                render(e["value"]).alias("text"),
+                F.octet_length(e["key"]).alias("bytes"), e["key"].alias("key"), _texts(e["value"]).alias("text")
             ),
         )
     )
 
 
-def attributes_json(fields: Column) -> Column:
-    """Compact JSON text of a flat attribute object."""
-    members = F.transform(
-        ordered_entries(fields, scalar_json),
-        lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["text"]),
+def quoted(text: Column) -> Column:
+    return F.when(text.rlike(_PLAIN_KEY), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
+        F.to_json(text.cast("variant"))
     )
+
+
+def attributes_json(entries: Column) -> Column:
+    """Compact JSON text of a flat attribute object."""
+    members = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["text"]["json"]))
     return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
 
 
-def attributes_map(fields: Column) -> Column:
+def attributes_map(entries: Column) -> Column:
     """Comparison map: every value as text."""
-    return F.transform_values(fields, lambda _, v: scalar_plain(v))
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["text"]["plain"])))
+
+
+def scalar_plain(value: Column) -> Column:
+    """Comparison text of one scalar VARIANT."""
+    return _texts(value)["plain"]
+
+
+def scalar_json(value: Column) -> Column:
+    """JSON text of one scalar VARIANT."""
+    return _texts(value)["json"]
 
 
 def preview(attr: Column) -> tuple[Column, Column]:

@@ -72,18 +72,13 @@ def check_text(name: str, value: Column, text: Column, max_chars: int) -> Column
     )
 
 
-def check_attributes(present: Column, bag: Column) -> Column:
-    """``bag`` is the attribute object as a map, NULL when it is not an object."""
-    def scalar(v: Column) -> Column:
-        number = F.try_variant_get(v, "$", "double")
-        finite = ~A.kind(v).rlike(A.NUMBER_KINDS) | (F.abs(number) < float("inf"))
-        return A.kind(v).rlike(A.SCALAR_KINDS) & finite & ~F.contains(
-            F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")), F.lit(NUL)
-        )
-
-    flat = F.forall(F.map_values(bag), scalar) & F.forall(
-        F.map_keys(bag),
-        lambda k: (F.length(k) >= 1) & (F.length(k) <= MAX_ATTRIBUTE_KEY_CHARS) & ~F.contains(k, F.lit(NUL)),
+def check_attributes(present: Column, entries: Column) -> Column:
+    """``entries`` are those of the attribute object, NULL when it is not an object."""
+    flat = F.forall(
+        entries,
+        lambda e: e["text"]["json"].isNotNull()
+        & (e["bytes"] >= 1) & (F.length(e["key"]) <= MAX_ATTRIBUTE_KEY_CHARS)
+        & ~F.contains(e["key"], F.lit(NUL)) & ~F.contains(e["text"]["plain"], F.lit(NUL)),
     )
     return F.when(present & ~F.coalesce(flat, F.lit(False)), F.lit(BAD_ATTRIBUTES))
 
@@ -115,7 +110,7 @@ def validate_entries(entries: DataFrame) -> DataFrame:
     staged = staged.select(
         "*",
         *[F.try_variant_get(f"_{n}", "$", "string").alias(f"_{n}_text") for n in ("timestamp", "service", "message")],
-        A.object_fields(F.col("_attributes")).alias("_bag"),
+        A.attribute_entries(A.object_fields(F.col("_attributes"))).alias("_bag"),
     )
     staged = staged.withColumn(
         "_shape",

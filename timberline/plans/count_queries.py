@@ -226,7 +226,7 @@ def attribute_preview(spark, sf):
 # One report request per event; the event number decides which range it asks for.
 @query(f"""
 WITH e AS (
-  SELECT event_id, event_id % 9 AS n, epoch_ms(ts) AS ms FROM events
+  SELECT event_id, event_id % 9 AS n, epoch_ms(date_trunc('millisecond', ts)) AS ms FROM events
 ), r AS (
   SELECT event_id, n, CASE WHEN n IN (6, 7) THEN ms ELSE epoch_ms(TIMESTAMP '2024-02-01') -
            CASE n WHEN 0 THEN 900000 WHEN 1 THEN 3600000 WHEN 2 THEN 21600000 WHEN 3 THEN 86400000

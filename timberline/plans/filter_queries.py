@@ -124,7 +124,7 @@ def saved_filter_texts(spark, sf):
 
 @query(f"""
 WITH f AS (
-  SELECT event_id, event_id % 16 AS n, epoch_ms(ts) AS ms FROM events
+  SELECT event_id, event_id % 16 AS n, epoch_ms(date_trunc('millisecond', ts)) AS ms FROM events
 ), judged AS (
   SELECT *, CASE n
       WHEN 1 THEN 'invalid level'

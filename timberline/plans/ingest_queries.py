@@ -256,7 +256,8 @@ SELECT {bucket('1 hour')} AS start, service AS "group", count(*) AS "count" FROM
 def stream_counts_equals_batch(spark, sf):
     """Live counts written per micro-batch; the latest value of a window is its largest."""
     views.configure(spark)
-    path = f"{sf}/events.parquet"
+    # As a glob, because a stream accepts a folder or a pattern but not the name of one file.
+    path = f"{sf}/events.parque[t]"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     out, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "checkpoint")
 

@@ -19,12 +19,18 @@ RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Settings that only count when the session is created.
+STATIC_CONF = {
+    # Recording a Python call site for every column expression dominates the cost of building them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def build(app: str = "timberline", master: str | None = None, conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **(conf or {})}.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

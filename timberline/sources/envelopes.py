@@ -77,10 +77,14 @@ def explode_entries(checked: DataFrame) -> DataFrame:
     its outcome is known without reading the bodies a second time.
 
     VARIANT keeps object keys sorted. Which unknown field comes first in the text only matters for an
-    entry with more than one of them, so the texts are read again just for such batches and only the
-    key list travels on.
+    entry with more than one of them, that is with more than five fields besides the attributes; the
+    texts are read again just for such batches and only the key list travels on.
     """
-    crowded = F.exists("entries", lambda e: F.coalesce(F.size(F.map_keys(object_fields(e))), F.lit(0)) > 5)
+    names = F.transform("entries", lambda e: F.map_keys(object_fields(e)))
+    crowded = F.exists(
+        names,
+        lambda k: F.coalesce(F.size(k) - F.when(F.array_contains(k, "attributes"), 1).otherwise(0), F.lit(0)) > 5,
+    )
     texts = F.from_json(F.get_json_object("body", "$.logs"), "array<string>")
     keys = F.when(crowded, F.transform(texts, lambda t: F.json_object_keys(t)))
     exploded = checked.select(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Numbers a double holds unchanged and whose text is already in final form.
 _FINAL_NUMBER = r"\A-?(0|[1-9][0-9]{0,14}|[0-9]{1,7}\.[0-9]{1,6})\z"
 _PLAIN_KEY = r"\A[A-Za-z0-9_.:/-]*\z"
+# A number directly behind a key that is longer than that, or has an exponent.
+_UNSETTLED = r'":-?([0-9]{16,}|[0-9]{8,}\.|[0-9]*\.[0-9]{7,}|[0-9.]+[eE])|\\u0000'
 _INFINITE = ('"Infinity"', '"-Infinity"')
 
 
@@ -105,17 +107,25 @@ def _texts(value: Column) -> Column:
 
 
 def attribute_entries(fields: Column) -> Column:
-    """``(bytes, key, text(json, plain))`` per attribute, short keys first, then by key bytes."""
+    """``(key, text(json, plain))`` per attribute, by key."""
     return F.array_sort(
         F.transform(
             F.map_entries(fields),
-            lambda e: F.struct(
-                F.octet_length(e["key"]).alias("bytes"), e["key"].alias("key"), _texts(e["value"]).alias("text")
-            ),
+            lambda e: F.struct(e["key"].alias("key"), _texts(e["value"]).alias("text")),
         )
     )
 
 
+def needs_rewriting(json: Column) -> Column:
+    """Whether the JSON text of a flat object may hold a number that is not in final form, or a NUL."""
+    return json.rlike(_UNSETTLED)
+
+
+def settled_map(json: Column) -> Column:
+    """Comparison map of a flat object whose numbers are all in final form."""
+    return F.from_json(json, "map<string,string>")
+
+
 def quoted(text: Column) -> Column:
     return F.when(text.rlike(_PLAIN_KEY), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
         F.to_json(text.cast("variant"))
@@ -134,15 +144,10 @@ def attributes_map(entries: Column) -> Column:
 
 
 def scalar_plain(value: Column) -> Column:
-    """Comparison text of one scalar VARIANT."""
+    """Comparison text of one scalar VARIANT, NULL for JSON null, arrays and objects."""
     return _texts(value)["plain"]
 
 
-def scalar_json(value: Column) -> Column:
-    """JSON text of one scalar VARIANT."""
-    return _texts(value)["json"]
-
-
 def preview(attr: Column) -> tuple[Column, Column]:
     """``key=value`` of the first attribute in stored order and the number of the others."""
     first = F.array_min(

@@ -44,28 +44,31 @@ def check_unknown_fields(fields: Column, key_order: Column) -> Column:
 
 def _shown(value: Column) -> Column:
     """How a level of the wrong value or type appears inside its message."""
-    def simple(v: Column) -> Column:
-        return F.when(F.startswith(A.kind(v), F.lit("OBJECT")), "[object Object]").otherwise(A.scalar_plain(v))
-
-    items = F.transform(
-        F.try_variant_get(value, "$", "array<variant>"), lambda v: F.coalesce(simple(v), F.lit(""))
-    )
-    return (
-        F.when(F.is_variant_null(value), "null")
-        .when(F.startswith(A.kind(value), F.lit("ARRAY")), F.array_join(items, ","))
-        .otherwise(simple(value))
+    items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+    texts = F.transform(
+        items,
+        lambda v: F.when(F.startswith(A.kind(v), F.lit("OBJECT")), "[object Object]").otherwise(
+            F.coalesce(A.scalar_plain(v), F.lit(""))
+        ),
     )
+    return F.when(F.is_variant_null(value), "null").otherwise(F.array_join(texts, ","))
 
 
-def check_level(level: Column) -> Column:
-    text = F.try_variant_get(level, "$", "string")
-    known = (A.kind(level) == "STRING") & text.isin(*LEVELS)
-    return F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("invalid level: '"), _shown(level), F.lit("'")))
+def is_text(value: Column) -> Column:
+    return F.coalesce(A.kind(value) == "STRING", F.lit(False))
 
 
-def check_text(name: str, value: Column, text: Column, max_chars: int) -> Column:
+def check_level(text: Column, value: Column, regular: Column) -> Column:
+    """``value`` is the field as VARIANT, read only for an irregular entry."""
+    known = F.coalesce(text.isin(*LEVELS), F.lit(False)) & (regular | is_text(value))
+    return F.when(
+        ~known, F.concat(F.lit("invalid level: '"), F.when(regular, text).otherwise(_shown(value)), F.lit("'"))
+    )
+
+
+def check_text(name: str, text: Column, value: Column, regular: Column, max_chars: int) -> Column:
     return (
-        F.when(A.kind(value) != "STRING", F.lit(f"{name} has an invalid type"))
+        F.when(~(regular | is_text(value)), F.lit(f"{name} has an invalid type"))
         .when(text == "", F.lit(f"{name} must not be empty"))
         .when(F.length(text) > max_chars, F.lit(f"{name} is too long"))
         .when(F.contains(text, F.lit(NUL)), F.lit(f"{name} contains a NUL character"))
@@ -77,7 +80,7 @@ def check_attributes(present: Column, entries: Column) -> Column:
     flat = F.forall(
         entries,
         lambda e: e["text"]["json"].isNotNull()
-        & (e["bytes"] >= 1) & (F.length(e["key"]) <= MAX_ATTRIBUTE_KEY_CHARS)
+        & F.length(e["key"]).between(1, MAX_ATTRIBUTE_KEY_CHARS)
         & ~F.contains(e["key"], F.lit(NUL)) & ~F.contains(e["text"]["plain"], F.lit(NUL)),
     )
     return F.when(present & ~F.coalesce(flat, F.lit(False)), F.lit(BAD_ATTRIBUTES))
@@ -95,66 +98,80 @@ def validate_entries(entries: DataFrame) -> DataFrame:
     """``batch_id, received_at, envelope_error, idx, reason`` and the normalised log columns.
 
     The log columns are NULL when the entry is refused, and on the one row of a batch without entries
-    (NULL ``idx``, NULL ``reason``).
+    (NULL ``idx``, NULL ``reason``). ``received_at`` is the one clock of a batch: it bounds the future
+    check and stamps the ids.
 
-    ``received_at`` is the one clock of a batch: it bounds the future check and stamps the ids.
-    Columns are built in stages so that each is computed once.
+    Columns are built in stages so that each is computed once. Regular entries skip the checks of
+    fields and types; attributes are rewritten only where a number may need it.
     """
     entries.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    fields = F.col("_fields")
-    staged = entries.withColumn("_fields", A.object_fields(F.col("entry")))
-    staged = staged.select(
-        "batch_id", "received_at", "envelope_error", "idx", "key_order", "_fields",
-        *[F.try_element_at(fields, F.lit(name)).alias(f"_{name}") for name in ENTRY_FIELDS],
-    )
-    staged = staged.select(
-        "*",
-        *[F.try_variant_get(f"_{n}", "$", "string").alias(f"_{n}_text") for n in ("timestamp", "service", "message")],
-        A.attribute_entries(A.object_fields(F.col("_attributes"))).alias("_bag"),
+    here, regular = F.col("idx").isNotNull(), F.col("regular")
+    passed = ("batch_id", "received_at", "envelope_error", "idx")
+    texts = ("timestamp", "level", "service", "message")
+
+    staged = entries.select(
+        *passed, "regular", "key_order",
+        F.when(~regular, A.object_fields(F.col("entry"))).alias("_fields"),
+        F.try_variant_get("entry", "$.attributes", "variant").alias("_attributes"),
+        *[F.try_variant_get("entry", f"$.{n}", "string").alias(f"_{n}") for n in texts],
+    ).withColumn("_json", F.to_json("_attributes"))
+    rewrite = ~regular | A.needs_rewriting(F.col("_json"))
+    staged = staged.withColumn(
+        "_bag", F.when(rewrite, A.attribute_entries(A.object_fields(F.col("_attributes"))))
     )
+
+    def field(name: str) -> Column:
+        return F.try_element_at("_fields", F.lit(name))
+
     staged = staged.withColumn(
         "_shape",
-        F.when(F.col("idx").isNotNull(), F.coalesce(
-            check_required(fields),
-            check_unknown_fields(fields, F.col("key_order")),
-            F.when(A.kind(F.col("_timestamp")) != "STRING", F.lit("timestamp has an invalid type")),
-            check_level(F.col("_level")),
-            check_text("service", F.col("_service"), F.col("_service_text"), MAX_SERVICE_CHARS),
-            check_text("message", F.col("_message"), F.col("_message_text"), MAX_MESSAGE_CHARS),
-            check_attributes(F.col("_attributes").isNotNull(), F.col("_bag")),
+        F.when(here, F.coalesce(
+            F.when(~regular, F.coalesce(
+                check_required(F.col("_fields")),
+                check_unknown_fields(F.col("_fields"), F.col("key_order")),
+                F.when(~is_text(field("timestamp")), F.lit("timestamp has an invalid type")),
+            )),
+            check_level(F.col("_level"), field("level"), regular),
+            check_text("service", F.col("_service"), field("service"), regular, MAX_SERVICE_CHARS),
+            check_text("message", F.col("_message"), field("message"), regular, MAX_MESSAGE_CHARS),
+            F.when(rewrite, check_attributes(F.col("_attributes").isNotNull(), F.col("_bag"))),
         )),
     )
-    sound = F.col("idx").isNotNull() & F.col("_shape").isNull()
+    sound = here & F.col("_shape").isNull()
     staged = staged.select(
-        "*",
-        F.when(sound, instants.instant_millis(F.col("_timestamp_text"))).alias("_ms"),
-        F.when(sound, F.coalesce(A.attributes_json(F.col("_bag")), F.lit("{}"))).alias("_attributes_json"),
+        *passed, "_level", "_service", "_message", "_shape", "_bag", "_json",
+        F.when(sound, instants.instant_millis(F.col("_timestamp"))).alias("_ms"),
+        F.when(
+            sound, F.coalesce(A.attributes_json(F.col("_bag")), F.col("_json"), F.lit("{}"))
+        ).alias("_attributes_json"),
     )
-    reason = F.when(F.col("idx").isNotNull(), F.coalesce(
+    reason = F.when(here, F.coalesce(
         F.col("_shape"),
         F.when(F.col("_ms").isNull(), F.lit(BAD_INSTANT)),
         check_future(F.col("_ms"), instants.millis(F.col("received_at"))),
         check_attr_bytes(F.col("_attributes_json")),
     ))
-    staged = staged.withColumn("reason", reason)
-    kept = F.col("idx").isNotNull() & F.col("reason").isNull()
+    staged = staged.withColumn("reason", reason).withColumn("_kept", here & F.col("reason").isNull())
     empty = F.create_map().cast("map<string,string>")
-    return staged.select(
-        "batch_id",
-        "received_at",
-        "envelope_error",
-        "idx",
-        "reason",
-        F.when(
-            kept, ids.time_ordered_id(instants.millis(F.col("received_at")), F.col("batch_id"), F.col("idx"))
-        ).alias("id"),
-        F.when(kept, instants.from_millis(F.col("_ms"))).alias("timestamp"),
-        F.when(kept, F.try_variant_get("_level", "$", "string")).alias("level"),
-        F.when(kept, F.col("_service_text")).alias("service"),
-        F.when(kept, F.col("_message_text")).alias("message"),
-        F.when(kept, F.col("_attributes_json")).alias("attributes"),
-        F.when(kept, F.coalesce(A.attributes_map(F.col("_bag")), empty)).alias("attr"),
+    attr = F.coalesce(A.attributes_map(F.col("_bag")), A.settled_map(F.col("_json")), empty)
+    ident = ids.time_ordered_id(instants.millis(F.col("received_at")), F.col("batch_id"), F.col("idx"))
+    row = F.struct(
+        *passed, "reason",
+        *[
+            F.when(F.col("_kept"), value).alias(name)
+            for name, value in (
+                ("id", ident),
+                ("timestamp", instants.from_millis(F.col("_ms"))),
+                ("level", F.col("_level")),
+                ("service", F.col("_service")),
+                ("message", F.col("_message")),
+                ("attributes", F.col("_attributes_json")),
+                ("attr", attr),
+            )
+        ],
     )
+    # A predicate on the result must not be pushed below: it would repeat the whole derivation.
+    return staged.select(F.inline(F.array(row)))
 
 
 def validate_envelopes(envelopes: DataFrame, max_logs: int = MAX_LOGS_PER_BATCH) -> DataFrame:

@@ -21,7 +21,7 @@ from timberline.streaming.live_counts import stream_counts
 ENTRIES = f"""{LOGS}, numbered AS (
   SELECT *, CAST(event_id // 5 AS VARCHAR) AS batch_id, CAST(event_id % 5 AS INTEGER) AS idx,
          event_id % 20 AS d,
-         '{{"k":' || k || ',"v":' || regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || ',"ok":true}}' AS bag
+         '{{"k":' || k || ',"ok":true,"v":' || regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || '}}' AS bag
   FROM logs
 ), entries AS (
   SELECT *, CASE d

@@ -70,28 +70,46 @@ def check_envelope(envelopes: DataFrame, max_logs: int = MAX_LOGS_PER_BATCH) ->
     )
 
 
+# An entry of exactly the known fields with the right JSON types and at most 64 scalar attributes.
+_KEY = r"(?:[A-Za-z0-9_]{1,256}|`[^`]{1,256}`)"
+_SCALAR = r"(?:STRING|BOOLEAN|BIGINT|DECIMAL\(\d+,\d+\))"
+REGULAR_SHAPE = (
+    rf"\AOBJECT<(?:attributes: OBJECT<(?:{_KEY}: {_SCALAR}(?:, )?){{0,64}}>, )?"
+    r"level: STRING, message: STRING, service: STRING, timestamp: STRING>\z"
+)
+
+
 def explode_entries(checked: DataFrame) -> DataFrame:
-    """One row per entry: ``batch_id, received_at, envelope_error, idx, entry, key_order``.
+    """One row per entry: ``batch_id, received_at, envelope_error, idx, entry, regular, key_order``.
 
-    A batch without entries (refused, or an empty array) keeps one row with a NULL ``idx``, so that
-    its outcome is known without reading the bodies a second time.
+    ``regular`` tells that the entry's fields and JSON types are in order; only the other entries need
+    the checks one by one. A batch without entries (refused, or an empty array) keeps one row with a
+    NULL ``idx``, so that its outcome is known without reading the bodies a second time.
 
     VARIANT keeps object keys sorted. Which unknown field comes first in the text only matters for an
     entry with more than one of them, that is with more than five fields besides the attributes; the
     texts are read again just for such batches and only the key list travels on.
     """
-    names = F.transform("entries", lambda e: F.map_keys(object_fields(e)))
-    crowded = F.exists(
-        names,
-        lambda k: F.coalesce(F.size(k) - F.when(F.array_contains(k, "attributes"), 1).otherwise(0), F.lit(0)) > 5,
+    judged = F.transform(
+        "entries",
+        lambda e: F.struct(e.alias("entry"), kind(e).rlike(REGULAR_SHAPE).alias("regular")),
     )
+
+    def crowded(e: Column) -> Column:
+        names = F.map_keys(object_fields(e["entry"]))
+        extra = F.size(names) - F.when(F.array_contains(names, "attributes"), 1).otherwise(0)
+        return ~e["regular"] & F.coalesce(extra > 5, F.lit(False))
+
     texts = F.from_json(F.get_json_object("body", "$.logs"), "array<string>")
-    keys = F.when(crowded, F.transform(texts, lambda t: F.json_object_keys(t)))
+    keys = F.when(F.exists("_judged", crowded), F.transform(texts, lambda t: F.json_object_keys(t)))
     exploded = checked.select(
+        "batch_id", "received_at", "envelope_error", "body", judged.alias("_judged")
+    ).select(
         "batch_id", "received_at", "envelope_error", keys.alias("_keys"),
-        F.posexplode_outer("entries").alias("idx", "entry"),
+        F.posexplode_outer("_judged").alias("idx", "_e"),
     )
     return exploded.select(
-        "batch_id", "received_at", "envelope_error", "idx", "entry",
+        "batch_id", "received_at", "envelope_error", "idx",
+        F.col("_e.entry").alias("entry"), F.col("_e.regular").alias("regular"),
         F.get("_keys", F.col("idx")).alias("key_order"),
     )

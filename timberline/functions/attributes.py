@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Numbers a double holds unchanged and whose text is already in final form.
-_FINAL_NUMBER = r"\A-?(0|[1-9][0-9]{0,14}|[0-9]{1,7}\.[0-9]{1,6})\z"
+_FINAL_NUMBER = r"\A-?(0|[1-9][0-9]{0,14}|[0-9]{1,7}\.[0-9]{0,5}[1-9])\z"
 _PLAIN_KEY = r"\A[A-Za-z0-9_.:/-]*\z"
 # A number directly behind a key that is longer than that, or has an exponent.
 _UNSETTLED = r'":-?([0-9]{16,}|[0-9]{8,}\.|[0-9]*\.[0-9]{7,}|[0-9.]+[eE])|\\u0000'
@@ -30,7 +30,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _shortest(x: Column) -> Column:
-    """Scientific notation with the fewest digits that still reads back as the same double."""
+    """Scientific notation with the fewest digits that still reads back as the same double.
+
+    With 17 digits there can be several such texts; before Java 19 the formatter does not always pick
+    the nearest, so the last of 17 digits may differ by one from other engines.
+    """
     def narrow(longest: Column) -> Column:
         shorter = [F.format_string(f"%.{digits}e", x) for digits in (14, 15)]
         return F.coalesce(*[F.when(text.try_cast("double") == x, text) for text in shorter], longest)

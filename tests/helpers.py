@@ -39,3 +39,8 @@ def entry(**changes):
     }
     base.update(changes)
     return {k: v for k, v in base.items() if v is not ...}
+
+
+def plan_text(df, mode="formatted"):
+    jvm = df.sparkSession.sparkContext._jvm
+    return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import instants
 from timberline.schema import DAY_MS, VISIBILITY_DEADLINE_MS
 from timberline.session import fits
 
-# A saved filter is a small row; this many stay well below Spark's 8 GB broadcast ceiling
-# (under 2 KB each: below 200 MB).
+# A row test is a short text and a few attributes; this many stay far below Spark's 8 GB broadcast
+# ceiling (under 2 KB each: below 200 MB).
 MAX_BROADCAST_FILTERS = 100_000
 SALTS = 16
 
@@ -46,106 +46,190 @@ def visibility_totals(audit: DataFrame) -> DataFrame:
     )
 
 
-def _prepared(filters: DataFrame) -> DataFrame:
-    """Join form of saved filters: equality keys, millisecond bounds, folded search text."""
+# -- saved filters ----------------------------------------------------------------------------
+#
+# Counting never pairs rows with filters. A filter's count is the number of rows before its upper
+# bound less the number before its lower bound, within the rows of its key: service, level and the
+# row test (search text and attributes) it shares with other filters. Rows are counted per key and
+# block of time; every bound then looks up the blocks before it, and only a bound inside a block
+# needs rows of that block.
+
+BLOCK_MS = 3_600_000
+_OPEN = 2**62  # stands for a missing upper bound; a multiple of nothing that matters
+_KEY = ("test", "service", "level")
+
+
+def _wanted(filters: DataFrame) -> DataFrame:
+    """Saved filters in join form; ``test`` names the row test, NULL when there is none."""
+    q = F.lower("q")
+    pairs = F.when(F.size("attr") > 0, F.array_sort(F.map_entries("attr")))
+    test = F.when(q.isNotNull() | pairs.isNotNull(), F.sha2(F.to_json(F.struct(q.alias("q"), pairs.alias("a"))), 256))
     return filters.select(
-        "filter_id",
-        F.col("service").alias("f_service"),
-        F.col("level").alias("f_level"),
-        instants.millis(F.col("since")).alias("f_since"),
-        instants.millis(F.col("until")).alias("f_until"),
-        F.lower("q").alias("f_q"),
-        F.col("attr").alias("f_attr"),
+        "filter_id", "service", "level",
+        instants.millis(F.col("since")).alias("since"),
+        instants.millis(F.col("until")).alias("until"),
+        q.alias("q"), pairs.alias("pairs"), test.alias("test"),
     )
 
 
-def _shape(service: Column, level: Column) -> Column:
-    """Which equality keys a filter uses: 0 none, 1 service, 2 level, 3 both."""
-    return F.when(service.isNotNull(), 1).otherwise(0) + F.when(level.isNotNull(), 2).otherwise(0)
+def _rows(logs: DataFrame) -> DataFrame:
+    return logs.select(
+        "id", "service", "level", "message", "attr", instants.millis(F.col("timestamp")).alias("ms")
+    ).withColumn("day", _div(F.col("ms"), DAY_MS))
 
 
-def _probes(logs: DataFrame, shapes: list[int]) -> DataFrame:
-    """One row per log and equality shape in use: at most four, usually fewer."""
-    keys = [
-        F.struct(
-            (F.col("service") if shape & 1 else F.lit(None).cast("string")).alias("p_service"),
-            (F.col("level") if shape & 2 else F.lit(None).cast("string")).alias("p_level"),
-            F.lit(shape).alias("p_shape"),
-        )
-        for shape in shapes
-    ]
-    return logs.select(
-        "id",
-        instants.millis(F.col("timestamp")).alias("ms"),
-        F.lower("message").alias("message"),
-        "attr",
-        F.explode(F.array(*keys)).alias("p"),
-    ).select("id", "ms", "message", "attr", "p.*")
+def _div(ms: Column, size: int) -> Column:
+    """Floored integer quotient."""
+    return F.call_function("div", ms - F.pmod(ms, F.lit(size)), F.lit(size))
 
 
 def _matches(log_attr: Column, wanted: Column) -> Column:
-    return wanted.isNull() | F.forall(
-        F.map_entries(wanted),
-        lambda e: F.coalesce(F.try_element_at(log_attr, e["key"]) == e["value"], F.lit(False)),
+    return F.coalesce(
+        F.forall(wanted, lambda e: F.coalesce(F.try_element_at(log_attr, e["key"]) == e["value"], F.lit(False))),
+        F.lit(True),
     )
 
 
-def match_rows(logs: DataFrame, filters: DataFrame, max_broadcast: int = MAX_BROADCAST_FILTERS) -> DataFrame:
-    """``filter_id, id`` for every row a saved filter selects; NULL filter fields are not supplied.
+def tested_rows(logs: DataFrame, tests: DataFrame, max_broadcast: int) -> DataFrame:
+    """Rows that pass a row test: the columns of ``_rows`` and ``test``, once per test passed.
 
-    ``filters``: ``filter_id, service, level, since, until, q, attr``. Service and level are join keys;
-    bounds, search text and attributes are checked on the candidates of a key. A checked small filter
-    table is broadcast and the logs are never shuffled. A larger one is keyed by day as well, and each
-    day is split over salts so that a busy day or service is many tasks.
+    ``tests``: ``test, q, pairs, lo, hi``. Tests are spread over the days they are wanted for and joined
+    by day, those with attributes by their first attribute as well. A checked small table of tests is
+    broadcast, so the logs are not shuffled; otherwise every day is split over salts, so that a busy day
+    is many tasks.
     """
-    prepared = _prepared(filters)
-    shape = _shape(F.col("f_service"), F.col("f_level"))
-    prepared = prepared.withColumn("f_shape", shape)
-    small = fits(filters, max_broadcast)
-    shapes = sorted(r[0] for r in prepared.select("f_shape").distinct().collect())  # at most four
-    if not shapes:
-        shapes = [0]
-    probes = _probes(logs, shapes)
-    same_key = (
-        (F.col("p_shape") == F.col("f_shape"))
-        & F.col("p_service").eqNullSafe(F.col("f_service"))
-        & F.col("p_level").eqNullSafe(F.col("f_level"))
+    rows = _rows(logs).withColumn("folded", F.lower("message"))
+    span = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    if span["first"] is None:
+        return rows.limit(0).withColumn("test", F.lit(None).cast("string"))
+    first = F.greatest(F.coalesce(_div(F.col("lo"), DAY_MS), F.lit(span["first"])), F.lit(span["first"]))
+    last = F.least(F.coalesce(_div(F.col("hi"), DAY_MS), F.lit(span["last"])), F.lit(span["last"]))
+    # At most one row per test and day the table holds.
+    daily = tests.where(first <= last).select(
+        "test", "q", "pairs", "lo", "hi", F.explode(F.sequence(first, last)).alias("on_day")
+    )
+    key = F.col("day") == F.col("on_day")
+    if fits(daily, max_broadcast):
+        place = F.broadcast
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        daily = daily.withColumn("on_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+        key = key & (F.col("salt") == F.col("on_salt"))
+
+        def place(df):
+            return df
+
+    holds = (
+        (F.col("lo").isNull() | (F.col("ms") >= F.col("lo")))
+        & (F.col("hi").isNull() | (F.col("ms") < F.col("hi")))
+        & (F.col("q").isNull() | F.contains(F.col("folded"), F.col("q")))
+    )
+    by_text = rows.join(place(daily.where(F.col("pairs").isNull())), key & holds)
+    lead = daily.where(F.col("pairs").isNotNull()).select(
+        "*", F.col("pairs")[0]["key"].alias("lead_key"), F.col("pairs")[0]["value"].alias("lead_value")
     )
-    residual = (
-        (F.col("f_since").isNull() | (F.col("ms") >= F.col("f_since")))
-        & (F.col("f_until").isNull() | (F.col("ms") < F.col("f_until")))
-        & (F.col("f_q").isNull() | F.contains(F.col("message"), F.col("f_q")))
-        & _matches(F.col("attr"), F.col("f_attr"))
+    attributes = rows.select("*", F.explode("attr").alias("has_key", "has_value"))
+    by_attribute = attributes.join(
+        place(lead),
+        key & (F.col("has_key") == F.col("lead_key")) & (F.col("has_value") == F.col("lead_value"))
+        & holds & _matches(F.col("attr"), F.col("pairs")),
+    )
+    columns = ("id", "service", "level", "ms", "test")
+    return by_text.select(*columns).unionByName(by_attribute.select(*columns))
+
+
+def _tests(wanted: DataFrame) -> DataFrame:
+    """Each distinct row test once, with the widest range any of its filters asks for."""
+    def widest(bound: str, pick) -> Column:
+        return F.when(F.count_if(F.col(bound).isNull()) == 0, pick(bound))
+
+    return wanted.where(F.col("test").isNotNull()).groupBy("test").agg(
+        F.first("q").alias("q"), F.first("pairs").alias("pairs"),
+        widest("since", F.min).alias("lo"), widest("until", F.max).alias("hi"),
     )
-    if small:
-        return probes.join(F.broadcast(prepared), same_key & residual).select("filter_id", "id")
-    span = logs.select(instants.millis(F.col("timestamp")).alias("ms")).agg(
-        F.min("ms").alias("lo"), F.max("ms").alias("hi")
-    ).first()
-    if span["lo"] is None:
-        return probes.limit(0).join(prepared, same_key).select("filter_id", "id")
-    first = F.floor(F.greatest(F.coalesce("f_since", F.lit(span["lo"])), F.lit(span["lo"])) / DAY_MS)
-    last = F.floor(F.least(F.coalesce(F.col("f_until") - 1, F.lit(span["hi"])), F.lit(span["hi"])) / DAY_MS)
-    # The days of a filter are bounded by the days the table holds.
-    by_day = prepared.where(first <= last).select(
-        "*", F.explode(F.sequence(first, last)).alias("f_day")
-    ).select("*", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("f_salt"))
-    salted = probes.select(
-        "*", F.floor(F.col("ms") / DAY_MS).alias("p_day"),
-        F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("p_salt"),
+
+
+def _keyed(rows: DataFrame, shapes: list[tuple[bool, bool]]) -> DataFrame:
+    """Every row under the keys in use: with or without its service and level, at most four."""
+    none = F.lit(None).cast("string")
+    keys = [
+        F.struct(
+            (F.col("service") if by_service else none).alias("service"),
+            (F.col("level") if by_level else none).alias("level"),
+        )
+        for by_service, by_level in shapes
+    ]
+    return rows.select("test", "ms", F.explode(F.array(*keys)).alias("k")).select(
+        "test", "k.service", "k.level", "ms", _div(F.col("ms"), BLOCK_MS).alias("block")
     )
-    same_day = (F.col("p_day") == F.col("f_day")) & (F.col("p_salt") == F.col("f_salt"))
-    return salted.join(by_day, same_day & same_key & residual).select("filter_id", "id")
+
+
+def _on(left: DataFrame, right: DataFrame, names: tuple[str, ...], how: str) -> DataFrame:
+    """Null-safe equi-join that keeps the left columns and the new right ones."""
+    renamed = right.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in right.columns])
+    condition = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    joined = left.join(renamed, condition, how)
+    return joined if how == "left_semi" else joined.drop(*[f"_{n}" for n in names])
 
 
 def match_saved_filters(
     logs: DataFrame, filters: DataFrame, max_broadcast: int = MAX_BROADCAST_FILTERS
 ) -> DataFrame:
-    """``filter_id, matches`` for every saved filter, 0 without a match.
+    """``filter_id, matches`` for every saved filter, 0 without a match; NULL fields are not supplied.
 
-    Matches are counted per task before the shuffle, so the pairs themselves never travel.
+    ``filters``: ``filter_id, service, level, since, until, q, attr``.
     """
-    counts = match_rows(logs, filters, max_broadcast).groupBy("filter_id").agg(F.count(F.lit(1)).alias("n"))
+    wanted = _wanted(filters)
+    # At most eight rows: which keys are in use, with and without a row test.
+    used = wanted.select(
+        F.col("service").isNotNull().alias("s"), F.col("level").isNotNull().alias("l"),
+        F.col("test").isNotNull().alias("t"),
+    ).distinct().collect()
+    parts = []
+    plain, tested = ([(r["s"], r["l"]) for r in used if r["t"] is t] for t in (False, True))
+    if plain:
+        parts.append(_keyed(_rows(logs).withColumn("test", F.lit(None).cast("string")), plain))
+    if tested:
+        parts.append(_keyed(tested_rows(logs, _tests(wanted), max_broadcast), tested))
+    if not parts:
+        return filters.select("filter_id", F.lit(0).cast("bigint").alias("matches"))
+    keyed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    bounds = F.array(
+        F.struct(F.col("since").alias("at"), F.lit(-1).alias("sign")),
+        F.struct(F.coalesce("until", F.lit(_OPEN)).alias("at"), F.lit(1).alias("sign")),
+    )
+    probes = wanted.select("filter_id", *_KEY, F.explode(bounds).alias("b")).select(
+        "filter_id", *_KEY, "b.at", "b.sign", _div(F.col("b.at"), BLOCK_MS).alias("block")
+    ).where(F.col("at").isNotNull())
+
+    # Rows before each block. A window holds the blocks of one key: hours of the covered time.
+    totals = keyed.groupBy(*_KEY, "block").agg(F.count(F.lit(1)).alias("n"))
+    asked = probes.select(*_KEY, "block").distinct().withColumn("n", F.lit(0).cast("bigint"))
+    earlier_blocks = Window.partitionBy(*_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.unionByName(asked).groupBy(*_KEY, "block").agg(F.sum("n").alias("n")).select(
+        *_KEY, "block", F.coalesce(F.sum("n").over(earlier_blocks), F.lit(0)).alias("before")
+    )
+
+    # Rows of the block itself, for bounds inside one. A window holds one block of one key, and rows of
+    # one millisecond are one row by then.
+    inner = probes.where((F.col("at") < _OPEN) & (F.pmod("at", F.lit(BLOCK_MS)) != 0)).select(
+        *_KEY, "block", "at"
+    ).distinct()
+    ticks = _on(keyed, inner.select(*_KEY, "block").distinct(), (*_KEY, "block"), "left_semi").groupBy(
+        *_KEY, "block", F.col("ms").alias("at")
+    ).agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("row"))
+    marks = inner.select("*", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("row"))
+    earlier_ticks = Window.partitionBy(*_KEY, "block").orderBy("at", "row").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    inside = ticks.unionByName(marks).withColumn("inside", F.sum("n").over(earlier_ticks)).where(
+        ~F.col("row")
+    ).select(*_KEY, "at", "inside")
+
+    found = _on(_on(probes, before, (*_KEY, "block"), "left"), inside, (*_KEY, "at"), "left")
+    rank = F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))
+    counts = found.groupBy("filter_id").agg(F.sum(F.col("sign") * rank).alias("n"))
     return filters.select("filter_id").join(counts, "filter_id", "left").select(
-        "filter_id", F.coalesce("n", F.lit(0)).alias("matches")
+        "filter_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("matches")
     )

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Parsing costs far more than its bytes suggest: keep small inputs on all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # A repeated JSON key keeps its last value instead of voiding the document.
     "spark.sql.variant.allowDuplicateKeys": "true",

@@ -113,10 +113,6 @@ def envelopes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = logs_from(table(spark, sf_dir, "events"), "event_id", "value")
     defect = F.pmod("event_id", F.lit(DEFECTS))
 
-    def member(name: str, text: Column, unless: Column | None = None) -> Column:
-        quoted = F.concat(F.lit(f'"{name}":'), F.to_json(text.cast("variant")))
-        return quoted if unless is None else F.when(~unless, quoted)
-
     at = instants.wire_timestamp(F.col("timestamp"))
     instant = (
         F.when(defect == 3, F.replace(at, F.lit("T"), F.lit(" ")))
@@ -126,19 +122,15 @@ def envelopes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('{"v":'), F.col("value").cast("string"), F.lit(',"ok":true,"k":'),
                  F.element_at("attr", F.lit("k")), F.lit("}"))
     )
-    entry = F.concat(
-        F.lit("{"),
-        F.concat_ws(
-            ",",
-            member("timestamp", instant),
-            member("level", F.when(defect == 0, "critical").otherwise(F.col("level"))),
-            member("service", F.col("service"), defect == 1),
-            member("message", F.when(defect == 5, "").otherwise(F.col("message"))),
-            F.concat(F.lit('"attributes":'), bag),
-            F.when(defect == 2, F.lit('"extra":1')),
-        ),
-        F.lit("}"),
-    )
+    # NULL members are left out of the text.
+    texts = F.to_json(F.struct(
+        instant.alias("timestamp"),
+        F.when(defect == 0, "critical").otherwise(F.col("level")).alias("level"),
+        F.when(defect != 1, F.col("service")).alias("service"),
+        F.when(defect == 5, "").otherwise(F.col("message")).alias("message"),
+        F.when(defect == 2, 1).alias("extra"),
+    ))
+    entry = F.concat(F.left(texts, F.length(texts) - 1), F.lit(',"attributes":'), bag, F.lit("}"))
     rows = logs.select(
         F.floor(F.col("event_id") / BATCH_SIZE).cast("string").alias("batch_id"),
         F.struct(F.col("event_id"), entry.alias("entry")).alias("e"),

@@ -148,7 +148,7 @@ class LogTable:
     @staticmethod
     def _totals(validated: DataFrame, commit_id: int) -> DataFrame:
         kept = F.col("id").isNotNull()
-        # A batch's entries lie side by side, so first entries and entry-less rows count the batches.
+        # Every batch has either its first entry or one row without an entry.
         batch = F.col("idx").isNull() | (F.col("idx") == 0)
         return validated.agg(
             F.count_if(batch).alias("batches"),

@@ -130,10 +130,15 @@ def test_saved_filters_against_each_filter_alone(spark, max_broadcast):
         (i, f.service, f.level, None if f.since is None else at(f.since), None if f.until is None else at(f.until), f.q, f.attributes or None)
         for i, f in enumerate(filters)
     ]
-    found = matching.match_saved_filters(logs, spark.createDataFrame(rows, FILTERS), max_broadcast).collect()
-    assert {r["filter_id"]: r["matches"] for r in found} == {
-        i: apply_filters(logs, f).count() for i, f in enumerate(filters)
-    }
+    table = spark.createDataFrame(rows, FILTERS)
+    expected = {i: {r["id"] for r in apply_filters(logs, f).collect()} for i, f in enumerate(filters)}
+    found = matching.match_saved_filters(logs, table, max_broadcast).collect()
+    assert {r["filter_id"]: r["matches"] for r in found} == {i: len(ids) for i, ids in expected.items()}
+    pairs = [tuple(r) for r in matching.match_rows(logs, table, max_broadcast).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, n) for i, ids in expected.items() for n in ids}
+    assert matching.match_saved_filters(logs.limit(0), table, max_broadcast).agg(F.sum("matches")).first()[0] == 0
+    assert matching.match_rows(logs.limit(0), table).count() == 0
+    assert matching.match_saved_filters(logs, table.limit(0)).count() == 0
 
 
 def test_resource_samples(spark, tmp_path):

@@ -137,6 +137,13 @@ def test_batch_summary_counts_every_entry_once(spark):
     assert rows["b0"]["normalized_bytes"] == 2 * (36 + 24 + len("info") + len("checkout") + len("ok") + len(text))
 
 
+def test_copies_of_a_batch_are_batches_of_their_own(spark):
+    env = make_envelopes(spark, [{"logs": [entry(), entry(level="x")]}])
+    copies = env.unionByName(env).unionByName(env)
+    rows = validation.batch_summary(validation.validate_envelopes(copies)).collect()
+    assert [(r["accepted"], [x["idx"] for x in r["rejected"]]) for r in rows] == [(1, [1])] * 3
+
+
 def test_ids_ascend_in_a_batch_and_repeat_on_retry(spark):
     env = make_envelopes(spark, [{"logs": [entry() for _ in range(50)]}])
     def run():

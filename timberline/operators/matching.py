@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,11 +161,27 @@ def _keyed(rows: DataFrame, shapes: list[tuple[bool, bool]]) -> DataFrame:
         )
         for by_service, by_level in shapes
     ]
-    return rows.select("test", "ms", F.explode(F.array(*keys)).alias("k")).select(
-        "test", "k.service", "k.level", "ms", _div(F.col("ms"), BLOCK_MS).alias("block")
+    return rows.select("id", "test", "ms", F.explode(F.array(*keys)).alias("k")).select(
+        "id", "test", "k.service", "k.level", "ms", _div(F.col("ms"), BLOCK_MS).alias("block")
     )
 
 
+def _keyed_rows(logs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFrame | None:
+    """Rows under every key some filter uses, None without filters."""
+    # At most eight rows: which keys are in use, with and without a row test.
+    used = wanted.select(
+        F.col("service").isNotNull().alias("s"), F.col("level").isNotNull().alias("l"),
+        F.col("test").isNotNull().alias("t"),
+    ).distinct().collect()
+    plain, tested = ([(r["s"], r["l"]) for r in used if r["t"] is t] for t in (False, True))
+    parts = []
+    if plain:
+        parts.append(_keyed(_rows(logs).withColumn("test", F.lit(None).cast("string")), plain))
+    if tested:
+        parts.append(_keyed(tested_rows(logs, _tests(wanted), max_broadcast), tested))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def _on(left: DataFrame, right: DataFrame, names: tuple[str, ...], how: str) -> DataFrame:
     """Null-safe equi-join that keeps the left columns and the new right ones."""
     renamed = right.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in right.columns])
@@ -180,20 +198,9 @@ def match_saved_filters(
     ``filters``: ``filter_id, service, level, since, until, q, attr``.
     """
     wanted = _wanted(filters)
-    # At most eight rows: which keys are in use, with and without a row test.
-    used = wanted.select(
-        F.col("service").isNotNull().alias("s"), F.col("level").isNotNull().alias("l"),
-        F.col("test").isNotNull().alias("t"),
-    ).distinct().collect()
-    parts = []
-    plain, tested = ([(r["s"], r["l"]) for r in used if r["t"] is t] for t in (False, True))
-    if plain:
-        parts.append(_keyed(_rows(logs).withColumn("test", F.lit(None).cast("string")), plain))
-    if tested:
-        parts.append(_keyed(tested_rows(logs, _tests(wanted), max_broadcast), tested))
-    if not parts:
+    keyed = _keyed_rows(logs, wanted, max_broadcast)
+    if keyed is None:
         return filters.select("filter_id", F.lit(0).cast("bigint").alias("matches"))
-    keyed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     bounds = F.array(
         F.struct(F.col("since").alias("at"), F.lit(-1).alias("sign")),
@@ -233,3 +240,36 @@ def match_saved_filters(
     return filters.select("filter_id").join(counts, "filter_id", "left").select(
         "filter_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("matches")
     )
+
+
+def match_rows(logs: DataFrame, filters: DataFrame, max_broadcast: int = MAX_BROADCAST_FILTERS) -> DataFrame:
+    """``filter_id, id`` for every row a saved filter selects: as many rows as there are matches.
+
+    Filters and rows meet on key and day. A checked small table of filters and days is broadcast;
+    otherwise every day is split over salts. To count only, use ``match_saved_filters``.
+    """
+    wanted = _wanted(filters)
+    keyed = _keyed_rows(logs, wanted, max_broadcast)
+    none = filters.select("filter_id", F.lit(None).cast("string").alias("id")).limit(0)
+    span = _rows(logs).agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    if keyed is None or span["first"] is None:
+        return none
+    first = F.greatest(F.coalesce(_div(F.col("since"), DAY_MS), F.lit(span["first"])), F.lit(span["first"]))
+    last = F.least(F.coalesce(_div(F.col("until"), DAY_MS), F.lit(span["last"])), F.lit(span["last"]))
+    daily = wanted.where(first <= last).select(
+        "filter_id", *[F.col(k).alias(f"_{k}") for k in _KEY], "since", "until",
+        F.explode(F.sequence(first, last)).alias("on_day"),
+    )
+    rows = keyed.withColumn("day", _div(F.col("ms"), DAY_MS))
+    condition = F.col("day") == F.col("on_day")
+    if fits(daily, max_broadcast):
+        daily = F.broadcast(daily)
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        daily = daily.withColumn("on_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+        condition = condition & (F.col("salt") == F.col("on_salt"))
+    for name in _KEY:
+        condition = condition & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    condition = condition & (F.col("since").isNull() | (F.col("ms") >= F.col("since")))
+    condition = condition & (F.col("until").isNull() | (F.col("ms") < F.col("until")))
+    return rows.join(daily, condition).select("filter_id", "id")

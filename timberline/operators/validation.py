@@ -95,7 +95,7 @@ def check_attr_bytes(attributes: Column) -> Column:
 
 
 def validate_entries(entries: DataFrame) -> DataFrame:
-    """``batch_id, received_at, envelope_error, idx, reason`` and the normalised log columns.
+    """The batch columns, ``envelope_error, idx, reason`` and the normalised log columns.
 
     The log columns are NULL when the entry is refused, and on the one row of a batch without entries
     (NULL ``idx``, NULL ``reason``). ``received_at`` is the one clock of a batch: it bounds the future
@@ -106,7 +106,7 @@ def validate_entries(entries: DataFrame) -> DataFrame:
     """
     entries.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     here, regular = F.col("idx").isNotNull(), F.col("regular")
-    passed = ("batch_id", "received_at", "envelope_error", "idx")
+    passed = ("batch_id", "envelope_no", "received_at", "envelope_error", "idx")
     texts = ("timestamp", "level", "service", "message")
 
     staged = entries.select(
@@ -206,11 +206,12 @@ def stored_bytes() -> Column:
 def batch_summary(validated: DataFrame) -> DataFrame:
     """One row per batch: outcome, error, accepted count, bytes and the rejected entries by index.
 
-    Entries are counted before the shuffle, so one row per batch and task travels. The list of
-    rejected entries is bounded because an envelope past the entry limit is refused unexploded.
+    Entries are counted before the shuffle, so one row per batch and task travels. Copies of a batch
+    are batches of their own. The list of rejected entries is bounded, because an envelope past the
+    entry limit is refused unexploded.
     """
     kept = F.col("id").isNotNull()
-    per_batch = validated.groupBy("batch_id").agg(
+    per_batch = validated.groupBy("batch_id", "envelope_no").agg(
         F.max("envelope_error").alias("error"),
         F.count_if(kept).alias("accepted"),
         F.count_if(F.col("reason").isNotNull()).alias("rejected_count"),

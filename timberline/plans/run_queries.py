@@ -101,6 +101,32 @@ def match_saved_filters_by_day(spark, sf):
     return matching.match_saved_filters(views.logs_view(spark, sf), saved_filters(spark, sf), max_broadcast=0)
 
 
+# Narrow filters, one per supplier: the rows themselves, for a service within two hours.
+@query(f"""
+WITH {LOGS}, saved AS (
+  SELECT s_suppkey AS filter_id, 'svc-' || CAST(s_suppkey % 8 AS VARCHAR) AS service,
+         TIMESTAMP '2024-01-01' + to_hours(CAST(s_suppkey * 7 % 700 AS INTEGER)) AS since
+  FROM supplier
+)
+SELECT filter_id, id FROM saved JOIN logs
+  ON logs.service = saved.service AND ts >= since AND ts < since + INTERVAL '2 hours' AND contains(lower(message), 'e')
+""")
+def match_rows(spark, sf):
+    hour = 3_600_000
+    n = F.col("s_suppkey")
+    since = F.lit(instants.to_millis("2024-01-01T00:00:00Z")).cast("bigint") + F.pmod(n * 7, F.lit(700)) * hour
+    filters = views.table(spark, sf, "supplier").select(
+        n.alias("filter_id"),
+        views.service_of(n).alias("service"),
+        F.lit(None).cast("string").alias("level"),
+        instants.from_millis(since).alias("since"),
+        instants.from_millis(since + 2 * hour).alias("until"),
+        F.lit("E").alias("q"),
+        F.lit(None).cast("map<string,string>").alias("attr"),
+    )
+    return matching.match_rows(views.logs_view(spark, sf), filters)
+
+
 QUANTILES = {"med": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 LATENCY_SQL = f"""
 SELECT avg(value) AS avg, min(value) AS min,

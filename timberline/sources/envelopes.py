@@ -49,11 +49,16 @@ def _document(body: Column) -> Column:
 
 
 def check_envelope(envelopes: DataFrame, max_logs: int = MAX_LOGS_PER_BATCH) -> DataFrame:
-    """Add ``entries`` (ARRAY<VARIANT>, NULL when refused) and ``envelope_error`` (NULL when fine)."""
-    parsed = envelopes.withColumn("_doc", _document(F.col("body")))
+    """Add ``entries`` (ARRAY<VARIANT>, NULL when refused), ``envelope_error`` (NULL when fine) and
+    ``envelope_no``, which tells copies of one batch id apart.
+
+    Streams do not offer such a number; theirs is 0, and a batch id stands for all its copies.
+    """
+    number = F.lit(0).cast("bigint") if envelopes.isStreaming else F.monotonically_increasing_id()
+    parsed = envelopes.withColumn("_doc", _document(F.col("body"))).withColumn("envelope_no", number)
     whole = F.try_variant_get("_doc", "$[1]", "string") == F.sha2("body", 256)
     parsed = parsed.select(
-        *envelopes.columns,
+        *envelopes.columns, "envelope_no",
         F.coalesce(whole, F.lit(False)).alias("_whole"),
         F.try_variant_get("_doc", "$[0].logs", "variant").alias("_logs"),
         F.try_variant_get("_doc", "$[0].logs", "array<variant>").alias("_entries"),
@@ -64,7 +69,7 @@ def check_envelope(envelopes: DataFrame, max_logs: int = MAX_LOGS_PER_BATCH) ->
         .when(F.size("_entries") > max_logs, F.lit(f"logs must contain at most {max_logs} entries"))
     )
     return parsed.withColumn("envelope_error", error).select(
-        *envelopes.columns,
+        *envelopes.columns, "envelope_no",
         F.when(F.col("envelope_error").isNull(), F.col("_entries")).alias("entries"),
         "envelope_error",
     )
@@ -80,7 +85,7 @@ REGULAR_SHAPE = (
 
 
 def explode_entries(checked: DataFrame) -> DataFrame:
-    """One row per entry: ``batch_id, received_at, envelope_error, idx, entry, regular, key_order``.
+    """One row per entry: the batch columns, ``envelope_error, idx, entry, regular, key_order``.
 
     ``regular`` tells that the entry's fields and JSON types are in order; only the other entries need
     the checks one by one. A batch without entries (refused, or an empty array) keeps one row with a
@@ -103,13 +108,13 @@ def explode_entries(checked: DataFrame) -> DataFrame:
     texts = F.from_json(F.get_json_object("body", "$.logs"), "array<string>")
     keys = F.when(F.exists("_judged", crowded), F.transform(texts, lambda t: F.json_object_keys(t)))
     exploded = checked.select(
-        "batch_id", "received_at", "envelope_error", "body", judged.alias("_judged")
+        "batch_id", "envelope_no", "received_at", "envelope_error", "body", judged.alias("_judged")
     ).select(
-        "batch_id", "received_at", "envelope_error", keys.alias("_keys"),
+        "batch_id", "envelope_no", "received_at", "envelope_error", keys.alias("_keys"),
         F.posexplode_outer("_judged").alias("idx", "_e"),
     )
     return exploded.select(
-        "batch_id", "received_at", "envelope_error", "idx",
+        "batch_id", "envelope_no", "received_at", "envelope_error", "idx",
         F.col("_e.entry").alias("entry"), F.col("_e.regular").alias("regular"),
         F.get("_keys", F.col("idx")).alias("key_order"),
     )

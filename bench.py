@@ -58,10 +58,11 @@ def main() -> None:
     source, root = session.scratch_path(spark, "bodies"), session.scratch_path(spark, "table")
     views.envelopes_view(spark, sf_dir).select("body").repartition(int(cpus)).write.text(source)
     offered = views.table(spark, sf_dir, "events").count()
-    table = LogTable(spark, root).bootstrap()
-    seconds["stream_ingest"] = timed(lambda: stream_ingest(
-        stream_envelopes(spark, source, whole_files=False), table, f"{root}/checkpoint", drain=True
-    ).awaitTermination())
+    for attempt in ("warm", "timed"):
+        table = LogTable(spark, f"{root}/{attempt}").bootstrap()
+        seconds["stream_ingest"] = timed(lambda: stream_ingest(
+            stream_envelopes(spark, source, whole_files=False), table, f"{root}/{attempt}/checkpoint", drain=True
+        ).awaitTermination())
     rates["stream_ingest_rows_per_sec"] = round(offered / seconds["stream_ingest"], 1)
 
     hour = LogFilter(since="2024-01-15T10:00:00.250Z", until="2024-01-15T11:00:00.750Z")

@@ -57,7 +57,7 @@ def visibility_totals(audit: DataFrame) -> DataFrame:
 # needs rows of that block.
 
 BLOCK_MS = 3_600_000
-_OPEN = 2**62  # stands for a missing upper bound; a multiple of nothing that matters
+_OPEN = 2**62  # stands for a missing upper bound
 _KEY = ("test", "service", "level")
 
 
@@ -218,29 +218,35 @@ def match_saved_filters(
         *_KEY, "block", F.coalesce(F.sum("n").over(earlier_blocks), F.lit(0)).alias("before")
     )
 
-    # Rows of the block itself, for bounds inside one. A window holds one block of one key, and rows of
-    # one millisecond are one row by then.
+    found = _on(probes, before, (*_KEY, "block"), "left")
+    rank = F.coalesce("before", F.lit(0))
     inner = probes.where((F.col("at") < _OPEN) & (F.pmod("at", F.lit(BLOCK_MS)) != 0)).select(
         *_KEY, "block", "at"
     ).distinct()
+    # Bounds on whole blocks, as report ranges usually are, need no second look at the rows.
+    if not inner.isEmpty():
+        found = _on(found, _inside(keyed, inner), (*_KEY, "at"), "left")
+        rank = rank + F.coalesce("inside", F.lit(0))
+    counts = found.groupBy("filter_id").agg(F.sum(F.col("sign") * rank).alias("n"))
+    return filters.select("filter_id").join(counts, "filter_id", "left").select(
+        "filter_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("matches")
+    )
+
+
+def _inside(keyed: DataFrame, inner: DataFrame) -> DataFrame:
+    """Rows of the same block before each bound inside one: ``test, service, level, at, inside``.
+
+    A window holds one block of one key, and rows of one millisecond are one row by then.
+    """
     ticks = _on(keyed, inner.select(*_KEY, "block").distinct(), (*_KEY, "block"), "left_semi").groupBy(
         *_KEY, "block", F.col("ms").alias("at")
     ).agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("row"))
     marks = inner.select("*", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("row"))
-    earlier_ticks = Window.partitionBy(*_KEY, "block").orderBy("at", "row").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    inside = ticks.unionByName(marks).withColumn("inside", F.sum("n").over(earlier_ticks)).where(
+    earlier = Window.partitionBy(*_KEY, "block").orderBy("at", "row").rowsBetween(Window.unboundedPreceding, -1)
+    return ticks.unionByName(marks).withColumn("inside", F.sum("n").over(earlier)).where(
         ~F.col("row")
     ).select(*_KEY, "at", "inside")
 
-    found = _on(_on(probes, before, (*_KEY, "block"), "left"), inside, (*_KEY, "at"), "left")
-    rank = F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))
-    counts = found.groupBy("filter_id").agg(F.sum(F.col("sign") * rank).alias("n"))
-    return filters.select("filter_id").join(counts, "filter_id", "left").select(
-        "filter_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("matches")
-    )
-
 
 def match_rows(logs: DataFrame, filters: DataFrame, max_broadcast: int = MAX_BROADCAST_FILTERS) -> DataFrame:
     """``filter_id, id`` for every row a saved filter selects: as many rows as there are matches.

@@ -155,7 +155,7 @@ def validate_entries(entries: DataFrame) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     attr = F.coalesce(A.attributes_map(F.col("_bag")), A.settled_map(F.col("_json")), empty)
     ident = ids.time_ordered_id(instants.millis(F.col("received_at")), F.col("batch_id"), F.col("idx"))
-    row = F.struct(
+    rows = staged.select(
         *passed, "reason",
         *[
             F.when(F.col("_kept"), value).alias(name)
@@ -170,8 +170,8 @@ def validate_entries(entries: DataFrame) -> DataFrame:
             )
         ],
     )
-    # A predicate on the result must not be pushed below: it would repeat the whole derivation.
-    return staged.select(F.inline(F.array(row)))
+    # A predicate on the result must not be pushed below this: it would repeat the whole derivation.
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def validate_envelopes(envelopes: DataFrame, max_logs: int = MAX_LOGS_PER_BATCH) -> DataFrame:

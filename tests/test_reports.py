@@ -87,7 +87,9 @@ def test_retention_edge_and_plan(spark):
     with pytest.raises(ValueError):
         retention.cutoff(now, 0)
     keys = retention.expired(logs, cut)
-    assert retention.delete_matching(logs, keys).count() == 3 and retention.matching(logs, keys).count() == 5
+    dated = logs.withColumn("event_date", instants.event_date(F.col("timestamp")))
+    for table in (logs, dated):
+        assert retention.delete_matching(table, keys).count() == 3 and retention.matching(table, keys).count() == 5
 
 
 def test_visibility(spark):
@@ -97,7 +99,9 @@ def test_visibility(spark):
     logs = spark.createDataFrame(
         [("a", 500), ("a", 900), ("b", 19_999), ("c", 20_000), (None, 1)], "attr_marker string, ms bigint"
     ).select("attr_marker", F.timestamp_millis("ms").alias("ingested_at"))
+    large = matching.visibility_audit(markers, logs, max_broadcast=1)
     audit = matching.visibility_audit(markers, logs)
+    assert {tuple(r) for r in large.collect()} == {tuple(r) for r in audit.collect()}
     assert {r["marker"]: (r["delay_ms"], r["failed"]) for r in audit.collect()} == {
         "a": (500, False), "b": (19_999, False), "c": (20_000, True), "d": (None, True)
     }

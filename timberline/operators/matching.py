@@ -14,23 +14,28 @@ from timberline.session import fits
 # A row test is a short text and a few attributes; this many stay far below Spark's 8 GB broadcast
 # ceiling (under 2 KB each: below 200 MB).
 MAX_BROADCAST_FILTERS = 100_000
+# A marker is one short text.
+MAX_BROADCAST_MARKERS = 1_000_000
 SALTS = 16
 
 
 def visibility_audit(
-    markers: DataFrame, logs: DataFrame, deadline_ms: int = VISIBILITY_DEADLINE_MS
+    markers: DataFrame,
+    logs: DataFrame,
+    deadline_ms: int = VISIBILITY_DEADLINE_MS,
+    max_broadcast: int = MAX_BROADCAST_MARKERS,
 ) -> DataFrame:
     """For each accepted marker: whether and how long after sending it could be read.
 
-    ``markers``: ``marker, sent_at``; ``logs`` needs ``attr_marker`` and ``ingested_at``. Rows are
-    reduced to the first sighting per marker before the join, so a marker written many times is one
-    row per task; both sides then share one partitioning by marker.
+    ``markers``: ``marker, sent_at``; ``logs`` needs ``attr_marker`` and ``ingested_at``. A checked
+    small set of markers is broadcast to drop all other rows at the scan. Rows are reduced to the first
+    sighting per marker before the join, so a marker written many times is one row per task; both
+    sides then share one partitioning by marker.
     """
-    seen = (
-        logs.where(F.col("attr_marker").isNotNull())
-        .groupBy(F.col("attr_marker").alias("marker"))
-        .agg(F.min("ingested_at").alias("seen_at"))
-    )
+    rows = logs.where(F.col("attr_marker").isNotNull()).select(F.col("attr_marker").alias("marker"), "ingested_at")
+    if fits(markers, max_broadcast):
+        rows = rows.join(F.broadcast(markers.select("marker")), "marker", "left_semi")
+    seen = rows.groupBy("marker").agg(F.min("ingested_at").alias("seen_at"))
     delay = instants.millis(F.col("seen_at")) - instants.millis(F.col("sent_at"))
     return markers.join(seen, "marker", "left").select(
         "marker", "sent_at", "seen_at",

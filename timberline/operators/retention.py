@@ -45,9 +45,17 @@ def retention_plan(
 
 def delete_matching(logs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of the table whose ``(timestamp, id)`` is not in the key set."""
-    return logs.join(keys.select("timestamp", "id"), ["timestamp", "id"], "left_anti").select(*logs.columns)
+    return _by_key(logs, keys, "left_anti")
 
 
 def matching(logs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of the table whose ``(timestamp, id)`` is in the key set."""
-    return logs.join(keys.select("timestamp", "id"), ["timestamp", "id"], "left_semi").select(*logs.columns)
+    return _by_key(logs, keys, "left_semi")
+
+
+def _by_key(logs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    on, wanted = ["timestamp", "id"], keys.select("timestamp", "id")
+    if "event_date" in logs.columns:
+        # The date follows from the instant; as a join key it lets Spark skip the other partitions.
+        on, wanted = [*on, "event_date"], wanted.withColumn("event_date", instants.event_date(F.col("timestamp")))
+    return logs.join(wanted, on, how).select(*logs.columns)

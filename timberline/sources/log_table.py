@@ -16,6 +16,7 @@ one after the other, so the committed set is one range per writer.
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,28 @@ _DIRECT_WRITER = 0
 _WRITERS = T.StructType([T.StructField("checkpoint", T.StringType()), T.StructField("writer", T.LongType())])
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """What a reader may see: the retention floor and the committed numbers of every writer."""
+
+    floor: int | None
+    ranges: tuple[tuple[int, int], ...]
+
+    def committed(self) -> Column:
+        condition = F.lit(False)
+        for first, last in self.ranges:
+            condition = condition | F.col("commit_id").between(first, last)
+        return condition
+
+    def above_floor(self, f: P.LogFilter) -> P.LogFilter | None:
+        """The filter with its lower bound raised to the floor; None when nothing is left."""
+        if self.floor is None or (f.since is not None and instants.to_millis(f.since) >= self.floor):
+            return f
+        if f.until is not None and instants.to_millis(f.until) <= self.floor:
+            return None
+        return replace(f, since=self.floor)
+
+
 class LogTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -67,11 +90,9 @@ class LogTable:
         rows = self.commits().groupBy(writer.alias("w")).agg(F.max("commit_id").alias("last")).collect()
         return [(r["w"] << _WRITER_BITS, r["last"]) for r in rows]
 
-    def _committed(self) -> Column:
-        condition = F.lit(False)
-        for first, last in self._committed_ranges():
-            condition = condition | F.col("commit_id").between(first, last)
-        return condition
+    def snapshot(self) -> Snapshot:
+        """The state all parts of one answer are read at."""
+        return Snapshot(self.floor(), tuple(self._committed_ranges()))
 
     def floor(self) -> int | None:
         """Highest retention cutoff applied so far, in epoch milliseconds."""
@@ -173,65 +194,65 @@ class LogTable:
         found = storage.children(self.spark, self._path(f"{name}/event_date=*"))
         return [date.fromisoformat(p.rsplit("=", 1)[1]) for p in found]
 
-    def _scan(self, name: str, fields: T.StructType, since: int | None, until: int | None) -> DataFrame:
-        """Committed rows at or above the floor; only the folders of the dates asked for are listed."""
-        lo = instants.to_date(since) if since is not None else None
-        hi = instants.to_date(until) if until is not None else None
+    def _scan(self, name: str, fields: T.StructType, f: P.LogFilter, at: Snapshot) -> DataFrame:
+        """Committed rows; only the folders of the dates asked for are listed."""
         base = self._path(name)
         reader = self.spark.read.schema(fields).option("basePath", base)
-        if lo is None and hi is None:
+        if f.since is None and f.until is None:
             found = reader.parquet(base)
         else:
-            days = [d for d in self.dates(name) if (lo is None or d >= lo) and (hi is None or d <= hi)]
+            lo = instants.to_date(f.since) if f.since is not None else date.min
+            hi = instants.to_date(f.until) if f.until is not None else date.max
+            days = [d for d in self.dates(name) if lo <= d <= hi]
             if not days:
                 return self.spark.createDataFrame([], fields)
             found = reader.parquet(*[f"{base}/event_date={d}" for d in days])
-        return found.where(self._committed())
+        return found.where(at.committed())
 
-    def read_logs(self, f: P.LogFilter | None = None) -> DataFrame:
+    def read_logs(self, f: P.LogFilter | None = None, at: Snapshot | None = None) -> DataFrame:
         """Visible rows that pass the filter, with partition columns for further pruning."""
-        f = self._above_floor(f or P.LogFilter())
+        at = at or self.snapshot()
+        f = at.above_floor(f or P.LogFilter())
         if f is None:
             return self.spark.createDataFrame([], schema.STORED_LOGS)
-        rows = self._scan("logs", schema.STORED_LOGS, _ms(f.since), _ms(f.until))
-        return P.apply_filters(rows, f)
+        return P.apply_filters(self._scan("logs", schema.STORED_LOGS, f, at), f)
 
-    def read_rollup(self, f: P.LogFilter | None = None) -> DataFrame:
-        """Per-second cells of whole seconds at or above the floor; partials of commits are added up."""
-        f = self._above_floor(f or P.LogFilter())
+    def read_rollup(self, f: P.LogFilter | None = None, at: Snapshot | None = None) -> DataFrame:
+        """Per-second cells of whole seconds within the filter's range; commits are partial counts."""
+        at = at or self.snapshot()
+        f = at.above_floor(f or P.LogFilter())
         if f is None:
             return self.spark.createDataFrame([], schema.STORED_ROLLUP)
-        cells = self._scan("rollup", schema.STORED_ROLLUP, _ms(f.since), _ms(f.until))
+        cells = self._scan("rollup", schema.STORED_ROLLUP, f, at)
         if f.since is not None:
             cells = cells.where(F.col("second") >= -(-instants.to_millis(f.since) // 1000))
+        if f.until is not None:
+            cells = cells.where(F.col("second") < instants.to_millis(f.until) // 1000)
         return cells
 
-    def _above_floor(self, f: P.LogFilter) -> P.LogFilter | None:
-        """The filter with its lower bound raised to the floor; None when nothing is left."""
-        floor = self.floor()
-        if floor is None or (f.since is not None and instants.to_millis(f.since) >= floor):
-            return f
-        if f.until is not None and instants.to_millis(f.until) <= floor:
-            return None
-        return P.LogFilter(f.service, f.level, floor, f.until, f.q, f.attributes)
-
     def rejects(self) -> DataFrame:
         found = self.spark.read.schema(schema.STORED_REJECTS).parquet(self._path("rejects"))
-        return found.where(self._committed())
+        return found.where(self.snapshot().committed())
 
     def count_by_bucket(self, f: P.LogFilter, bucket: str, group_by: str | None = None) -> DataFrame:
         """Bucket counts from the stored rollup where it can answer, else from the rows."""
-        raised = self._above_floor(f)
-        if raised is None:
-            raised = f.between(f.until, f.until)
+        if f.since is None or f.until is None:
+            raise ValueError("since and until are required")
+        at = self.snapshot()
+        raised = at.above_floor(f) or f.between(f.until, f.until)
+        way = rollup.route(raised, covered_from=raised.since)
+        edges = raised if way is None else raised.between(way.fringes[0][0], way.fringes[-1][1]) if way.fringes else None
+        # Without edges the rows are not read, so they are not listed either.
+        logs = self.spark.createDataFrame([], schema.STORED_LOGS) if edges is None else self.read_logs(edges, at)
         return rollup.aggregate_with_rollup(
-            self.read_logs(raised), self.read_rollup(raised), raised, bucket, group_by, covered_from=raised.since
+            logs, self.read_rollup(raised, at), raised, bucket, group_by, covered_from=raised.since
         )
 
     def newest_page(
         self, f: P.LogFilter, limit: int = schema.DEFAULT_PAGE_LIMIT, cursor: tuple[P.Instant, str] | None = None
     ) -> Page:
         """One page read from the newest dates back, over spans that double until the page is full."""
+        at = self.snapshot()
         hi = instants.to_date(cursor[0]) if cursor else None
         if f.until is not None:
             until_day = instants.to_date(f.until)
@@ -243,11 +264,11 @@ class LogTable:
             lower = _midnight(oldest) if oldest and span < len(days) else None
             if lower is not None and f.since is not None:
                 lower = max(lower, instants.to_millis(f.since))
-            part = f if lower is None else P.LogFilter(f.service, f.level, lower, f.until, f.q, f.attributes)
+            part = f if lower is None else replace(f, since=lower)
             if lower is not None and f.until is not None and instants.to_millis(f.until) < lower:
                 span *= 2
                 continue
-            found = page(self.read_logs(part), P.LogFilter(), limit, cursor)
+            found = page(self.read_logs(part, at), P.LogFilter(), limit, cursor)
             if found.boundary is not None or lower is None:
                 return found
             span *= 2
@@ -286,9 +307,5 @@ class LogTable:
         return report
 
 
-def _ms(value: P.Instant | None) -> int | None:
-    return None if value is None else instants.to_millis(value)
-
-
 def _midnight(day: date) -> int:
     return instants.to_millis(datetime(day.year, day.month, day.day, tzinfo=timezone.utc))

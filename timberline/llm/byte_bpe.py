@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from timberline.llm.common import frames, texts
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-PIECES_KEPT = 200_000
+PIECES_KEPT = 500_000
 
 
 class ByteBpe:
@@ -37,12 +37,17 @@ class ByteBpe:
 
     def merged(self, piece: bytes) -> list[bytes]:
         """Merging as it is defined: the adjacent pair of lowest rank first, leftmost on ties."""
+        ranks, none = self.ranks, 1 << 60
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
+        gains = [ranks.get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+        while gains and (best := min(gains)) < none:
+            at = gains.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
+            if at < len(gains):
+                gains[at] = ranks.get(parts[at] + parts[at + 1], none)
         return parts
 
     def compatible(self, left: int, right: int) -> bool:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions import attributes, instants
@@ -74,3 +75,9 @@ def test_preview_orders_short_keys_first(spark):
     )
     text, more = attributes.preview(F.col("attr"))
     assert [tuple(r) for r in df.select(text, more).collect()] == [("b=2", 2), (None, 0), ("k=v", 0)]
+
+
+@pytest.mark.parametrize("text", ["2024-01-01", "2024-01-01 00:00:00", "20240101T00", "2024-W01-1", "2024-01-01T00:00:00"])
+def test_driver_instants_are_strict(text):
+    with pytest.raises(ValueError):
+        instants.to_millis(text)

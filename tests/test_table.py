@@ -219,3 +219,59 @@ def test_storage_lists_and_removes(spark, tmp_path):
     assert storage.children(spark, str(tmp_path / "a=*")) != [] and storage.children(spark, str(tmp_path / "b=*")) == []
     storage.remove(spark, str(tmp_path / "a=1"))
     assert not storage.exists(spark, str(tmp_path / "a=1"))
+
+
+def failing_at(monkeypatch, folder):
+    original = LogTable._overwrite
+
+    def failing(self, df, name, *rest):
+        if name == folder:
+            raise RuntimeError("lost")
+        original(self, df, name, *rest)
+
+    monkeypatch.setattr(LogTable, "_overwrite", failing)
+    return lambda: monkeypatch.setattr(LogTable, "_overwrite", original)
+
+
+def test_rows_of_a_failed_append_stay_hidden(spark, table, monkeypatch):
+    restore = failing_at(monkeypatch, "rejects")
+    with pytest.raises(RuntimeError):
+        table.append(validated(spark, logs_at("2026-07-18T10:00:00Z")))
+    restore()
+    assert table.append(validated(spark, logs_at("2026-07-19T10:00:00Z"))) == 1
+    assert stamps(table.read_logs()) == ["2026-07-19T10:00:00.000Z"]
+    assert table.read_rollup().agg(F.sum("n")).first()[0] == 1
+    assert len(table.discard_uncommitted(0)) == 1
+    assert stamps(table.read_logs()) == ["2026-07-19T10:00:00.000Z"]
+
+
+def test_a_lost_checkpoint_overwrites_nothing(spark, table, tmp_path):
+    checkpoint = tmp_path / "checkpoint"
+    for i, day in enumerate(("18", "19")):
+        write_batches(tmp_path / f"in{i}", [logs_at(f"2026-07-{day}T10:00:00Z")])
+        stream_ingest(stream_envelopes(spark, str(tmp_path / f"in{i}")), table, str(checkpoint), drain=True).awaitTermination()
+        checkpoint.rename(tmp_path / f"gone{i}")
+    assert stamps(table.read_logs()) == ["2026-07-18T10:00:00.000Z", "2026-07-19T10:00:00.000Z"]
+    assert table.writer_base("a") == table.writer_base("a") != table.writer_base("b")
+
+
+def test_identical_lines_have_ids_of_their_own_under_any_split(spark, table, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join([json.dumps(logs_at("2026-07-19T10:00:00Z"))] * 3 + ["", "{}"]) + "\n")
+    found = []
+    for size in ("64b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found.append({r[0] for r in read_envelopes(spark, str(tmp_path / "a.jsonl"), whole_files=False).select("batch_id").collect()})
+    assert found[0] == found[1] and len(found[0]) == 5
+    table.append(validation.validate_envelopes(read_envelopes(spark, str(tmp_path / "a.jsonl"), whole_files=False)))
+    seen, cursor = 0, None
+    while True:
+        page = table.newest_page(LogFilter(), 1, cursor)
+        seen, cursor = seen + len(page.rows), page.boundary
+        if cursor is None:
+            break
+    assert seen == 3
+
+
+def test_a_whole_file_is_one_document(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n"logs":\n[]}\n')
+    assert [r[0] for r in read_envelopes(spark, str(tmp_path)).select("body").collect()] == ['{\n"logs":\n[]}\n']

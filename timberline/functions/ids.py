@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 # Fixed value: accepted identifier notation.
 UUID_PATTERN = r"(?i)\A[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
 
+# Positions that fit the 12 bits of an id.
+MAX_POSITIONS = 4096
+
 
 def time_ordered_id(ms: Column, batch_id: Column, idx: Column) -> Column:
     """Version 7 UUID: 48 bits of time, the entry's position, then hash bits of (batch, position).
 
-    A batch holds at most 2,000 entries, so the position fits the 12 bits after the version
+    A batch holds at most ``MAX_POSITIONS`` entries, so the position fits the 12 bits after the version
     and ids ascend within a batch.
     """
     moment = F.lpad(F.lower(F.hex(ms)), 12, "0")

@@ -5,6 +5,7 @@ Nothing here depends on the session time zone: all arithmetic is on epoch millis
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
@@ -97,13 +98,16 @@ def naive_millis(ntz: Column) -> Column:
 
 
 def to_millis(value: str | datetime | int) -> int:
-    """Driver-side epoch milliseconds of one argument."""
+    """Driver-side epoch milliseconds of one argument: a text in the notation of ``instant_millis``, a
+    ``datetime`` with a zone, or the number itself."""
     if isinstance(value, int):
         return value
     if isinstance(value, str):
+        if not re.match(INSTANT_PATTERN.replace(r"\z", r"\Z"), value, re.ASCII):
+            raise ValueError(f"expected an ISO 8601 instant: {value!r}")
         value = datetime.fromisoformat(value.replace("Z", "+00:00"))
     if value.tzinfo is None:
-        value = value.replace(tzinfo=timezone.utc)
+        raise ValueError("a datetime needs a time zone")
     return (value - _EPOCH) // timedelta(milliseconds=1)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.attributes import kind, object_fields
+from timberline.functions.ids import MAX_POSITIONS
 from timberline.schema import MAX_LOGS_PER_BATCH
 
 # Batch-level messages.
@@ -14,27 +15,28 @@ NOT_AN_ENVELOPE = "body must be an object containing a logs array"
 
 
 def read_envelopes(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
-    """One row per batch document: a whole file, or one line of a file."""
-    return identified(spark.read.option("wholetext", whole_files).text(path))
+    """One row per batch document: a whole file, or one line of a file.
+
+    A file is read by one task in both cases: only then are line numbers, and with them ids, the same however the
+    read is split. Files of lines should therefore stay well below an executor's memory.
+    """
+    return identified(spark.read.text(path, wholetext=True), whole_files)
 
 
 def stream_envelopes(spark: SparkSession, path: str, whole_files: bool = True, **limits) -> DataFrame:
     """The same rows as a stream. ``limits``: ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``."""
-    return identified(spark.readStream.option("wholetext", whole_files).options(**limits).text(path))
-
-
-def identified(raw: DataFrame) -> DataFrame:
-    """Batch id from where the document lies and what it says, so a re-read gives the same id."""
-    place = F.concat_ws(
-        "#",
-        F.col("_metadata.file_path"),
-        F.col("_metadata.file_block_start").cast("string"),
-        F.sha2("value", 256),
-    )
-    return raw.select(
-        F.sha2(place, 256).substr(1, 32).alias("batch_id"),
-        F.current_timestamp().alias("received_at"),
-        F.col("value").alias("body"),
+    return identified(spark.readStream.options(**limits).text(path, wholetext=True), whole_files)
+
+
+def identified(files: DataFrame, whole_files: bool = True) -> DataFrame:
+    """Batch id from where the document lies (file and line) and what it says: a re-read gives the same id, and
+    identical documents have different ones."""
+    lines = F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)
+    documents = F.array("value") if whole_files else F.when(F.col("value") != "", lines)
+    placed = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(documents).alias("line", "body"))
+    place = F.concat_ws("#", "path", F.col("line").cast("string"), F.sha2("body", 256))
+    return placed.select(
+        F.sha2(place, 256).substr(1, 32).alias("batch_id"), F.current_timestamp().alias("received_at"), "body",
     )
 
 
@@ -55,6 +57,8 @@ def check_envelope(envelopes: DataFrame, max_logs: int = MAX_LOGS_PER_BATCH) ->
     Streams do not offer such a number; theirs is 0, and a batch id stands for all its copies.
     """
     number = F.lit(0).cast("bigint") if envelopes.isStreaming else F.monotonically_increasing_id()
+    if max_logs > MAX_POSITIONS:
+        raise ValueError(f"ids number the entries of a batch up to {MAX_POSITIONS}")
     parsed = envelopes.withColumn("_doc", _document(F.col("body"))).withColumn("envelope_no", number)
     whole = F.try_variant_get("_doc", "$[1]", "string") == F.sha2("body", 256)
     parsed = parsed.select(

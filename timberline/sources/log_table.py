@@ -7,14 +7,17 @@ Layout under one root folder::
     rejects/commit_id=N               refused entries
     commits/commit_id=N               written last: readers see commit N only once this exists
     floors/                           retention cutoffs; the highest one hides everything older
-    writers/                          the commit number range of every stream
+    writers/writer-W                  the stream that owns the numbers of writer W
+    claims/N                          a direct append that is under way, or has failed
 
-Writing commit N again replaces exactly its own folders. Numbers of one writer ascend and are written
-one after the other, so the committed set is one range per writer.
+Writing commit N again replaces exactly its own folders. Numbers of one stream ascend and are written
+one after the other. A number claimed by a direct append is never given out again, so rows of a failed one
+stay hidden. The committed set is one range per writer, cut at the claims that have no commit record.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass, replace
 from datetime import date, datetime, timezone
@@ -34,7 +37,6 @@ from timberline.sources import storage
 # Commit numbers of one writer: its number in the upper bits, its own sequence in the lower.
 _WRITER_BITS = 32
 _DIRECT_WRITER = 0
-_WRITERS = T.StructType([T.StructField("checkpoint", T.StringType()), T.StructField("writer", T.LongType())])
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ class LogTable:
         for name, fields in (
             ("logs", schema.STORED_LOGS), ("rollup", schema.STORED_ROLLUP),
             ("rejects", schema.STORED_REJECTS), ("commits", schema.STORED_COMMITS),
-            ("floors", schema.STORED_FLOOR), ("writers", _WRITERS),
+            ("floors", schema.STORED_FLOOR),
         ):
             if not storage.exists(self.spark, self._path(name)):
                 self.spark.createDataFrame([], fields).write.parquet(self._path(name))
@@ -85,10 +87,38 @@ class LogTable:
         return self.spark.read.schema(schema.STORED_COMMITS).parquet(self._path("commits"))
 
     def _committed_ranges(self) -> list[tuple[int, int]]:
-        """First and last committed number of every writer; one row per writer reaches the driver."""
+        """First and last number of every committed range; one row per writer reaches the driver.
+
+        Commit records are read before claims: a number below the last one that has no record by then was
+        claimed earlier, and its claim stays until the record is there.
+        """
         writer = F.shiftright("commit_id", _WRITER_BITS)
         rows = self.commits().groupBy(writer.alias("w")).agg(F.max("commit_id").alias("last")).collect()
-        return [(r["w"] << _WRITER_BITS, r["last"]) for r in rows]
+        found = []
+        for first, last in sorted((r["w"] << _WRITER_BITS, r["last"]) for r in rows):
+            for gap in [n for n in self._open_claims() if first <= n <= last]:
+                if first < gap:
+                    found.append((first, gap - 1))
+                first = gap + 1
+            if first <= last:
+                found.append((first, last))
+        return found
+
+    def _last(self, base: int) -> int:
+        """Last committed number of one writer; ``base - 1`` if there is none."""
+        mine = F.col("commit_id").between(base, base + (1 << _WRITER_BITS) - 1)
+        last = self.commits().where(mine).agg(F.max("commit_id")).first()[0]
+        return base - 1 if last is None else last
+
+    def _claims(self) -> list[int]:
+        return sorted(int(p.rsplit("/", 1)[1]) for p in storage.children(self.spark, self._path("claims/*")))
+
+    def _open_claims(self) -> list[int]:
+        """Numbers of direct appends that have no commit record (yet)."""
+        return [n for n in self._claims() if not self._has_record(n)]
+
+    def _has_record(self, commit_id: int) -> bool:
+        return storage.exists(self.spark, self._path(f"commits/commit_id={commit_id}"))
 
     def snapshot(self) -> Snapshot:
         """The state all parts of one answer are read at."""
@@ -99,26 +129,28 @@ class LogTable:
         floors = self.spark.read.schema(schema.STORED_FLOOR).parquet(self._path("floors"))
         return floors.agg(F.max(instants.millis(F.col("cutoff")))).first()[0]
 
-    def writer_base(self, checkpoint: str) -> int:
-        """First commit number of the stream with that checkpoint, allotted at its first start."""
-        writers = self.spark.read.schema(_WRITERS).parquet(self._path("writers"))
-        mine = writers.where(F.col("checkpoint") == checkpoint).agg(F.max("writer")).first()[0]
-        if mine is None:
-            mine = (writers.agg(F.max("writer")).first()[0] or _DIRECT_WRITER) + 1
-            self.spark.createDataFrame([(checkpoint, mine)], _WRITERS).write.mode("append").parquet(
-                self._path("writers")
-            )
-        return mine << _WRITER_BITS
+    def writer_base(self, owner: str) -> int:
+        """First commit number of the stream ``owner``; the same for every later start.
+
+        The writer number comes from the owner's name, and a file that only one caller can create keeps it, so
+        streams that start together never share one.
+        """
+        writer = 1 + int.from_bytes(hashlib.sha256(owner.encode()).digest()[:4]) % ((1 << 31) - 2)
+        while True:
+            path = self._path(f"writers/writer-{writer}")
+            if storage.create_new(self.spark, path, owner) or storage.read_text(self.spark, path) == owner:
+                return writer << _WRITER_BITS
+            writer = writer % ((1 << 31) - 2) + 1
 
     def discard_uncommitted(self, base: int) -> list[str]:
-        """Drop what a failed commit of one writer left; its retry may touch other dates."""
-        last = max([last for first, last in self._committed_ranges() if first == base], default=base - 1)
-        stale = []
-        for pattern in ("logs/event_date=*/commit_id=*", "rollup/event_date=*/commit_id=*", "rejects/commit_id=*"):
-            for path in storage.children(self.spark, self._path(pattern)):
-                number = int(path.rsplit("=", 1)[1])
-                if last < number < base + (1 << _WRITER_BITS) and number >= base:
-                    stale.append(path)
+        """Drop what failed commits of one writer left; for direct appends only while none is under way."""
+        numbers = {self._last(base) + 1}
+        if base == _DIRECT_WRITER << _WRITER_BITS:
+            numbers.update(self._open_claims())
+        stale = [
+            path for number in sorted(numbers) for name in ("logs/event_date=*/", "rollup/event_date=*/", "rejects/")
+            for path in storage.children(self.spark, self._path(f"{name}commit_id={number}"))
+        ]
         for path in stale:
             storage.remove(self.spark, path)
         return stale
@@ -126,10 +158,17 @@ class LogTable:
     # -- writing ------------------------------------------------------------------------------
 
     def append(self, validated: DataFrame) -> int:
-        """Commit validated entries outside a stream; one such caller at a time."""
-        own = [last for first, last in self._committed_ranges() if first == _DIRECT_WRITER << _WRITER_BITS]
-        commit_id = own[0] + 1 if own else 0
+        """Commit validated entries outside a stream, under a number no other attempt has had."""
+        base = _DIRECT_WRITER << _WRITER_BITS
+        while True:
+            commit_id = max([*self._claims(), self._last(base)]) + 1
+            claim = self._path(f"claims/{commit_id}")
+            if storage.create_new(self.spark, claim):
+                if not self._has_record(commit_id):
+                    break
+                storage.remove(self.spark, claim)
         self.commit(validated, commit_id)
+        storage.remove(self.spark, claim)
         return commit_id
 
     def commit(self, validated: DataFrame, commit_id: int) -> None:
@@ -288,15 +327,10 @@ class LogTable:
             cut, deleted = before, 0
         else:
             deleted = self.read_logs(P.LogFilter(until=cut)).count()
-        report = {
-            "cutoff": datetime.fromtimestamp(cut / 1000, timezone.utc),
-            "rows_deleted": deleted,
-            "duration_ms": int((time.monotonic() - started) * 1000),
-        }
         row = self.spark.range(1).select(
             instants.instant_lit(cut).alias("cutoff"),
             F.lit(deleted).cast("bigint").alias("rows_deleted"),
-            F.lit(report["duration_ms"]).cast("bigint").alias("duration_ms"),
+            F.lit(int((time.monotonic() - started) * 1000)).cast("bigint").alias("duration_ms"),
         )
         row.write.mode("append").parquet(self._path("floors"))
         oldest_kept = instants.to_date(cut)
@@ -304,7 +338,11 @@ class LogTable:
             for day in self.dates(name):
                 if day < oldest_kept:
                     storage.remove(self.spark, f"{self._path(name)}/event_date={day}")
-        return report
+        return {
+            "cutoff": datetime.fromtimestamp(cut / 1000, timezone.utc),
+            "rows_deleted": deleted,
+            "duration_ms": int((time.monotonic() - started) * 1000),
+        }
 
 
 def _midnight(day: date) -> int:

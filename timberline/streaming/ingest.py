@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import Future
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,11 +27,10 @@ def stream_ingest(
     Rows of any age are kept. ``drain`` takes what is there and stops; ``interval`` sets the pace.
     Limits on the work per micro-batch belong to the source (``stream_envelopes(**limits)``).
     """
-    base = table.writer_base(checkpoint)
-    table.discard_uncommitted(base)
+    base: Future[int] = Future()
 
     def write(validated: DataFrame, epoch: int) -> None:
-        table.commit(validated, base + epoch)
+        table.commit(validated, base.result() + epoch)
 
     writer = (
         validate_envelopes(envelopes, max_logs)
@@ -40,7 +41,17 @@ def stream_ingest(
         writer = writer.trigger(availableNow=True)
     elif interval is not None:
         writer = writer.trigger(processingTime=interval)
-    return writer.start()
+    query = writer.start()
+    # The query's id lives in its checkpoint: a lost checkpoint means a new id and numbers of its own.
+    try:
+        first = table.writer_base(str(query.id))
+        table.discard_uncommitted(first)
+        base.set_result(first)
+    except BaseException as e:
+        base.set_exception(e)
+        query.stop()
+        raise
+    return query
 
 
 def stop_after_admitted(query: StreamingQuery) -> None:

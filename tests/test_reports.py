@@ -179,5 +179,5 @@ def test_run_reports(spark):
     spans = spark.createDataFrame([("a", 0), ("a", 2_000), ("b", 0)], "k string, ms bigint").withColumn("t", F.timestamp_millis("ms"))
     rates = {r["k"]: r["per_second"] for r in run_metrics.throughput(spans, F.col("t"), ["k"]).collect()}
     assert rates == {"a": 1.0, "b": None}
-    approx = run_metrics.latency_summary(spark.range(1, 101).withColumnRenamed("id", "ms"), "ms").first()
+    approx = run_metrics.latency_summary(spark.range(1, 101).withColumnRenamed("id", "ms"), "ms", exact=False).first()
     assert (approx["avg"], approx["min"], approx["med"], approx["p95"], approx["max"]) == (50.5, 1, 50, 95, 100)

@@ -16,8 +16,7 @@ from timberline.operators.aggregate import (
     group_column,
     present,
 )
-from timberline.schema import MAX_ROLLUP_CELLS, RECENT_WINDOW_MS
-from timberline.session import fits
+from timberline.schema import RECENT_WINDOW_MS
 
 
 def rollup_1s(logs: DataFrame) -> DataFrame:
@@ -47,11 +46,6 @@ def evict_rollup(rollup: DataFrame, now: P.Instant, window_ms: int = RECENT_WIND
     return kept
 
 
-def rollup_is_compact(rollup: DataFrame, max_cells: int = MAX_ROLLUP_CELLS) -> bool:
-    """Whether the rollup is small enough to be worth reading instead of the table."""
-    return fits(rollup.groupBy("second", "service", "level").agg(F.sum("n").alias("n")).where("n > 0"), max_cells)
-
-
 @dataclass(frozen=True)
 class Route:
     """How a counting request is answered: whole seconds from the rollup, edges from the table."""

@@ -12,11 +12,11 @@ QUANTILES = {"med": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 _APPROX_ACCURACY = 10_000
 
 
-def latency_summary(df: DataFrame, value: str, exact: bool = False) -> DataFrame:
+def latency_summary(df: DataFrame, value: str, exact: bool = True) -> DataFrame:
     """``avg, min, med, p90, p95, p99, max`` of a duration column, in one row.
 
-    The default is a bounded sketch. ``exact`` interpolates between true ranks and sorts the distinct
-    values in parallel.
+    Ranks are true and interpolated; the distinct values are sorted in parallel. Without ``exact`` a bounded
+    sketch estimates them.
     """
     basics = [F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max")]
     if not exact:

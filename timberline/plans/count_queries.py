@@ -124,7 +124,7 @@ def evict_rollup(spark, sf):
 WITH {LOGS}, parts AS (
   SELECT time_bucket(INTERVAL '1 day', ts) AS b, level, count(*) AS c FROM logs WHERE level = 'error' GROUP BY 1, 2
   UNION ALL
-  SELECT time_bucket(INTERVAL '1 day', ts) AS b, level, count(*) AS c FROM logs WHERE service = 'svc-1' GROUP BY 1, 2
+  SELECT time_bucket(INTERVAL '1 day', ts) AS b, level, count(*) AS c FROM logs WHERE level <> 'error' GROUP BY 1, 2
 )
 SELECT {iso('b')} AS start, level AS "group", CAST(sum(c) AS BIGINT) AS "count" FROM parts GROUP BY 1, 2
 """)
@@ -132,18 +132,19 @@ def union_partials(spark, sf):
     logs = views.logs_view(spark, sf)
     parts = [
         aggregate.bucket_counts(logs.where(F.col("level") == "error"), "1d", "level"),
-        aggregate.bucket_counts(logs.where(F.col("service") == "svc-1"), "1d", "level"),
+        aggregate.bucket_counts(logs.where(F.col("level") != "error"), "1d", "level"),
     ]
     return aggregate.present(rollup.union_partials(*parts))
 
 
 def _hourly(spark, sf, group_by):
-    return aggregate.count_by_bucket(_logs(spark, sf), RANGE, "1h", group_by, ordered=False)
+    """Hourly counts of all rows."""
+    return aggregate.present(aggregate.bucket_counts(views.logs_view(spark, sf), "1h", group_by), ordered=False)
 
 
 HOURLY_LEVEL = f"""
 WITH {LOGS}, counted AS (
-  SELECT {bucket('1 hour')} AS start, level AS g, count(*) AS c FROM logs WHERE {SQL_RANGE} GROUP BY 1, 2
+  SELECT {bucket('1 hour')} AS start, level AS g, count(*) AS c FROM logs GROUP BY 1, 2
 )"""
 HOURLY_SERVICE = HOURLY_LEVEL.replace("level AS g", "service AS g")
 

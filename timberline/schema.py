@@ -19,7 +19,6 @@ FUTURE_TOLERANCE_MS = 300_000
 DEFAULT_PAGE_LIMIT = 100
 MAX_PAGE_LIMIT = 1_000
 RECENT_WINDOW_MS = 7_200_000
-MAX_ROLLUP_CELLS = 1_000_000
 MAX_SAFE_COUNT = 9_007_199_254_740_991
 VISIBILITY_DEADLINE_MS = 20_000
 RETENTION_BATCH = 2_000

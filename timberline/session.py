@@ -67,8 +67,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when the frame holds at most ``max_rows`` rows; reads no more than one row past that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when the frame holds at most ``max_rows`` rows; counted per task, so no rows are gathered."""
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

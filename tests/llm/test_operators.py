@@ -118,6 +118,24 @@ def test_classifiers_without_labels(spark, docs, none):
         assert score(docs, nulls).count() == len(rows())
 
 
+def test_quality_dictionaries_see_the_whole_sample(spark):
+    """Passages shared late in long texts, by texts from all over the alphabet, are in the dictionaries."""
+    import random
+
+    draw = random.Random(5)
+    noise = lambda n: " ".join(f"{draw.randrange(1 << 40):x}" for _ in range(n))
+    passages = [noise(8) for _ in range(52)]
+    own = lambda i: passages[i % 52]
+    made = [(i, f"{chr(97 + i // 2 % 26)} {noise(150)} {own(i)} {noise(20)}", i % 2) for i in range(1560)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, quality int")
+    found = quality_classifier.fit(df.drop("quality"), df.select("doc_id", "quality"))
+    for y, content in zip((1, 0), found):
+        assert len(content) <= quality_classifier.DICTIONARY_BYTES
+        assert sum(own(2 * k + y).encode() in content for k in range(26)) >= 24
+    few = [("é" * 700 + f" end of {k}") for k in range(20)]
+    assert all(x.encode() in quality_classifier.dictionary(few) for x in few)
+
+
 def test_toxicity_learns_held_out(spark):
     made = [(i, f"calm words here {i % 7} and more." + (" you are a blorgish fool." if i % 3 == 0 else " all is well."), int(i % 3 == 0)) for i in range(300)]
     df = spark.createDataFrame(made, "doc_id bigint, text string, toxic int")

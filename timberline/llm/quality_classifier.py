@@ -1,7 +1,8 @@
 """Quality by compression: zstandard dictionaries of good and bad labelled text.
 
 A text is compressed with both dictionaries; the difference of the sizes over the text's size, with the plain ratio beside it,
-goes through a logistic calibration. Dictionaries and calibration use disjoint halves of a bounded labelled sample.
+goes through a logistic calibration. Dictionaries and calibration use disjoint halves of a bounded labelled sample. A
+dictionary is the whole texts of its half if they fit; else it is trained over all of them, cut into pieces that leave nothing out.
 
 Null and empty texts get the calibrated score of no evidence. Without labels of both kinds every score is 0.5.
 """
@@ -17,6 +18,9 @@ SCHEMA = "doc_id bigint, score double"
 # Labelled rows of each kind that are learned from at most.
 PER_CLASS = 1500
 DICTIONARY_BYTES = 112 << 10
+# Samples of the trainer: so many bytes of a text each; passages of SEGMENT bytes are picked by what they share with others.
+PIECE_BYTES = 4 << 10
+SEGMENT = 256
 
 
 def features(text: str, good, bad, plain) -> tuple[float, ...]:
@@ -31,22 +35,32 @@ def compressors(good: bytes, bad: bytes):
     import zstandard as zstd
 
     make = lambda data: zstd.ZstdCompressor(
-        level=3, write_content_size=False, dict_data=zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT))
+        level=3, write_content_size=False, dict_data=zstd.ZstdCompressionDict(data))
     return make(good), make(bad), zstd.ZstdCompressor(level=3, write_content_size=False)
 
 
+def dictionary(found: list[str]) -> bytes:
+    """At most DICTIONARY_BYTES for all of the texts: they themselves, or what zstandard's trainer picks from all their pieces."""
+    import zstandard as zstd
+
+    raw = [x.encode("utf-8", "surrogatepass") for x in found]
+    whole = b"\n".join(raw)
+    if len(whole) <= DICTIONARY_BYTES:
+        return whole
+    pieces = [r[i:i + PIECE_BYTES] for r in raw for i in range(0, len(r), PIECE_BYTES)]
+    return zstd.train_dictionary(DICTIONARY_BYTES, pieces, k=SEGMENT, d=8).as_bytes()
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    sample = sorted(labelled_sample(docs, labels, "quality", per_class))
+    import xxhash
+
+    # In the order of a hash, so that the halves do not depend on what the texts begin with.
+    sample = sorted(labelled_sample(docs, labels, "quality", per_class), key=lambda r: (
+        xxhash.xxh3_64_intdigest(r[0].encode("utf-8", "surrogatepass")), *r))
     halves = {y: [t for t, k in sample if k == y] for y in (0, 1)}
     if min(map(len, halves.values())) < 4:
         return None
-
-    def content(found: list[str]) -> bytes:
-        share = DICTIONARY_BYTES // max(1, min(len(found), 150))
-        pieces = [x.encode("utf-8", "surrogatepass")[:max(share, 700)] for x in found]
-        return b"\n".join(pieces)[:DICTIONARY_BYTES]
-
-    good, bad = content(halves[1][::2]), content(halves[0][::2])
+    good, bad = dictionary(halves[1][::2]), dictionary(halves[0][::2])
     tools = compressors(good, bad)
     x, y = zip(*[(features(t, *tools), k) for k in (0, 1) for t in halves[k][1::2]])
     return good, bad, logistic_fit(x, y)

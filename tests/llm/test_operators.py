@@ -167,6 +167,38 @@ def test_license_scan(docs, none):
     assert len(license_scan.rules()) > 200
 
 
+def spelled(tree, most: bool) -> str:
+    """A text that a pattern matches: with no optional part and first branches, or with all of them and last branches."""
+    out = ""
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op == "MAX_REPEAT":
+            out += spelled(value[2], most) * max(value[0], int(most))
+        elif op == "SUBPATTERN":
+            out += spelled(value[3], most)
+        elif op == "BRANCH":
+            out += spelled(value[1][-1 if most else 0], most)
+        elif op == "IN":
+            out += chr(value[0][1][0] if str(value[0][0]) == "RANGE" else value[0][1])
+        else:
+            raise ValueError(op)
+    return out
+
+
+def test_each_license_rule_fires(spark):
+    rules = license_scan.rules()
+    assert len(rules) == len(set(rules))
+    made = [(2 * i + most, f"This is {spelled(re._parser.parse(x), bool(most))}, see.") for i, (_, _, x, _) in enumerate(rules) for most in (0, 1)]
+    made += [(-1, "CC0 1.0"), (-2, "Creative Commons Zero"), (-3, "under LGPLv3"), (-4, "cc0x cc01 mitten"), (-5, "lgpl 2 only")]
+    got = by_id(license_scan.scan(spark.createDataFrame(made, "doc_id bigint, text string")))
+    missing = [(rules[i // 2], t) for i, t in made if i >= 0 and rules[i // 2][3] not in got[i].labels.split(",")]
+    assert not missing
+    assert [got[-k].labels for k in range(1, 6)] == ["cc0-1.0", "cc0", "lgpl-3", "", "lgpl-2-only"]
+    assert [got[-k].n_places for k in range(1, 6)] == [1, 1, 1, 0, 1] and got[-1].score > 0.5 and got[-4].score == 0
+
+
 def test_quality_rules(docs, none):
     found = quality_rules.apply(docs)
     assert found.count() == len(rows()) and quality_rules.apply(none).count() == 0

@@ -18,6 +18,8 @@ from timberline.llm.quality_rules import let
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE_PATTERN = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
+# Keywords that a version may follow without a blank; all others are whole words.
+OPEN = ("agpl", "gpl", "lgpl")
 
 
 def rules() -> list[tuple[int, str, str, str]]:
@@ -61,7 +63,7 @@ def rules() -> list[tuple[int, str, str, str]]:
         ("lppl", "latex", ("latex project public license",), ("1 0", "1 2", "1 3")),
         ("ofl", "font", ("sil open font license", "open font license"), ("1 0", "1 1")),
         ("zpl", "zope", ("zope public license",), ("1 1", "2 0", "2 1")), ("php", "php", ("php license",), ("3 0", "3 01")),
-        ("cc0", "cc0", ("cc0", "creative commons zero"), ("1 0",)),
+        ("cc0", "cc0", ("cc0",), ("1 0",)), ("cc0", "creative", ("creative commons zero",), ("1 0",)),
     ):
         for form in forms:
             for number in numbers:
@@ -86,7 +88,12 @@ def rules() -> list[tuple[int, str, str, str]]:
         ("warranty", "provided as is without warranty", "no-warranty"), ("license", "see the license file", "license-file"),
     ):
         out.append((45, keyword, pattern, label))
-    return out
+    return list(dict.fromkeys(out))
+
+
+def gate_pattern() -> str:
+    """The keyword a word of a text is or, for OPEN ones, starts with; the boundary makes the order of the keywords irrelevant."""
+    return "(?<= )(?:" + "|".join(k + ("(?=[ v0-9])" if k in OPEN else "(?= )") for k in sorted({k for _, k, _, _ in rules()})) + ")"
 
 
 def blanks(text: Column) -> Column:
@@ -109,7 +116,7 @@ def places(text: Column, pattern: Column, priority: Column, label: Column) -> Co
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    gate = "(?<= )(?:" + "|".join(sorted({k for _, k, _, _ in rules()})) + ")"
+    gate = gate_pattern()
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(
         lower_ascii(F.coalesce("text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
     based = docs.select("doc_id", spaced.alias("t")).select("doc_id", F.when(F.col("t") != "  ", F.col("t")).otherwise(" ").alias("t"))
@@ -126,7 +133,7 @@ def scan(docs: DataFrame) -> DataFrame:
             F.when(F.contains("t", F.lit(f" {p} ")), F.lit(label)) for p, label in BASE.items()]), lambda x: x.isNotNull())))
         .otherwise(F.array().cast("array<string>")),
         # Rules are put together per keyword, so a text meets each rule once.
-        "keys": F.when(F.col("t").rlike(gate), F.array_distinct(F.regexp_extract_all("t", F.lit(f"{gate}"), F.lit(0)))).otherwise(F.array().cast("array<string>")),
+        "keys": F.when(F.col("t").rlike(gate), F.array_distinct(F.regexp_extract_all("t", F.lit(gate), F.lit(0)))).otherwise(F.array().cast("array<string>")),
     })
     table = [(k, [r for r in enumerate(rules()) if r[1][1] == k]) for k in sorted({k for _, k, _, _ in rules()})]
     # The table has a fixed number of rules; as an array it is a literal of the plan, and no join nor grouping is needed.

@@ -93,6 +93,47 @@ def test_model_is_a_distribution(spark, none):
         assert (10 ** ngram_lm.log_probabilities(model, *stores, np.full(6, hashes[left]), right)[2]).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_an_order(spark, order):
+    """Scores against brute force, and probabilities after contexts of every length that sum to one."""
+    import math
+
+    import numpy as np
+
+    made = [(1, "a b a c a b d a a b a c"), (2, "b a c"), (3, "a b a d"), (4, ""), (5, "c"), (6, "c"), (7, "a b a c d d c a b a")]
+    asked = [(20, "a b a c"), (21, "a b x b a c d"), (22, ""), (23, "c"), (24, "x y z")]
+    lists = lambda rows: [["<s>", *t.split(), "</s>"] for _, t in rows]
+    counts = {k: Counter() for k in range(1, order + 1)}
+    for t in lists(made):
+        for k in counts:
+            counts[k].update(g for i in range(len(t) - k + 1) if (g := tuple(t[i:i + k])) and (k == order or g[0] == "<s>"))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    del counts[1][("<s>",)]
+    types = {w for t in lists(made) for w in t[1:]}
+    cut = {k: [0.0, *ngram_lm.discounts(*[sum(n == i for n in counts[k].values()) for i in (1, 2, 3, 4)])] for k in counts}
+
+    def p(gram):
+        k = len(gram)
+        lower = p(gram[1:]) if k > 1 else 1 / (len(types) + 1)
+        after = [n for g, n in counts[k].items() if g[:-1] == gram[:-1]]
+        n = counts[k][gram]
+        return (n - cut[k][min(n, 3)] + sum(cut[k][min(m, 3)] for m in after) * lower) / sum(after) if after else lower
+
+    docs = spark.createDataFrame(made + asked, "doc_id bigint, text string")
+    model, hashes = ngram_lm.fit(docs.where("doc_id < 20"), order), ngram_lm.Hashes()
+    opened = ngram_lm.open_model(model)
+    _, _, own = ngram_lm.score_tokens(model, opened, [ngram_lm.token_hashes(t, hashes) for _, t in asked])
+    assert own == pytest.approx([math.log10(p(tuple(t[max(0, i - order + 1):i + 1]))) for t in lists(asked) for i in range(1, len(t))])
+    for before in ([], ["a"], ["a", "b"], ["a", "b", "a"], ["b", "x"]):
+        start = [hashes[ngram_lm.START], *[hashes[w.encode()] for w in before]]
+        ends = [hashes[w] for w in (b"a", b"b", b"c", b"d", ngram_lm.END, b"unseen")]
+        own = ngram_lm.score_tokens(model, opened, [np.array([*start, e]) for e in ends])[2]
+        assert (10 ** own[len(before)::len(before) + 1]).sum() == pytest.approx(1)
+    if order == 3:
+        assert ngram_lm.fit(docs)["order"] == 3 and ngram_lm.score(docs, 7, 2, 3).count() == 12
+
+
 def test_jaccard_join(docs, none):
     got = by_id(ngram_jaccard.join(docs))
     sets = {}

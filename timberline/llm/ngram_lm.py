@@ -1,10 +1,11 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and stored as sorted hash arrays.
+"""Interpolated modified Kneser-Ney model of a given order, counted in Spark and stored as sorted hash arrays.
 
-Counting: each task sums the bigrams of its texts and sends (key, words, count) rows to shards by key; a shard's task sums
-them, writes its keys in order with their counts, and reports per word what the model needs (counts, continuations,
-followers with one, two and more occurrences). Those are summed per word and stored the same way. Scoring tasks
-memory-map the shards from the shared folder and look up a batch's distinct bigrams at once, so scoring shuffles nothing
-and no task holds the model in its heap.
+Counting: each task sums the n-grams of the highest order of its texts and sends (words, count) rows to shards by key; a
+shard's task sums them, writes its keys in order with their counts, and reports per context what the model needs (total,
+followers with one, two and more occurrences), and each n-gram without its first word once. These rows are the next lower order:
+its counts are the numbers of distinct words before an n-gram. N-grams at the start of a text have no word before and count as often as
+they occur. Nothing is pruned. Scoring tasks memory-map the shards from the shared folder and look up a batch's distinct n-grams
+at once, so scoring shuffles nothing and no task holds the model in its heap.
 
 The shared folder must be a mounted one (``file:`` or no scheme); executors that are lost rewrite their shards under
 the same names. A null or empty text is one end token. Repeated rows count each. With no training rows, all words
@@ -23,11 +24,13 @@ from timberline.llm.common import frames, remainder, texts, words
 from timberline.session import materialise, scratch_path
 
 # Tokens that are summed in a task before rows are sent on.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
+ORDER = 3
 WORDS_KEPT = 400_000
-ROW = "shard bigint, key bigint, w1 bigint, w2 bigint, n bigint"
-STAT = "word bigint, count bigint, before bigint, total bigint, n1 bigint, n2 bigint, n3 bigint"
-FIELDS = ("count", "before", "total", "n1", "n2", "n3")
+CONTEXT = ("total", "n1", "n2", "n3")
+FIELDS = ("count", "before", *CONTEXT)
+# Kinds of the rows that a shard's task reports.
+SUFFIX, OF_CONTEXT, OF_WORD, OF_ORDER = range(4)
 SCHEMA = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -66,6 +69,19 @@ def pair_keys(left, right):
         return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+def gram_keys(columns):
+    """Keys of n-grams given by one array per place; that of a single word is its hash."""
+    found = columns[0]
+    for column in columns[1:]:
+        found = pair_keys(found, column)
+    return found
+
+
+def stores(order: int) -> tuple[str, str]:
+    """Names of the tables of an order's counts and contexts; single words are kept in one table with their own counts."""
+    return ("pairs", "words") if order == 2 else (f"grams{order}", f"contexts{order}")
+
+
 def shard_of(keys, shards: int):
     import numpy as np
 
@@ -94,6 +110,8 @@ def save(root: str, name: str, shard: int, columns: dict) -> None:
 
     os.makedirs(root, exist_ok=True)
     for column, values in columns.items():
+        if column != "key" and len(values):
+            values = values.astype(np.min_scalar_type(int(values.max())))
         path = f"{root}/{name}-{shard}-{column}.npy"
         with open(f"{path}.{os.getpid()}-{os.urandom(4).hex()}", "wb") as file:
             np.save(file, values)
@@ -131,90 +149,151 @@ class Shards:
         return out
 
 
-def count_bigrams(train: DataFrame, shards: int) -> DataFrame:
+def places(order: int) -> list[str]:
+    return [f"w{i}" for i in range(1, order + 1)]
+
+
+def gram_schema(order: int) -> str:
+    return ", ".join(f"{c} bigint" for c in ("shard", *places(order), "n"))
+
+
+def windows(tokens: list, order: int):
+    """All tokens on end, and the indexes of those that end an n-gram within their text."""
+    import numpy as np
+
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    flat = np.concatenate(tokens)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return flat, np.flatnonzero(at >= order - 1)
+
+
+def count_ngrams(train: DataFrame, order: int, shards: int) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         hashes = Hashes()
 
-        def rows(left, right):
-            w1, w2 = np.concatenate(left), np.concatenate(right)
-            keys = pair_keys(w1, w2)
+        def rows(tokens):
+            flat, ends = windows(tokens, order)
+            keys = gram_keys([flat[ends - order + i] for i in range(1, order + 1)])
             at, (n,) = grouped(keys, np.ones(len(keys), np.int64))
             for i in range(0, len(at), 200_000):
-                part = at[i:i + 200_000]
-                yield pa.RecordBatch.from_pydict({"shard": shard_of(keys[part], shards), "key": keys[part], "w1": w1[part], "w2": w2[part], "n": n[i:i + 200_000]})
+                part = ends[at[i:i + 200_000]]
+                yield pa.RecordBatch.from_pydict({
+                    "shard": shard_of(keys[at[i:i + 200_000]], shards), **{c: flat[part - order + k] for k, c in enumerate(places(order), 1)},
+                    "n": n[i:i + 200_000]})
 
-        left, right, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                tokens = token_hashes(text, hashes)
-                left.append(tokens[:-1])
-                right.append(tokens[1:])
-                size += len(tokens)
+                held.append(token_hashes(text, hashes))
+                size += len(held[-1])
                 if size > CHUNK:
-                    yield from rows(left, right)
-                    left, right, size = [], [], 0
-        if left:
-            yield from rows(left, right)
+                    yield from rows(held)
+                    held, size = [], 0
+        if held:
+            yield from rows(held)
 
-    return train.mapInArrow(run, ROW)
+    return train.mapInArrow(run, gram_schema(order))
 
 
-def store_bigrams(rows: DataFrame, root: str) -> DataFrame:
-    """Writes each shard's sorted keys and counts; per word and task what the model needs, in rows with ``kind``."""
+def count_starts(train: DataFrame, order: int, shards: int) -> DataFrame:
+    """The n-gram of an order below the highest at the start of each text."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def finish(shard, parts):
-            key, w1, w2, n = (np.concatenate(p) for p in zip(*parts))
-            save(root, "pairs", shard, {"key": key, "n": n})
-            one = np.ones(len(n), np.int64)
-            zero = one - one
-            at, sums = grouped(w2, n, one)
-            yield pa.RecordBatch.from_pydict(dict(zip(("word", *FIELDS), (w2[at], *sums, *[zero[:len(at)]] * 4))))
-            at, sums = grouped(w1, n, (n == 1) * one, (n == 2) * one, (n > 2) * one)
-            yield pa.RecordBatch.from_pydict(dict(zip(("word", *FIELDS), (w1[at], *[zero[:len(at)]] * 2, *sums))))
-
-        shard, parts = None, []
+        hashes = Hashes()
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "w1", "w2", "n")]
-            of = batch.column("shard").to_numpy()
-            for k in np.unique(of):
-                if shard is not None and k != shard:
-                    yield from finish(shard, parts)
-                    parts = []
-                shard = int(k)
-                parts.append([c[of == k] for c in columns])
-        if parts:
-            yield from finish(shard, parts)
+            found = []
+            for text in batch.column("text").to_pylist():
+                tokens = [START, *text.encode("utf-8", "surrogatepass").lower().split(None, order)[:order], END][:order]
+                if len(tokens) == order:
+                    found.append([hashes[t] for t in tokens])
+            if found:
+                columns = list(np.array(found, np.int64).T.copy())
+                keys = gram_keys(columns)
+                at, (n,) = grouped(keys, np.ones(len(keys), np.int64))
+                yield pa.RecordBatch.from_pydict({"shard": shard_of(keys[at], shards), **{c: x[at] for c, x in zip(places(order), columns)}, "n": n})
 
-    return rows.mapInArrow(run, STAT)
+    return train.mapInArrow(run, gram_schema(order))
 
 
-def store_words(stats: DataFrame, root: str) -> DataFrame:
+def by_shard(batches, names, finish):
+    """``finish(shard, columns)`` of each shard of a partition that is in the order of its shards."""
+    import numpy as np
+
+    shard, parts = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        of = batch.column("shard").to_numpy()
+        for k in np.unique(of):
+            if shard is not None and k != shard:
+                yield from finish(shard, [np.concatenate(p) for p in zip(*parts)])
+                parts = []
+            shard = int(k)
+            parts.append([c[of == k] for c in columns])
+    if parts:
+        yield from finish(shard, [np.concatenate(p) for p in zip(*parts)])
+
+
+def store_ngrams(rows: DataFrame, order: int, highest: bool, root: str, shards: int) -> DataFrame:
+    """Writes each shard's sorted keys and counts; what the model and the next lower order need, in rows with ``kind``."""
+    values = [f"v{i}" for i in range(1, order)]
+    schema = ", ".join(["kind int", "shard bigint", *[f"{c} bigint" for c in (*values, *"abcd")]])
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        shard, parts, kept = None, [], []
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("word", *FIELDS)]
-            of = batch.column("shard").to_numpy()
-            for k in np.unique(of):
-                if shard is not None and k != shard:
-                    save(root, "words", shard, dict(zip(("key", *FIELDS), (np.concatenate(p) for p in zip(*parts)))))
-                    parts = []
-                shard = int(k)
-                parts.append([c[of == k] for c in columns])
-                kept.append(int(k))
-        if parts:
-            save(root, "words", shard, dict(zip(("key", *FIELDS), (np.concatenate(p) for p in zip(*parts)))))
-        yield pa.RecordBatch.from_pydict({"shard": sorted(set(kept))}, schema=pa.schema([("shard", pa.int64())]))
-
-    return stats.mapInArrow(run, "shard bigint")
+        start = Hashes()[START]
+
+        def report(kind, keys, words, sums):
+            zero = np.zeros(len(keys), np.int64)
+            given = dict(zip(values, words)) | dict(zip("abcd", sums))
+            for i in range(0, len(keys), 200_000):
+                part = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_pydict({"kind": np.full(len(zero[part]), kind, np.int32), "shard": shard_of(keys[part], shards)}
+                                                 | {c: given.get(c, zero)[part] for c in (*values, *"abcd")})
+
+        def finish(shard, columns):
+            *words, n = columns
+            key = gram_keys(words)
+            by_key = np.argsort(key, kind="stable")
+            save(root, stores(order)[0], shard, {"key": key[by_key], "n": n[by_key]})
+            one = np.ones(len(n), np.int64)
+            if order > 2:
+                keys = gram_keys(words[1:])
+                at, sums = grouped(keys, one)
+                yield from report(SUFFIX, keys[at], [w[at] for w in words[1:]], sums)
+            keys = gram_keys(words[:-1])
+            at, sums = grouped(keys, n, (n == 1) * one, (n == 2) * one, (n > 2) * one)
+            yield from report(OF_CONTEXT, keys[at], [keys[at]], sums)
+            # Counts as they occur, of the word that ends the n-gram.
+            at, sums = grouped(words[-1], n * (one if highest else words[0] == start), one * (order == 2))
+            yield from report(OF_WORD, words[-1][at], [words[-1][at]], sums)
+            yield from report(OF_ORDER, one[:1], [], [np.array([(n == i).sum()]) for i in (1, 2, 3, 4)])
+
+        yield from by_shard(batches, (*places(order), "n"), finish)
+
+    return rows.mapInArrow(run, schema)
+
+
+def store_table(rows: DataFrame, root: str, name: str, fields: tuple[str, ...], shards: int) -> None:
+    """Writes the rows (key, fields), one of each key, as shards in the order of their keys."""
+    def run(batches):
+        import pyarrow as pa
+
+        def finish(shard, columns):
+            save(root, name, shard, dict(zip(("key", *fields), columns)))
+            yield pa.RecordBatch.from_pydict({"shard": [shard]}, schema=pa.schema([("shard", pa.int64())]))
+
+        yield from by_shard(batches, ("key", *fields), finish)
+
+    # The shard of a key is the one that ``shard_of`` gives: its upper 24 bits.
+    dealt = rows.withColumn("shard", F.shiftrightunsigned("key", 40) % shards).repartition(shards, "shard").sortWithinPartitions("shard", "key")
+    dealt.mapInArrow(run, "shard bigint").write.format("noop").mode("overwrite").save()
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -226,47 +305,77 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(found)]
 
 
-def fit(train: DataFrame) -> dict:
+def fit(train: DataFrame, order: int = ORDER) -> dict:
     """Counts, stores and describes the model; only totals come to the driver."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = train.sparkSession
     shards = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     root = folder(spark, "ngram-lm")
-    summed = count_bigrams(train, shards).repartition(shards, "shard").groupBy("shard", "key", "w1", "w2").agg(F.sum("n").alias("n"))
-    stats = materialise(store_bigrams(summed.sortWithinPartitions("shard", "key"), root), "ngram-lm-stats")
-    per_word = stats.groupBy("word").agg(*[F.sum(f).alias(f) for f in FIELDS])
+    rows, of_words, found = count_ngrams(train, order, shards), None, {}
+    for k in range(order, 1, -1):
+        if k < order:
+            rows = count_starts(train, k, shards).unionAll(
+                stats.where(F.col("kind") == SUFFIX).select("shard", *[F.col(f"v{i}").alias(f"w{i}") for i in range(1, k + 1)], F.col("a").alias("n")))
+        summed = rows.repartition(shards, "shard").groupBy("shard", *places(k)).agg(F.sum("n").alias("n"))
+        stats = materialise(store_ngrams(summed.sortWithinPartitions("shard"), k, k == order, root, shards), f"ngram-lm-{k}")
+        contexts = stats.where(F.col("kind") == OF_CONTEXT).select(F.col("v1").alias("key"), *[F.col(a).alias(b) for a, b in zip("abcd", CONTEXT)])
+        if k > 2:
+            store_table(contexts.groupBy("key").agg(*[F.sum(f).alias(f) for f in CONTEXT]), root, stores(k)[1], CONTEXT, shards)
+        words_of = stats.where(F.col("kind") == OF_WORD).select(F.col("v1").alias("key"), F.col("a").alias("count"), F.col("b").alias("before"))
+        of_words = words_of if of_words is None else of_words.unionAll(words_of)
+        sums = stats.where(F.col("kind") == OF_ORDER).agg(*[F.sum(c).alias(c) for c in "abcd"]).first()
+        found[f"d{k}"] = discounts(*[int(n or 0) for n in sums])
+    nothing = F.lit(0).cast("bigint")
+    per_word = of_words.select("key", "count", "before", *[nothing.alias(f) for f in CONTEXT]).unionAll(
+        contexts.select("key", nothing, nothing, *CONTEXT)).groupBy("key").agg(*[F.sum(f).alias(f) for f in FIELDS])
     per_word = materialise(per_word, "ngram-lm-words")
-    # The shard of a word is the one that ``shard_of`` gives: its upper 24 bits.
-    shard = F.shiftrightunsigned("word", 40) % shards
-    store_words(per_word.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "word"), root).write.format("noop").mode("overwrite").save()
-    pairs = per_word.agg(F.sum("count").alias("tokens"), F.sum((F.col("count") > 0).cast("long")).alias("types"), F.sum("before").alias("pairs"),
-                         F.sum("n1").alias("p1"), F.sum("n2").alias("p2"), *[F.sum((F.col("before") == i).cast("long")).alias(f"c{i}") for i in (1, 2, 3, 4)],
-                         F.sum((F.col("before") > 2).cast("long")).alias("c3up")).first()
-    total = {k: int(v or 0) for k, v in pairs.asDict().items()}
-    three = count_equal(spark, root, shards)
-    total |= {"p3": three[3], "p4": three[4]}
-    return {"root": root, "shards": shards, **total,
-            "d2": discounts(total["p1"], total["p2"], total["p3"], total["p4"]),
-            "d1": discounts(total["c1"], total["c2"], total["c3"], total["c4"])}
-
-
-def count_equal(spark, root: str, shards: int) -> dict[int, int]:
-    """How many stored bigrams have count 3 and 4, from the shards."""
-    def run(batches):
-        import pyarrow as pa
+    store_table(per_word, root, "words", FIELDS, shards)
+    sums = per_word.agg(F.sum("count").alias("tokens"), F.sum((F.col("count") > 0).cast("long")).alias("types"), F.sum("before").alias("pairs"),
+                        *[F.sum((F.col("before") == i).cast("long")).alias(f"c{i}") for i in (1, 2, 3, 4)],
+                        F.sum((F.col("before") > 2).cast("long")).alias("c3up")).first()
+    total = {k: int(v or 0) for k, v in sums.asDict().items()}
+    return {"root": root, "shards": shards, "order": order, **total, **found, "d1": discounts(total["c1"], total["c2"], total["c3"], total["c4"])}
 
-        for batch in batches:
-            n3 = n4 = 0
-            for k in batch.column("id").to_pylist():
-                if found := Shards(root, "pairs", shards, ("n",)).shard(k):
-                    n3, n4 = n3 + int((found[1] == 3).sum()), n4 + int((found[1] == 4).sum())
-            yield pa.RecordBatch.from_pydict({"n3": [n3], "n4": [n4]})
 
-    row = spark.range(shards).mapInArrow(run, "n3 bigint, n4 bigint").agg(F.sum("n3").alias("n3"), F.sum("n4").alias("n4")).first()
-    return {3: row.n3 or 0, 4: row.n4 or 0}
+def interpolated(discount: list[float], n, context, lower):
+    """The discounted share of counts ``n`` in their contexts, and what is left by the lower order; that alone after an unseen context."""
+    import numpy as np
+
+    d = np.r_[0.0, discount]
+    total, n1, n2, n3 = context
+    seen = np.maximum(total, 1)
+    return np.where(total > 0, (n - d[np.minimum(n, 3)]) / seen + (d[1] * n1 + d[2] * n2 + d[3] * n3) / seen * lower, lower)
+
+
+def open_model(model: dict) -> tuple:
+    """Counts of pairs, words, and (counts, contexts) of each higher order."""
+    shards = lambda name, fields: Shards(model["root"], name, model["shards"], fields)
+    return shards("pairs", ("n",)), shards("words", FIELDS), [
+        (shards(stores(k)[0], ("n",)), shards(stores(k)[1], CONTEXT)) for k in range(3, model["order"] + 1)]
+
+
+def score_tokens(model: dict, opened: tuple, tokens: list):
+    """(count of the word, log10 base probability, log10 model probability) of every token but the first of each text."""
+    import numpy as np
+
+    pairs, vocabulary, higher = opened
+    flat, ends = windows(tokens, 2)
+    count, base, own = log_probabilities(model, pairs, vocabulary, flat[ends - 1], flat[ends])
+    of = np.zeros(len(flat))
+    of[ends] = 10.0 ** own
+    for k, (grams, contexts) in enumerate(higher, 3):
+        _, at = windows(tokens, k)
+        context = gram_keys([flat[at - k + i] for i in range(1, k)])
+        keys, back = np.unique(pair_keys(context, flat[at]), return_inverse=True)
+        n = grams.look_up(keys)[0][back]
+        keys, back = np.unique(context, return_inverse=True)
+        of[at] = interpolated(model[f"d{k}"], n, contexts.look_up(keys)[:, back], of[at])
+    return count, base, np.log10(of[ends])
 
 
 def log_probabilities(model: dict, pairs: Shards, vocabulary: Shards, left, right):
-    """(count of the right word, log10 base probability, log10 model probability) of each bigram."""
+    """(count of the right word, log10 base probability, log10 probability by the orders up to 2) of each bigram."""
     import numpy as np
 
     keys = pair_keys(left, right)
@@ -277,38 +386,34 @@ def log_probabilities(model: dict, pairs: Shards, vocabulary: Shards, left, righ
     fields = vocabulary.look_up(both)
     ctx, word = fields[:, back[:len(left)]], fields[:, back[len(left):]]
     count, before = word[0], word[1]
-    total, n1, n2, n3 = ctx[2:]
-    d1, d2 = np.r_[0.0, model["d1"]], np.r_[0.0, model["d2"]]
+    d1 = np.r_[0.0, model["d1"]]
     uniform = 1.0 / (model["types"] + 1)
     if model["pairs"]:
         gamma = (d1[1] * model["c1"] + d1[2] * model["c2"] + d1[3] * model["c3up"]) / model["pairs"]
         p1 = (before - d1[np.minimum(before, 3)]) / model["pairs"] + gamma * uniform
     else:
         p1 = np.full(len(left), uniform)
-    seen = np.maximum(total, 1)
-    p2 = np.where(total > 0, (n - d2[np.minimum(n, 3)]) / seen + (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / seen * p1, p1)
+    p2 = interpolated(model["d2"], n, ctx[2:], p1)
     base = np.log10((count + 1) / (model["tokens"] + model["types"] + 1))
     return count, base, np.log10(p2)
 
 
-def score(docs: DataFrame, holdout: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, holdout: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
     found = texts(docs)
-    model = fit(found.where(remainder(holdout) != held))
+    model = fit(found.where(remainder(holdout) != held), order)
 
     def run(batches):
         import numpy as np
 
         hashes = Hashes()
-        pairs = Shards(model["root"], "pairs", model["shards"], ("n",))
-        vocabulary = Shards(model["root"], "words", model["shards"], FIELDS)
+        opened = open_model(model)
 
         def columns(ids, found):
             tokens = [token_hashes(x, hashes) for x in found]
             sizes = np.array([len(t) - 1 for t in tokens], np.int64)
             if not len(sizes):
                 return {c: [] for c in ("doc_id", "n_tokens", "n_known", "base_score", "score")}
-            count, base, own = log_probabilities(
-                model, pairs, vocabulary, np.concatenate([t[:-1] for t in tokens]), np.concatenate([t[1:] for t in tokens]))
+            count, base, own = score_tokens(model, opened, tokens)
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
             return {"doc_id": ids, "n_tokens": sizes, "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
                     "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(own, starts)}

@@ -151,6 +151,35 @@ def test_jaccard_join(docs, none):
     assert ngram_jaccard.keep_one(docs).columns == docs.columns
 
 
+def test_jaccard_links(spark, docs, none):
+    """All links between different sets, also those inside a group that is linked already."""
+    import random
+
+    draw = random.Random(3)
+    base = [f"v{i}" for i in range(120)]
+    made = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(i % 4):
+            words[draw.randrange(len(words))] = f"u{draw.randrange(1000)}"
+        made.append((100 + i, " ".join(words[:110 + i % 11])))
+    both = docs.select("doc_id", "text").unionAll(spark.createDataFrame(made, "doc_id bigint, text string"))
+    texts = [(r.doc_id, r.text) for r in both.collect()]
+    sets = []
+    for _, t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset({tuple(w)} - {()}))
+    near = {s: sum(100 * len(s & o) >= 80 * len(s | o) for o in set(sets) - {s}) if s else 0 for s in sets}
+    found = ngram_jaccard.link_counts(both).collect()
+    assert Counter((r.doc_id, r.n_links) for r in found) == Counter((i, near[s]) for (i, _), s in zip(texts, sets))
+    assert sum(near[s] for s in set(sets)) == 2 * ngram_jaccard.links(both).count() > 2 * len(set(sets))
+    of = {}
+    for r in found:
+        of.setdefault(r.class_id, set()).add(next(s for (i, _), s in zip(texts, sets) if i == r.doc_id))
+    assert all(len(x) == 1 for c, x in of.items() if c is not None) and of[None] == {frozenset()}
+    assert ngram_jaccard.link_counts(none).count() == 0 and ngram_jaccard.links(none).count() == 0
+
+
 def test_classifiers_without_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for score in (toxicity.score, quality_classifier.score):

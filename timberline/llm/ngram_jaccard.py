@@ -5,7 +5,8 @@ of all texts; errors of the sketch cost time, never results). Two classes can li
 shingles in that order. Candidate pairs are verified by fragments: the order of hashes is cut into fragments, the overlap of each
 fragment is counted apart, and a pair's counts are summed.
 
-Groups of near copies are not paired out: first each bucket's members are checked against the bucket's smallest
+``links`` gives every linked pair of classes and ``link_counts`` their number per document. ``join`` needs the components only, and
+there groups of near copies are not paired out: first each bucket's members are checked against the bucket's smallest
 class only; then pairs are made in those buckets that still hold several components, between components. Any link
 between different texts that is not checked joins texts that are linked already.
 
@@ -214,6 +215,25 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
         F.col("class").alias("class_id"))
 
 
+def links(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b), a < b: every pair of classes that reaches the threshold, each pair verified.
+
+    Classes are different sets, so equal texts add no pairs; the result itself grows with the square of a group of near copies.
+    """
+    raw = materialise(first_shingles(docs, percent).dropDuplicates(["h", "class"]), "first-shingles")
+    left, right = (raw.select("h", F.col("class").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & near_sizes(percent)).select("a", "b", "na", "nb").distinct()
+    return linked(docs, materialise(pairs, "link-pairs"), percent)
+
+
+def link_counts(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, class_id and n_links of every document: to how many other classes its class is linked. No class without shingles."""
+    both = materialise(links(docs, percent), "class-links")
+    counts = both.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count("*").alias("n_links"))
+    return describe(docs).select("doc_id", F.when(F.col("n") > 0, F.col("class")).alias("class_id")).join(
+        counts, F.col("class_id") == F.col("of"), "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document (of the smallest id) of each group."""
     found = join(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import instants
@@ -42,7 +44,7 @@ def page_rows(
     logs: DataFrame,
     f: P.LogFilter,
     limit: int = DEFAULT_PAGE_LIMIT,
-    cursor: tuple[P.Instant, str] | None = None,
+    cursor: Boundary | tuple[P.Instant, str] | None = None,
 ) -> DataFrame:
     """One page as a frame, with ``row_no`` from 1 and ``has_more``.
 
@@ -51,33 +53,71 @@ def page_rows(
     order = Window.orderBy(F.desc("timestamp"), F.desc("id"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        _look_ahead(logs, f, limit, cursor)
+        _look_ahead(logs, f, limit, checked_key(logs.sparkSession, f, cursor))
         .withColumn("row_no", F.row_number().over(order))
         .withColumn("has_more", F.count(F.lit(1)).over(whole) > limit)
         .where(F.col("row_no") <= limit)
     )
 
 
+class Boundary(NamedTuple):
+    """The key a page ended at, bound to the filter it was read with."""
+
+    ts: int
+    id: str
+    v: int
+    fingerprint: str
+
+
 @dataclass(frozen=True)
 class Page:
-    """At most ``limit`` rows; ``boundary`` is the key to continue from, None on the last page."""
+    """At most ``limit`` rows; ``boundary`` is what to continue from, None on the last page."""
 
     rows: list[Row]
-    boundary: tuple[int, str] | None
+    boundary: Boundary | None
+
+
+def fingerprint_of(spark: SparkSession, f: P.LogFilter) -> str:
+    """``filter_fingerprint`` of one filter, folded without a job."""
+    def text(value: str | None) -> Column:
+        return F.lit(value).cast("string")
+
+    def at(value: P.Instant | None) -> Column:
+        return text(None if value is None else instants.to_wire(value))
+
+    attr = F.create_map(*[F.lit(x) for pair in f.attributes.items() for x in pair]).cast("map<string,string>")
+    found = filter_fingerprint(text(f.service), text(f.level), at(f.since), at(f.until), text(f.q), attr)
+    return spark.createDataFrame([(1,)], "x int").select(found).first()[0]
+
+
+def checked_key(spark: SparkSession, f: P.LogFilter, cursor: Boundary | tuple[P.Instant, str] | None):
+    """The key of a boundary, if it belongs to the filter; a bare key is taken as it is."""
+    if isinstance(cursor, Boundary):
+        if cursor.v != BOUNDARY_VERSION or not re.search(UUID_PATTERN.replace(r"\z", r"\Z"), cursor.id) \
+                or cursor.fingerprint != fingerprint_of(spark, f):
+            raise ValueError("invalid cursor")
+        return cursor.ts, cursor.id
+    return cursor
 
 
 def page(
     logs: DataFrame,
     f: P.LogFilter,
     limit: int = DEFAULT_PAGE_LIMIT,
-    cursor: tuple[P.Instant, str] | None = None,
+    cursor: Boundary | tuple[P.Instant, str] | None = None,
 ) -> Page:
     """One page on the driver, which holds no more than ``limit + 1`` rows."""
-    found = _look_ahead(logs, f, limit, cursor)
-    rows = found.withColumn("timestamp_ms", instants.millis(F.col("timestamp"))).collect()
+    return read_page(logs, f, f, limit, checked_key(logs.sparkSession, f, cursor))
+
+
+def read_page(logs: DataFrame, f: P.LogFilter, asked: P.LogFilter, limit: int, key) -> Page:
+    """A page of the rows that pass ``f``, continued under the filter that was asked for."""
+    rows = _look_ahead(logs, f, limit, key).withColumn("timestamp_ms", instants.millis(F.col("timestamp"))).collect()
     kept = rows[:limit]
-    boundary = (kept[-1]["timestamp_ms"], kept[-1]["id"]) if len(rows) > limit else None
-    return Page(kept, boundary)
+    if len(rows) <= limit:
+        return Page(kept, None)
+    last = kept[-1]
+    return Page(kept, Boundary(last["timestamp_ms"], last["id"], BOUNDARY_VERSION, fingerprint_of(logs.sparkSession, asked)))
 
 
 def page_table(logs: DataFrame, limit: int = DEFAULT_PAGE_LIMIT, partitions: int | None = None) -> DataFrame:

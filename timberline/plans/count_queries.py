@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberline.functions import instants
-from timberline.operators import aggregate, reporting, rollup
+from timberline.operators import aggregate, paging, reporting, requests, rollup, tiers
 from timberline.operators.filters import LogFilter
 from timberline.plans import dashboard, views
 from timberline.plans.registry import LOGS, bucket, iso, query
@@ -99,6 +99,43 @@ def aggregate_route_falls_back(spark, sf):
     )
 
 
+CELLS = f"""
+WITH {LOGS}, cells AS (
+  SELECT CAST(tier AS INTEGER) AS tier, CAST(floor(epoch_ms(ts) / 1000) AS BIGINT) // tier * tier AS start, service, level, count(*) AS n
+  FROM logs CROSS JOIN (VALUES (1), (60), (3600), (86400)) t(tier) GROUP BY ALL
+)"""
+
+
+@query(f"{CELLS} SELECT tier, CAST(start AS BIGINT) AS start, service, level, n FROM cells")
+def rollup_tiers(spark, sf):
+    return tiers.cells_of(views.logs_view(spark, sf))
+
+
+@query(_counts_sql("1 hour", "service"))
+def aggregate_with_tiers(spark, sf):
+    logs = _logs(spark, sf)
+    return tiers.aggregate_with_tiers(logs, tiers.cells_of(logs), RANGE, "1h", "service")
+
+
+@query(_counts_sql("1 day", "level", f"{SQL_RANGE} AND service = 'svc-5'"))
+def aggregate_with_tiers_by_day(spark, sf):
+    """Finer tiers are evicted: what they no longer cover comes from the rows."""
+    logs = _logs(spark, sf)
+    now = "2024-01-30T23:59:00Z"
+    cells = tiers.evict_tiers(tiers.cells_of(logs), now)
+    f = LogFilter("svc-5", None, SINCE, UNTIL)
+    return tiers.aggregate_with_tiers(logs, cells, f, "1d", "level", tiers.coverage(now))
+
+
+@query(f"""{CELLS}
+SELECT tier, CAST(start AS BIGINT) AS start, service, level, n FROM cells
+WHERE start >= CASE tier WHEN 1 THEN epoch(TIMESTAMP '2024-01-20 08:00:00') WHEN 60 THEN epoch(TIMESTAMP '2024-01-18 10:00:00')
+                         WHEN 3600 THEN epoch(TIMESTAMP '2023-10-20 10:00:00') ELSE 0 END
+""")
+def evict_tiers(spark, sf):
+    return tiers.evict_tiers(tiers.cells_of(views.logs_view(spark, sf)), NOW)
+
+
 NOW = "2024-01-20T10:00:00.900Z"
 
 
@@ -260,10 +297,50 @@ def resolve_requests(spark, sf):
     return reporting.resolve_requests(requests, now).select("request_id", "since_ms", "until_ms", "bucket", "reason")
 
 
-BOARD_NOW = "2024-01-31T00:00:00.000Z"
+# Of these requests every fifth is kept to one service, every third to one level, and their groupings take turns.
+ANSWERS = f"""
+WITH {LOGS}, r AS (
+  SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'svc-' || CAST(event_id % 8 AS VARCHAR) END AS service,
+         CASE WHEN event_id % 3 = 0 THEN list_extract(['debug', 'info', 'warn', 'error'], CAST(event_id % 4 + 1 AS INTEGER)) END AS level,
+         CASE event_id % 7 WHEN 0 THEN 'service' WHEN 1 THEN 'level' END AS group_by,
+         epoch_ms(date_trunc('millisecond', ts)) AS hi,
+         list_extract([900000, 3600000, 21600000, 86400000, 604800000, 1], CAST(event_id % 6 + 1 AS INTEGER)) + event_id % 1000 AS span
+  FROM events
+), sized AS (
+  SELECT *, hi - span AS lo, CASE WHEN span <= 7200000 THEN 60000 WHEN span <= 43200000 THEN 300000 WHEN span <= 604800000 THEN 3600000
+         ELSE 86400000 END AS size FROM r
+)
+SELECT CAST(sized.event_id AS VARCHAR) AS request_id, {iso('make_timestamp((epoch_ms(ts) - epoch_ms(ts) % size) * 1000)')} AS start,
+       CASE group_by WHEN 'service' THEN logs.service WHEN 'level' THEN logs.level END AS "group", count(*) AS "count"
+FROM sized JOIN logs ON epoch_ms(ts) >= lo AND epoch_ms(ts) < hi
+ AND (sized.service IS NULL OR logs.service = sized.service) AND (sized.level IS NULL OR logs.level = sized.level)
+GROUP BY 1, 2, 3
+"""
 
 
-@query(f"""
+@query(ANSWERS)
+def answer_requests(spark, sf):
+    """One request per event, up to a week back from its instant, all answered together."""
+    n = F.col("event_id")
+    spans = F.array(*[F.lit(x) for x in (900_000, 3_600_000, 21_600_000, 86_400_000, 604_800_000, 1)])
+    hi = instants.naive_millis(F.col("ts"))
+    span = F.get(spans, F.pmod(n, F.lit(6)).cast("int")) + F.pmod(n, F.lit(1000))
+    asked = views.table(spark, sf, "events").select(
+        n.cast("string").alias("request_id"), F.lit("custom").alias("range"),
+        instants.wire(hi - span).alias("since"), instants.wire(hi).alias("until"),
+        F.when(n % 5 == 0, views.service_of(n)).alias("service"),
+        F.when(n % 3 == 0, F.get(F.array(*[F.lit(x) for x in LEVELS]), F.pmod(n, F.lit(4)).cast("int"))).alias("level"),
+        F.when(n % 7 == 0, "service").when(n % 7 == 1, "level").alias("group_by"),
+    )
+    logs = views.logs_view(spark, sf)
+    columns = asked.select("request_id", "service", "level", "group_by", "range", "since", "until")
+    resolved = reporting.resolve_requests(columns, F.lit(0).cast("bigint"))
+    return requests.answer_requests(resolved, logs, tiers.cells_of(logs))
+
+
+BOARD_NOW = "2024-01-31T00:00:00.000Z"
+
+BOARD = f"""
 WITH {LOGS}, seen AS (
   SELECT * FROM logs WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' AND service = 'svc-6'
 ), per_level AS (
@@ -283,9 +360,36 @@ UNION ALL SELECT 'metric', NULL, 'error_share', error_share FROM m
 UNION ALL SELECT * FROM (
   SELECT 'latest', {iso('ts')}, id, CAST(NULL AS DOUBLE) FROM seen ORDER BY ts DESC, id DESC LIMIT 100
 )
-""")
+"""
+
+
+@query(BOARD)
 def dashboard_report(spark, sf):
     report = dashboard.dashboard_report(
         views.logs_view(spark, sf), LogFilter(service=" svc-6 ", q="  "), BOARD_NOW, "30d", "level"
     )
     return dashboard.as_rows(report)
+
+
+@query(BOARD)
+def dashboard_from_tiers(spark, sf):
+    logs = views.logs_view(spark, sf)
+    report = dashboard.dashboard_report(
+        logs, LogFilter(service="svc-6"), BOARD_NOW, "30d", "level", cells=tiers.cells_of(logs)
+    )
+    return dashboard.as_rows(report)
+
+
+@query(f"""
+WITH {LOGS}, ordered AS (
+  SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS rn, count(*) OVER () AS total FROM logs
+  WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' AND service = 'svc-6'
+)
+SELECT id, {iso('ts')} AS "timestamp", CAST(rn - 40 AS INTEGER) AS row_no, total > 80 AS has_more FROM ordered WHERE rn BETWEEN 41 AND 80
+""")
+def dashboard_second_page(spark, sf):
+    """The rows of a board continued from its first page, on the board's own range."""
+    logs = views.logs_view(spark, sf)
+    report = dashboard.dashboard_report(logs, LogFilter(service="svc-6"), BOARD_NOW, "30d", limit=40)
+    rows = paging.page_rows(logs, report.filter, 40, report.page().boundary)
+    return rows.select("id", instants.wire_timestamp(F.col("timestamp")).alias("timestamp"), "row_no", "has_more")

@@ -66,12 +66,14 @@ STORED_REJECTS = T.StructType([
     T.StructField("commit_id", T.LongType()),
 ])
 
+# Cells of every tier: ``start`` in epoch seconds, ``tier`` the seconds of a cell, ``period`` the first date of its folder.
 STORED_ROLLUP = T.StructType([
-    T.StructField("second", T.LongType()),
+    T.StructField("start", T.LongType()),
     T.StructField("service", T.StringType()),
     T.StructField("level", T.StringType()),
     T.StructField("n", T.LongType()),
-    T.StructField("event_date", T.DateType()),
+    T.StructField("tier", T.IntegerType()),
+    T.StructField("period", T.DateType()),
     T.StructField("commit_id", T.LongType()),
 ])
 

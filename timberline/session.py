@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.sources import storage
+
+# Scratch folders by application.
+_SCRATCH: dict[str, list[str]] = {}
+
 # Runtime SQL settings every operator relies on.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,7 +60,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Remove the scratch folders this session has made so far, once the results derived from them are not needed any more."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        storage.remove(spark, path)
+    return len(paths)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

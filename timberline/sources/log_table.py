@@ -2,13 +2,13 @@
 
 Layout under one root folder::
 
-    logs/event_date=D/commit_id=N     accepted rows
-    rollup/event_date=D/commit_id=N   per-second counts of the same rows
-    rejects/commit_id=N               refused entries
-    commits/commit_id=N               written last: readers see commit N only once this exists
-    floors/                           retention cutoffs; the highest one hides everything older
-    writers/writer-W                  the stream that owns the numbers of writer W
-    claims/N                          a direct append that is under way, or has failed
+    logs/event_date=D/commit_id=N        accepted rows
+    rollup/tier=T/period=D/commit_id=N   counts of the same rows per second, minute, hour and day
+    rejects/commit_id=N                  refused entries
+    commits/commit_id=N                  written last: readers see commit N only once this exists
+    floors/                              retention cutoffs; the highest one hides everything older
+    writers/writer-W                     the stream that owns the numbers of writer W
+    claims/N                             a direct append that is under way, or has failed
 
 Writing commit N again replaces exactly its own folders. Numbers of one stream ascend and are written
 one after the other. A number claimed by a direct append is never given out again, so rows of a failed one
@@ -21,6 +21,7 @@ import hashlib
 import time
 from dataclasses import dataclass, replace
 from datetime import date, datetime, timezone
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from timberline import schema
 from timberline.functions import instants
 from timberline.operators import filters as P
-from timberline.operators import retention, rollup
-from timberline.operators.paging import Page, page
+from timberline.operators import aggregate, retention, tiers
+from timberline.operators.paging import Boundary, Page, checked_key, read_page
 from timberline.operators.validation import split_valid, stored_bytes
 from timberline.sources import storage
 
@@ -94,9 +95,9 @@ class LogTable:
         """
         writer = F.shiftright("commit_id", _WRITER_BITS)
         rows = self.commits().groupBy(writer.alias("w")).agg(F.max("commit_id").alias("last")).collect()
-        found = []
+        found, claimed = [], self._open_claims()
         for first, last in sorted((r["w"] << _WRITER_BITS, r["last"]) for r in rows):
-            for gap in [n for n in self._open_claims() if first <= n <= last]:
+            for gap in [n for n in claimed if first <= n <= last]:
                 if first < gap:
                     found.append((first, gap - 1))
                 first = gap + 1
@@ -148,7 +149,7 @@ class LogTable:
         if base == _DIRECT_WRITER << _WRITER_BITS:
             numbers.update(self._open_claims())
         stale = [
-            path for number in sorted(numbers) for name in ("logs/event_date=*/", "rollup/event_date=*/", "rejects/")
+            path for number in sorted(numbers) for name in ("logs/event_date=*/", "rollup/tier=*/period=*/", "rejects/")
             for path in storage.children(self.spark, self._path(f"{name}commit_id={number}"))
         ]
         for path in stale:
@@ -195,12 +196,12 @@ class LogTable:
             self._overwrite(
                 rejected.withColumn("commit_id", F.lit(commit_id).cast("bigint")), "rejects", ["commit_id"]
             )
-            cells = rollup.rollup_1s(accepted).select(
-                "*",
-                instants.event_date(F.timestamp_seconds("second")).alias("event_date"),
+            # Few files per period, each in the order that ranges are asked in.
+            cells = tiers.cells_of(accepted).select(
+                "start", "service", "level", "n", "tier", tiers.period_of(F.col("tier"), F.col("start")).alias("period"),
                 F.lit(commit_id).cast("bigint").alias("commit_id"),
-            )
-            self._overwrite(cells.hint("rebalance", "event_date"), "rollup", ["event_date", "commit_id"])
+            ).hint("rebalance", "tier", "period").sortWithinPartitions("tier", "period", "start")
+            self._overwrite(cells, "rollup", ["tier", "period", "commit_id"])
             self._overwrite(self._totals(kept, commit_id), "commits", ["commit_id"])
         finally:
             kept.unpersist()
@@ -228,46 +229,75 @@ class LogTable:
 
     # -- reading ------------------------------------------------------------------------------
 
-    def dates(self, name: str = "logs") -> list[date]:
-        """Dates that have a folder, oldest first."""
-        found = storage.children(self.spark, self._path(f"{name}/event_date=*"))
+    def dates(self) -> list[date]:
+        """Dates that have rows, oldest first."""
+        found = storage.children(self.spark, self._path("logs/event_date=*"))
         return [date.fromisoformat(p.rsplit("=", 1)[1]) for p in found]
 
-    def _scan(self, name: str, fields: T.StructType, f: P.LogFilter, at: Snapshot) -> DataFrame:
-        """Committed rows; only the folders of the dates asked for are listed."""
+    def _scan(self, name: str, fields: T.StructType, folders: list[str] | None, at: Snapshot) -> DataFrame:
+        """Committed rows; only the given folders are listed, all of them if None."""
         base = self._path(name)
         reader = self.spark.read.schema(fields).option("basePath", base)
-        if f.since is None and f.until is None:
-            found = reader.parquet(base)
-        else:
-            lo = instants.to_date(f.since) if f.since is not None else date.min
-            hi = instants.to_date(f.until) if f.until is not None else date.max
-            days = [d for d in self.dates(name) if lo <= d <= hi]
-            if not days:
-                return self.spark.createDataFrame([], fields)
-            found = reader.parquet(*[f"{base}/event_date={d}" for d in days])
+        if folders is not None and not folders:
+            return self.spark.createDataFrame([], fields)
+        found = reader.parquet(base) if folders is None else reader.parquet(*[f"{base}/{folder}" for folder in folders])
         return found.where(at.committed())
 
+    def _dates_within(self, ranges) -> list[str]:
+        """Folders of the dates that half-open ranges touch."""
+        days = [(instants.to_date(lo), instants.to_date(hi - 1)) for lo, hi in ranges]
+        return [f"event_date={d}" for d in self.dates() if any(lo <= d <= hi for lo, hi in days)]
+
+    def _scan_logs(self, f: P.LogFilter, at: Snapshot) -> DataFrame:
+        if f.since is None and f.until is None:
+            return self._scan("logs", schema.STORED_LOGS, None, at)
+        lo = instants.to_date(f.since) if f.since is not None else date.min
+        hi = instants.to_date(f.until) if f.until is not None else date.max
+        return self._scan("logs", schema.STORED_LOGS, [f"event_date={d}" for d in self.dates() if lo <= d <= hi], at)
+
     def read_logs(self, f: P.LogFilter | None = None, at: Snapshot | None = None) -> DataFrame:
         """Visible rows that pass the filter, with partition columns for further pruning."""
         at = at or self.snapshot()
         f = at.above_floor(f or P.LogFilter())
         if f is None:
             return self.spark.createDataFrame([], schema.STORED_LOGS)
-        return P.apply_filters(self._scan("logs", schema.STORED_LOGS, f, at), f)
+        return P.apply_filters(self._scan_logs(f, at), f)
 
     def read_rollup(self, f: P.LogFilter | None = None, at: Snapshot | None = None) -> DataFrame:
         """Per-second cells of whole seconds within the filter's range; commits are partial counts."""
         at = at or self.snapshot()
         f = at.above_floor(f or P.LogFilter())
         if f is None:
-            return self.spark.createDataFrame([], schema.STORED_ROLLUP)
-        cells = self._scan("rollup", schema.STORED_ROLLUP, f, at)
-        if f.since is not None:
-            cells = cells.where(F.col("second") >= -(-instants.to_millis(f.since) // 1000))
-        if f.until is not None:
-            cells = cells.where(F.col("second") < instants.to_millis(f.until) // 1000)
-        return cells
+            return self.spark.createDataFrame([], schema.STORED_ROLLUP).withColumnRenamed("start", "second")
+        lo = -(-instants.to_millis(f.since) // 1000) * 1000 if f.since is not None else None
+        hi = instants.to_millis(f.until) // 1000 * 1000 if f.until is not None else None
+        cells = self._scan("rollup", schema.STORED_ROLLUP, self._cell_folders([(1, lo, hi)]), at).where(F.col("tier") == 1)
+        if lo is not None:
+            cells = cells.where(F.col("start") >= lo // 1000)
+        if hi is not None:
+            cells = cells.where(F.col("start") < hi // 1000)
+        return cells.withColumnRenamed("start", "second")
+
+    def _cell_folders(self, pieces) -> list[str]:
+        """Folders that hold the cells of a cover's pieces; an open end is None."""
+        found = []
+        for tier, parts in groupby(sorted(pieces, key=lambda piece: piece[0]), key=lambda piece: piece[0]):
+            wanted = [
+                (date.min if lo is None else tiers.period_date(tier, lo), date.max if hi is None else tiers.period_date(tier, hi - 1))
+                for _, lo, hi in parts
+            ]
+            for path in storage.children(self.spark, self._path(f"rollup/tier={tier}/period=*")):
+                period = date.fromisoformat(path.rsplit("=", 1)[1])
+                if any(lo <= period <= hi for lo, hi in wanted):
+                    found.append(f"tier={tier}/period={period}")
+        return found
+
+    def _covered(self, f: P.LogFilter, bucket: str, at: Snapshot) -> tuple[DataFrame, DataFrame, tiers.Cover]:
+        """Rows, cells and cover of a countable request above the floor. Folders that are not needed are not listed."""
+        aggregate.check_bucket(bucket)
+        c = tiers.cover(f.since, f.until, schema.BUCKET_MS[bucket], dict.fromkeys(tiers.TIERS))
+        logs = self._scan("logs", schema.STORED_LOGS, self._dates_within(c.rows), at)
+        return logs, self._scan("rollup", schema.STORED_ROLLUP, self._cell_folders(c.pieces), at), c
 
     def rejects(self) -> DataFrame:
         found = self.spark.read.schema(schema.STORED_REJECTS).parquet(self._path("rejects"))
@@ -279,18 +309,23 @@ class LogTable:
             raise ValueError("since and until are required")
         at = self.snapshot()
         raised = at.above_floor(f) or f.between(f.until, f.until)
-        way = rollup.route(raised, covered_from=raised.since)
-        edges = raised if way is None else raised.between(way.fringes[0][0], way.fringes[-1][1]) if way.fringes else None
-        # Without edges the rows are not read, so they are not listed either.
-        logs = self.spark.createDataFrame([], schema.STORED_LOGS) if edges is None else self.read_logs(edges, at)
-        return rollup.aggregate_with_rollup(
-            logs, self.read_rollup(raised, at), raised, bucket, group_by, covered_from=raised.since
-        )
+        if not raised.countable:
+            return aggregate.count_by_bucket(self.read_logs(raised, at), raised, bucket, group_by)
+        logs, cells, c = self._covered(raised, bucket, at)
+        return aggregate.present(tiers.count_with_tiers(logs, cells, raised, c, bucket, group_by))
+
+    def count_by_key(self, f: P.LogFilter, bucket: str) -> DataFrame:
+        """``start_ms, service, level, count`` of a countable request."""
+        at = self.snapshot()
+        raised = at.above_floor(f) or f.between(f.until, f.until)
+        logs, cells, c = self._covered(raised, bucket, at)
+        return tiers.count_by_key(logs, cells, raised, c, bucket)
 
     def newest_page(
-        self, f: P.LogFilter, limit: int = schema.DEFAULT_PAGE_LIMIT, cursor: tuple[P.Instant, str] | None = None
+        self, f: P.LogFilter, limit: int = schema.DEFAULT_PAGE_LIMIT, cursor: Boundary | tuple[P.Instant, str] | None = None
     ) -> Page:
         """One page read from the newest dates back, over spans that double until the page is full."""
+        cursor = checked_key(self.spark, f, cursor)
         at = self.snapshot()
         hi = instants.to_date(cursor[0]) if cursor else None
         if f.until is not None:
@@ -307,7 +342,7 @@ class LogTable:
             if lower is not None and f.until is not None and instants.to_millis(f.until) < lower:
                 span *= 2
                 continue
-            found = page(self.read_logs(part, at), P.LogFilter(), limit, cursor)
+            found = read_page(self.read_logs(part, at), P.LogFilter(), f, limit, cursor)
             if found.boundary is not None or lower is None:
                 return found
             span *= 2
@@ -334,10 +369,14 @@ class LogTable:
         )
         row.write.mode("append").parquet(self._path("floors"))
         oldest_kept = instants.to_date(cut)
-        for name in ("logs", "rollup"):
-            for day in self.dates(name):
-                if day < oldest_kept:
-                    storage.remove(self.spark, f"{self._path(name)}/event_date={day}")
+        for day in self.dates():
+            if day < oldest_kept:
+                storage.remove(self.spark, f"{self._path('logs')}/event_date={day}")
+        for tier in tiers.TIERS:
+            # A period goes once it ends before the first date that is kept.
+            for path in storage.children(self.spark, self._path(f"rollup/tier={tier}/period=*")):
+                if date.fromisoformat(path.rsplit("=", 1)[1]) < tiers.period_date(tier, cut):
+                    storage.remove(self.spark, path)
         return {
             "cutoff": datetime.fromtimestamp(cut / 1000, timezone.utc),
             "rows_deleted": deleted,

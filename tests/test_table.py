@@ -120,6 +120,8 @@ def test_retention(spark, table):
     kept = ["2026-07-18T12:00:00.000Z", "2026-07-18T12:00:00.001Z", "2026-07-20T00:00:00.000Z"]
     report = table.apply_retention("2026-07-20T12:00:00.000Z", 2)
     assert report["rows_deleted"] == 2 and instants.to_wire(report["cutoff"]) == cut
+    kept_report = table.retention_passes().select("rows_deleted", "duration_ms").first()
+    assert tuple(kept_report) == (2, report["duration_ms"]) and table.floor() == instants.to_millis(cut)
     assert stamps(table.read_logs()) == kept
     assert [str(d) for d in table.dates()] == ["2026-07-18", "2026-07-20"]
     wide = LogFilter(since="2026-07-01T00:00:00Z", until="2026-08-01T00:00:00Z")

@@ -11,7 +11,7 @@ from timberline.functions import instants
 from timberline.operators import aggregate, paging, requests, tiers, validation
 from timberline.operators.filters import LogFilter
 from timberline.plans import dashboard
-from timberline.schema import BUCKET_MS
+from timberline.schema import BUCKET_MS, STORED_LOGS
 from timberline.sources import storage
 from timberline.sources.log_table import LogTable
 
@@ -200,5 +200,5 @@ def test_cells_are_read_once_and_pruned(spark, drawn, tmp_path):
     cells.write.partitionBy("tier").parquet(str(tmp_path / "cells"))
     stored = spark.read.parquet(str(tmp_path / "cells"))
     c = tiers.cover(BASE + 60_000, BASE + DAY, 3_600_000, dict.fromkeys(tiers.TIERS))
-    plan = plan_text(tiers.count_cells(stored, LogFilter(), c, "1h"))
-    assert plan.count("Scan parquet") == 2 and "PartitionFilters: [((tier" in plan and "PushedFilters: [Or(" in plan
+    plan = plan_text(tiers.count_by_key(spark.createDataFrame([], STORED_LOGS), stored, LogFilter(), c, "1h"))
+    assert plan.count("Scan parquet") == 2 and plan.count("Exchange (") == 1 and "PartitionFilters: [((tier" in plan and "PushedFilters: [Or(" in plan

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import instants
 from timberline.operators import filters as P
-from timberline.operators.aggregate import bucket_counts, check_bucket, count_by_bucket, group_column, present
+from timberline.operators.aggregate import check_bucket, count_by_bucket, group_column, present
 from timberline.schema import BUCKET_MS, RECENT_WINDOW_MS
 
 # Seconds of a cell, finest first, and the calendar unit whose cells are stored together.
@@ -125,40 +125,43 @@ def within(pieces, columns) -> Column:
     return reduce(lambda a, b: a | b, found, F.lit(False))
 
 
-def count_cells(cells: DataFrame, f: P.LogFilter, c: Cover, bucket: str, *groups: Column) -> DataFrame:
-    """``start_ms``, the groups and ``count`` over the cells of a cover, as a mergeable partial result."""
+def _cells_in(cells: DataFrame, f: P.LogFilter, c: Cover, bucket: str, groups: list[Column]) -> DataFrame:
+    """``start_ms``, the groups and ``n`` of the cells of a cover."""
     found = cells.where(within(c.pieces, cells.columns))
     if f.service is not None:
         found = found.where(P.service_eq(f.service))
     if f.level is not None:
         found = found.where(P.level_eq(f.level))
-    return found.groupBy(instants.bucket_millis(F.col("start") * 1000, bucket).alias("start_ms"), *groups).agg(
-        F.sum("n").alias("count")
-    )
+    return found.select(instants.bucket_millis(F.col("start") * 1000, bucket).alias("start_ms"), *groups, "n")
 
 
 def rows_of(logs: DataFrame, f: P.LogFilter, c: Cover) -> DataFrame:
     """The rows that the cells leave out."""
     found = logs.where(P.range_union(c.rows))
     if "event_date" in logs.columns:
-        days = [part for lo, hi in c.rows for part in [P.date_bounds(lo, hi - 1)]]
-        found = found.where(reduce(lambda a, b: a | b, [lo & hi for lo, hi in days]))
+        days = [P.date_bounds(lo, hi - 1) for lo, hi in c.rows]
+        found = found.where(reduce(lambda a, b: a | b, [first & last for first, last in days]))
     return P.apply_filters(found, P.LogFilter(service=f.service, level=f.level))
 
 
-def count_with_tiers(logs: DataFrame, cells: DataFrame, f: P.LogFilter, c: Cover, bucket: str, group_by: str | None) -> DataFrame:
-    """``start_ms, group, count`` from the cells of a cover and the rows it leaves out."""
+def _counted(logs: DataFrame, cells: DataFrame, f: P.LogFilter, c: Cover, bucket: str, groups: list[Column]) -> DataFrame:
+    """Cells, and rows as cells of one, summed in one shuffle: ``start_ms``, the groups and ``count``."""
     check_bucket(bucket)
-    parts = []
+    start = instants.bucket_millis(instants.millis(F.col("timestamp")), bucket)
+    rows = rows_of(logs, f, c) if c.rows else logs.limit(0)
+    parts = [rows.select(start.alias("start_ms"), *groups, F.lit(1).cast("bigint").alias("n"))] if c.rows or not c.pieces else []
     if c.pieces:
-        parts.append(count_cells(cells, f, c, bucket, group_column(group_by).alias("group")))
-    if c.rows:
-        parts.append(bucket_counts(rows_of(logs, f, c), bucket, group_by))
-    if not parts:
-        return bucket_counts(logs.limit(0), bucket, group_by)
-    if len(parts) == 1:
-        return parts[0].select("start_ms", "group", "count")
-    return parts[0].unionByName(parts[1]).groupBy("start_ms", "group").agg(F.sum("count").alias("count"))
+        parts.append(_cells_in(cells, f, c, bucket, groups))
+    names = [name for name in parts[0].columns if name != "n"]
+    return reduce(DataFrame.unionByName, parts).groupBy(*names).agg(F.sum("n").alias("count"))
+
+
+def count_with_tiers(logs: DataFrame, cells: DataFrame, f: P.LogFilter, c: Cover, bucket: str, group_by: str | None) -> DataFrame:
+    """``start_ms, group, count`` from the cells of a cover and the rows it leaves out."""
+    # Grouping by a NULL literal as well would only widen the key.
+    if group_by is None:
+        return _counted(logs, cells, f, c, bucket, []).select("start_ms", group_column(None).alias("group"), "count")
+    return _counted(logs, cells, f, c, bucket, [group_column(group_by).alias("group")])
 
 
 def aggregate_with_tiers(
@@ -180,13 +183,4 @@ def aggregate_with_tiers(
 
 def count_by_key(logs: DataFrame, cells: DataFrame, f: P.LogFilter, c: Cover, bucket: str) -> DataFrame:
     """``start_ms, service, level, count``: what all panels of a board are derived from."""
-    parts = []
-    if c.pieces:
-        parts.append(count_cells(cells, f, c, bucket, F.col("service"), F.col("level")))
-    if c.rows or not parts:
-        rows = rows_of(logs, f, c) if c.rows else logs.limit(0)
-        start = instants.bucket_millis(instants.millis(F.col("timestamp")), bucket)
-        parts.append(rows.groupBy(start.alias("start_ms"), "service", "level").agg(F.count(F.lit(1)).alias("count")))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy("start_ms", "service", "level").agg(
-        F.sum("count").alias("count")
-    )
+    return _counted(logs, cells, f, c, bucket, [F.col("service"), F.col("level")])

@@ -88,7 +88,8 @@ STORED_COMMITS = T.StructType([
     T.StructField("commit_id", T.LongType()),
 ])
 
-STORED_FLOOR = T.StructType([
+# One row per retention pass, written when its folders are gone.
+STORED_RETENTION = T.StructType([
     T.StructField("cutoff", T.TimestampType()),
     T.StructField("rows_deleted", T.LongType()),
     T.StructField("duration_ms", T.LongType()),

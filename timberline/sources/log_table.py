@@ -6,7 +6,8 @@ Layout under one root folder::
     rollup/tier=T/period=D/commit_id=N   counts of the same rows per second, minute, hour and day
     rejects/commit_id=N                  refused entries
     commits/commit_id=N                  written last: readers see commit N only once this exists
-    floors/                              retention cutoffs; the highest one hides everything older
+    floors/cutoff=MS                     retention cutoffs; the highest one hides everything older
+    retention/                           what each retention pass did
     writers/writer-W                     the stream that owns the numbers of writer W
     claims/N                             a direct append that is under way, or has failed
 
@@ -75,7 +76,7 @@ class LogTable:
         for name, fields in (
             ("logs", schema.STORED_LOGS), ("rollup", schema.STORED_ROLLUP),
             ("rejects", schema.STORED_REJECTS), ("commits", schema.STORED_COMMITS),
-            ("floors", schema.STORED_FLOOR),
+            ("retention", schema.STORED_RETENTION),
         ):
             if not storage.exists(self.spark, self._path(name)):
                 self.spark.createDataFrame([], fields).write.parquet(self._path(name))
@@ -88,28 +89,32 @@ class LogTable:
         return self.spark.read.schema(schema.STORED_COMMITS).parquet(self._path("commits"))
 
     def _committed_ranges(self) -> list[tuple[int, int]]:
-        """First and last number of every committed range; one row per writer reaches the driver.
+        """First and last number of every committed range.
 
         Commit records are read before claims: a number below the last one that has no record by then was
         claimed earlier, and its claim stays until the record is there.
         """
-        writer = F.shiftright("commit_id", _WRITER_BITS)
-        rows = self.commits().groupBy(writer.alias("w")).agg(F.max("commit_id").alias("last")).collect()
+        last: dict[int, int] = {}
+        for number in self._recorded():
+            last[number >> _WRITER_BITS] = max(number, last.get(number >> _WRITER_BITS, number))
         found, claimed = [], self._open_claims()
-        for first, last in sorted((r["w"] << _WRITER_BITS, r["last"]) for r in rows):
-            for gap in [n for n in claimed if first <= n <= last]:
+        for writer, newest in sorted(last.items()):
+            first = writer << _WRITER_BITS
+            for gap in [n for n in claimed if first <= n <= newest]:
                 if first < gap:
                     found.append((first, gap - 1))
                 first = gap + 1
-            if first <= last:
-                found.append((first, last))
+            if first <= newest:
+                found.append((first, newest))
         return found
 
+    def _recorded(self) -> list[int]:
+        """Commit numbers by the names of their records: one listing instead of a job."""
+        return [int(p.rsplit("=", 1)[1]) for p in storage.children(self.spark, self._path("commits/commit_id=*"))]
+
     def _last(self, base: int) -> int:
         """Last committed number of one writer; ``base - 1`` if there is none."""
-        mine = F.col("commit_id").between(base, base + (1 << _WRITER_BITS) - 1)
-        last = self.commits().where(mine).agg(F.max("commit_id")).first()[0]
-        return base - 1 if last is None else last
+        return max((n for n in self._recorded() if base <= n < base + (1 << _WRITER_BITS)), default=base - 1)
 
     def _claims(self) -> list[int]:
         return sorted(int(p.rsplit("/", 1)[1]) for p in storage.children(self.spark, self._path("claims/*")))
@@ -127,8 +132,7 @@ class LogTable:
 
     def floor(self) -> int | None:
         """Highest retention cutoff applied so far, in epoch milliseconds."""
-        floors = self.spark.read.schema(schema.STORED_FLOOR).parquet(self._path("floors"))
-        return floors.agg(F.max(instants.millis(F.col("cutoff")))).first()[0]
+        return max((int(p.rsplit("=", 1)[1]) for p in storage.children(self.spark, self._path("floors/cutoff=*"))), default=None)
 
     def writer_base(self, owner: str) -> int:
         """First commit number of the stream ``owner``; the same for every later start.
@@ -362,12 +366,7 @@ class LogTable:
             cut, deleted = before, 0
         else:
             deleted = self.read_logs(P.LogFilter(until=cut)).count()
-        row = self.spark.range(1).select(
-            instants.instant_lit(cut).alias("cutoff"),
-            F.lit(deleted).cast("bigint").alias("rows_deleted"),
-            F.lit(int((time.monotonic() - started) * 1000)).cast("bigint").alias("duration_ms"),
-        )
-        row.write.mode("append").parquet(self._path("floors"))
+        storage.create_new(self.spark, self._path(f"floors/cutoff={cut}"))
         oldest_kept = instants.to_date(cut)
         for day in self.dates():
             if day < oldest_kept:
@@ -377,11 +376,14 @@ class LogTable:
             for path in storage.children(self.spark, self._path(f"rollup/tier={tier}/period=*")):
                 if date.fromisoformat(path.rsplit("=", 1)[1]) < tiers.period_date(tier, cut):
                     storage.remove(self.spark, path)
-        return {
-            "cutoff": datetime.fromtimestamp(cut / 1000, timezone.utc),
-            "rows_deleted": deleted,
-            "duration_ms": int((time.monotonic() - started) * 1000),
-        }
+        moment, took = datetime.fromtimestamp(cut / 1000, timezone.utc), int((time.monotonic() - started) * 1000)
+        done = self.spark.createDataFrame([(moment, deleted, took)], schema.STORED_RETENTION)
+        done.write.mode("append").parquet(self._path("retention"))
+        return {"cutoff": moment, "rows_deleted": deleted, "duration_ms": took}
+
+    def retention_passes(self) -> DataFrame:
+        """``cutoff, rows_deleted, duration_ms`` of every pass; the duration includes removing folders."""
+        return self.spark.read.schema(schema.STORED_RETENTION).parquet(self._path("retention"))
 
 
 def _midnight(day: date) -> int:

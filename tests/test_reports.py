@@ -1,5 +1,5 @@
 import pytest
-from helpers import make_logs
+from helpers import make_logs, plan_text
 from pyspark.sql import functions as F
 
 from timberline.functions import instants
@@ -142,9 +142,53 @@ def test_saved_filters_against_each_filter_alone(spark, max_broadcast):
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, n) for i, ids in expected.items() for n in ids}
     assert matching.match_saved_filters(logs.limit(0), table, max_broadcast).agg(F.sum("matches")).first()[0] == 0
     assert matching.match_rows(logs.limit(0), table).count() == 0
+    twice = matching.match_saved_filters(logs, table.unionByName(table.where("filter_id IN (0, 4)").withColumn("service", F.lit("s1"))), max_broadcast)
+    assert sorted(r["matches"] for r in twice.where("filter_id = 0").collect()) == [20, 60]
     assert matching.match_saved_filters(logs, table.limit(0)).count() == 0
 
 
+def test_tests_are_looked_up_at_their_rarest_feature(spark, monkeypatch):
+    """Each test meets only rows that hold its anchor, days that lack a feature are left out, hot places are split."""
+    hour = 3_600_000
+    texts = ["common words here", "common words ÄÖÜ", "rare zebra here", "x", "", "zz" + "common " * 300]
+    logs = make_logs(spark, [(n, n * hour, "info", "s", texts[n % 6], {"k": str(n % 3), "a:b": "c"}) for n in range(240)]).cache()
+    rows = [
+        (0, "ZEBRA"), (1, "common"), (2, "äöü"), (3, "x"), (4, ""), (5, "not there"), (6, "common words"), (7, "mon com"), (8, "zzc"),
+    ]
+    table = spark.createDataFrame([(i, None, None, None, None, q, None) for i, q in rows], FILTERS)
+    pairs = spark.createDataFrame([(20, None, None, None, None, "here", {"k": "2"}), (21, None, None, None, None, None, {"a:b": "c", "k": "1"})], FILTERS)
+    monkeypatch.setattr(matching, "ROWS_PER_SALT", 3)
+    monkeypatch.setattr(matching, "TRIED", 0)
+    wanted = matching._wanted(table.unionByName(pairs))
+    anchors = matching.anchors_of(logs, matching._tests(wanted), 0).join(wanted.select("test", "filter_id"), "test")
+    of = {r["filter_id"]: r for r in anchors.groupBy("filter_id").agg(F.collect_set("feature").alias("f"), F.max("n").alias("n")).collect()}
+    assert 5 not in of and of[0]["f"][0] in {"tzeb", "tebr", "tbra"} and of[3]["f"] == [""] and of[0]["n"] == 4
+    folded = [t.lower() for t in texts]
+    expected = {i: 40 * sum(q.lower() in t for t in folded) for i, q in rows} | {20: 40, 21: 80}
+    for most in (0, 1000):
+        found = matching.match_saved_filters(logs, table.unionByName(pairs), most).collect()
+        assert {r["filter_id"]: r["matches"] for r in found} == expected
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(matching._looked_up(logs, matching._tests(wanted), 0))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin Inner" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_bounds_inside_hours(spark):
+    at = [0, 1, 999, 1000, 3_599_999, 3_600_000, 3_600_001, 7_300_500, 7_300_500]
+    logs = make_logs(spark, [(n, t, "info", None if n == 2 else "s", "m", {}) for n, t in enumerate(at)])
+    bounds = [(lo, hi) for lo in (0, 1, 1000, 3_599_999, 7_300_500) for hi in (1, 1000, 3_600_000, 3_600_001, 7_300_501)]
+    rows = [(i, lo, hi, ["s", None][i % 2]) for i, (lo, hi) in enumerate(bounds)]
+    table = spark.createDataFrame(rows, "filter_id int, lo bigint, hi bigint, service string").select(
+        "filter_id", "service", F.lit(None).cast("string").alias("level"), F.timestamp_millis("lo").alias("since"),
+        F.timestamp_millis("hi").alias("until"), F.lit(None).cast("string").alias("q"), F.lit(None).cast("map<string,string>").alias("attr"),
+    )
+    found = {r["filter_id"]: r["matches"] for r in matching.match_saved_filters(logs, table).collect()}
+    assert found == {i: sum(lo <= t < hi and not (s and n == 2) for n, t in enumerate(at)) for i, lo, hi, s in rows}
+
+
 def test_resource_samples(spark, tmp_path):
     path = tmp_path / "resources.csv"
     path.write_text(

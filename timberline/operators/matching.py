@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions import instants
+from timberline.operators.ranks import Level, floored, ranked
 from timberline.schema import DAY_MS, VISIBILITY_DEADLINE_MS
-from timberline.session import fits
+from timberline.session import MAX_BROADCAST_BYTES, broadcast_if_small, fits, materialise, on_all_cores
 
-# A row test is a short text and a few attributes; this many stay far below Spark's 8 GB broadcast
-# ceiling (under 2 KB each: below 200 MB).
+# Rows of a broadcast table; their bytes are bounded besides, see ``session.fits``.
 MAX_BROADCAST_FILTERS = 100_000
-# A marker is one short text.
 MAX_BROADCAST_MARKERS = 1_000_000
 SALTS = 16
 
@@ -55,19 +54,35 @@ def visibility_totals(audit: DataFrame) -> DataFrame:
 
 # -- saved filters ----------------------------------------------------------------------------
 #
-# Counting never pairs rows with filters. A filter's count is the number of rows before its upper
-# bound less the number before its lower bound, within the rows of its key: service, level and the
-# row test (search text and attributes) it shares with other filters. Rows are counted per key and
-# block of time; every bound then looks up the blocks before it, and only a bound inside a block
-# needs rows of that block.
+# Counting never pairs rows with filters. A filter's count is the rank of its upper bound less that of its lower bound,
+# within the rows of its key: service, level and the row test (search text and attributes) it shares with other
+# filters. Rows are counted per key and tick before anything is joined: an hour, or a millisecond in the hours some
+# bound lies inside.
+#
+# Row tests are found by an inverted index. A row's features are the trigrams of its folded message and its attributes;
+# a test needs all features of its own. They are counted per day first, so each test is anchored at the rarest of its
+# features that day, is left out on days that lack one, and meets only the rows that hold its anchor. A few tests are
+# cheaper tried than looked up: then those with attributes are anchored at one, and the others meet every row.
 
-BLOCK_MS = 3_600_000
+HOUR_MS = 3_600_000
 _OPEN = 2**62  # stands for a missing upper bound
-_KEY = ("test", "service", "level")
+# Whether a key names a service and a level.
+_SHAPES = {"any": (False, False), "of_level": (False, True), "of_service": (True, False), "of_both": (True, True)}
+# Rows of one feature and day that one task tests.
+ROWS_PER_SALT = 200_000
+# So many tests without attributes are tried on every row instead of looked up by trigrams.
+TRIED = 64
+# Characters of a message beyond which its trigrams are listed in one go instead of cut one by one.
+LONG = 512
+# The feature of every row, for tests that have none of their own.
+_ANY = ""
 
 
 def _wanted(filters: DataFrame) -> DataFrame:
-    """Saved filters in join form; ``test`` names the row test, NULL when there is none."""
+    """Saved filters in join form, each row with a number of its own; ``test`` names the row test, NULL when there is none.
+
+    ``key`` is the test, level and service in one text, each empty where any will do.
+    """
     q = F.lower("q")
     pairs = F.when(F.size("attr") > 0, F.array_sort(F.map_entries("attr")))
     test = F.when(q.isNotNull() | pairs.isNotNull(), F.sha2(F.to_json(F.struct(q.alias("q"), pairs.alias("a"))), 256))
@@ -75,19 +90,22 @@ def _wanted(filters: DataFrame) -> DataFrame:
         "filter_id", "service", "level",
         instants.millis(F.col("since")).alias("since"),
         instants.millis(F.col("until")).alias("until"),
-        q.alias("q"), pairs.alias("pairs"), test.alias("test"),
+        q.alias("q"), pairs.alias("pairs"), test.alias("test"), _key(test, F.col("level"), F.col("service")).alias("key"),
+        F.monotonically_increasing_id().alias("no"),
     )
 
 
-def _rows(logs: DataFrame) -> DataFrame:
-    return logs.select(
-        "id", "service", "level", "message", "attr", instants.millis(F.col("timestamp")).alias("ms")
-    ).withColumn("day", _div(F.col("ms"), DAY_MS))
+def _key(test: Column, level: Column, service: Column) -> Column:
+    """The service comes last, as it may hold any character."""
+    none = F.lit("")
+    return F.concat(
+        F.coalesce(test, none), F.lit("/"), F.coalesce(level, none), F.lit("/"), F.coalesce(F.concat(F.lit("="), service), none)
+    )
 
 
-def _div(ms: Column, size: int) -> Column:
-    """Floored integer quotient."""
-    return F.call_function("div", ms - F.pmod(ms, F.lit(size)), F.lit(size))
+def _rows(logs: DataFrame) -> DataFrame:
+    rows = logs.select("id", "service", "level", "message", "attr", instants.millis(F.col("timestamp")).alias("ms"))
+    return rows.withColumn("day", floored(F.col("ms"), DAY_MS))
 
 
 def _matches(log_attr: Column, wanted: Column) -> Column:
@@ -97,102 +115,143 @@ def _matches(log_attr: Column, wanted: Column) -> Column:
     )
 
 
-def tested_rows(logs: DataFrame, tests: DataFrame, max_broadcast: int) -> DataFrame:
-    """Rows that pass a row test: the columns of ``_rows`` and ``test``, once per test passed.
+def _grams(folded: Column) -> Column:
+    """Distinct trigrams of a folded text, as features."""
+    found = F.regexp_extract_all(folded, F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda g: F.concat(F.lit("t"), g)))
 
-    ``tests``: ``test, q, pairs, lo, hi``. Tests are spread over the days they are wanted for and joined
-    by day, those with attributes by their first attribute as well. A checked small table of tests is
-    broadcast, so the logs are not shuffled; otherwise every day is split over salts, so that a busy day
-    is many tasks.
-    """
-    rows = _rows(logs).withColumn("folded", F.lower("message"))
-    span = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
-    if span["first"] is None:
-        return rows.limit(0).withColumn("test", F.lit(None).cast("string"))
-    first = F.greatest(F.coalesce(_div(F.col("lo"), DAY_MS), F.lit(span["first"])), F.lit(span["first"]))
-    last = F.least(F.coalesce(_div(F.col("hi"), DAY_MS), F.lit(span["last"])), F.lit(span["last"]))
-    # At most one row per test and day the table holds.
-    daily = tests.where(first <= last).select(
-        "test", "q", "pairs", "lo", "hi", F.explode(F.sequence(first, last)).alias("on_day")
+
+def _named(pairs: Column) -> Column:
+    """Attributes as features."""
+    return F.transform(pairs, lambda e: F.concat(F.lit("a"), F.length(e["key"]).cast("string"), F.lit(":"), e["key"], e["value"]))
+
+
+def _tests(wanted: DataFrame) -> DataFrame:
+    """Each distinct row test once, with the widest range and the keys any of its filters asks for, and its features."""
+    def widest(bound: str, pick) -> Column:
+        return F.when(F.count_if(F.col(bound).isNull()) == 0, pick(bound))
+
+    found = wanted.where(F.col("test").isNotNull()).groupBy("test").agg(
+        F.first("q").alias("q"), F.first("pairs").alias("pairs"),
+        widest("since", F.min).alias("lo"), widest("until", F.max).alias("hi"),
+        *[F.bool_or(F.col("service").isNotNull().eqNullSafe(F.lit(s)) & F.col("level").isNotNull().eqNullSafe(F.lit(v))).alias(name)
+          for name, (s, v) in _SHAPES.items()],
     )
-    key = F.col("day") == F.col("on_day")
-    if fits(daily, max_broadcast):
-        place = F.broadcast
-    else:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        daily = daily.withColumn("on_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
-        key = key & (F.col("salt") == F.col("on_salt"))
+    none = F.array().cast("array<string>")
+    own = F.concat(F.coalesce(_grams(F.col("q")), none), F.coalesce(_named(F.col("pairs")), none))
+    return found.withColumn("features", F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(_ANY))))
+
+
+def _spread(logs: DataFrame, features: DataFrame, *keys: str) -> DataFrame:
+    """Rows once per feature among the given ones, with ``folded`` (the message) and ``feature``."""
+    rows = _rows(logs).withColumn("folded", F.lower("message")).drop("message")
+    long = F.length("folded") > LONG
+    rows = rows.withColumn("named", _named(F.map_entries("attr"))).withColumn("grams", F.when(long, _grams(F.col("folded"))))
+    # Places below 0 are attributes, 0 stands for any row, above are trigrams; a short text's are cut where they are used.
+    last = F.when(long, F.size("grams")).otherwise(F.greatest(F.length("folded") - 2, F.lit(0)))
+    first = -F.greatest(F.coalesce(F.size("named"), F.lit(0)), F.lit(0))
+    placed = rows.withColumn("i", F.explode(F.sequence(first, F.coalesce(last, F.lit(0)))))
+    gram = F.substring("folded", F.col("i"), F.lit(3))
+    feature = F.when(F.col("i") < 0, F.get("named", -F.col("i") - 1)).when(F.col("i") == 0, F.lit(_ANY)).when(
+        F.col("grams").isNotNull(), F.get("grams", F.col("i") - 1)
+    ).otherwise(F.concat(F.lit("t"), gram))
+    found = placed.withColumn("feature", feature).join(features, list(keys), "left_semi")
+    # Each feature of a row once: a short text's trigram counts where it stands first.
+    return found.where((F.col("i") <= 0) | F.col("grams").isNotNull() | (F.position(gram, F.col("folded")) == F.col("i"))).drop("named", "grams", "i")
+
+
+def anchors_of(logs: DataFrame, tests: DataFrame, max_broadcast: int) -> DataFrame:
+    """Where each test is looked for: ``test, q, pairs, lo, hi, day, feature, n``, ``n`` rows hold the feature that day."""
+    listed = tests.select("test", "lo", "hi", F.size("features").alias("of"), F.explode("features").alias("feature"))
+    counts = materialise(
+        _spread(logs, broadcast_if_small(listed.select("feature").distinct(), max_broadcast), "feature")
+        .groupBy("day", "feature").agg(F.count(F.lit(1)).alias("n")),
+        "features",
+    )
+    placed = listed.join(counts, "feature").where(
+        (F.col("lo").isNull() | (F.col("day") + DAY_MS > F.col("lo"))) & (F.col("hi").isNull() | (F.col("day") < F.col("hi")))
+    )
+    rarest = placed.groupBy("test", "day").agg(
+        F.min(F.struct("n", "feature")).alias("rarest"), F.count(F.lit(1)).alias("has"), F.first("of").alias("of")
+    ).where("has = of")
+    return rarest.select("test", "day", "rarest.feature", "rarest.n").join(tests.drop("features"), "test")
 
-        def place(df):
-            return df
 
+def tested_rows(logs: DataFrame, tests: DataFrame, max_broadcast: int) -> DataFrame:
+    """``id, service, level, ms, test`` and the test's keys: rows that pass a row test, once per test passed."""
+    texts = F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length(F.to_json("pairs")), F.lit(0))
+    size = tests.agg(F.count(F.lit(1)).alias("n"), F.sum(texts).alias("bytes"), F.count_if(F.col("pairs").isNull()).alias("bare")).first()
+    if size["n"] <= max_broadcast and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES and size["bare"] <= TRIED:
+        met = _tried(logs, tests)
+    else:
+        met = _looked_up(logs, tests, max_broadcast)
     holds = (
         (F.col("lo").isNull() | (F.col("ms") >= F.col("lo")))
         & (F.col("hi").isNull() | (F.col("ms") < F.col("hi")))
         & (F.col("q").isNull() | F.contains(F.col("folded"), F.col("q")))
+        & (F.col("pairs").isNull() | _matches(F.col("attr"), F.col("pairs")))
     )
-    by_text = rows.join(place(daily.where(F.col("pairs").isNull())), key & holds)
-    lead = daily.where(F.col("pairs").isNotNull()).select(
-        "*", F.col("pairs")[0]["key"].alias("lead_key"), F.col("pairs")[0]["value"].alias("lead_value")
-    )
-    attributes = rows.select("*", F.explode("attr").alias("has_key", "has_value"))
-    by_attribute = attributes.join(
-        place(lead),
-        key & (F.col("has_key") == F.col("lead_key")) & (F.col("has_value") == F.col("lead_value"))
-        & holds & _matches(F.col("attr"), F.col("pairs")),
-    )
-    columns = ("id", "service", "level", "ms", "test")
-    return by_text.select(*columns).unionByName(by_attribute.select(*columns))
+    return met.where(holds).select("id", "service", "level", "ms", "test", *_SHAPES)
 
 
-def _tests(wanted: DataFrame) -> DataFrame:
-    """Each distinct row test once, with the widest range any of its filters asks for."""
-    def widest(bound: str, pick) -> Column:
-        return F.when(F.count_if(F.col(bound).isNull()) == 0, pick(bound))
+def _tried(logs: DataFrame, tests: DataFrame) -> DataFrame:
+    """Rows beside the broadcast tests that they share an attribute with, or that have no attribute."""
+    rows = _rows(logs).withColumn("folded", F.lower("message")).drop("message")
+    of_row = F.concat(F.array(F.lit(_ANY)), F.coalesce(_named(F.map_entries("attr")), F.array().cast("array<string>")))
+    placed = tests.withColumn("feature", F.coalesce(F.get(_named(F.col("pairs")), F.lit(0)), F.lit(_ANY))).drop("features")
+    return rows.withColumn("feature", F.explode(of_row)).join(F.broadcast(placed), "feature")
 
-    return wanted.where(F.col("test").isNotNull()).groupBy("test").agg(
-        F.first("q").alias("q"), F.first("pairs").alias("pairs"),
-        widest("since", F.min).alias("lo"), widest("until", F.max).alias("hi"),
-    )
 
+def _looked_up(logs: DataFrame, tests: DataFrame, max_broadcast: int) -> DataFrame:
+    """Rows and tests that meet on day and anchor.
 
-def _keyed(rows: DataFrame, shapes: list[tuple[bool, bool]]) -> DataFrame:
-    """Every row under the keys in use: with or without its service and level, at most four."""
+    A place with many rows is split over as many salts as its counted rows need.
+    """
+    anchors = materialise(anchors_of(logs, tests, max_broadcast), "anchors")
+    salts = F.call_function("div", F.col("n") - 1, F.lit(ROWS_PER_SALT)) + 1
+    places = anchors.select("day", "feature", salts.alias("salts")).distinct()
+    if fits(anchors, max_broadcast):
+        # No shuffle of rows, so nothing to split.
+        rows = _spread(logs, F.broadcast(places.select("day", "feature")), "day", "feature")
+        return rows.join(F.broadcast(anchors.drop("n")), ["day", "feature"])
+    rows = _spread(logs, places.select("day", "feature"), "day", "feature").join(places.where("salts > 1"), ["day", "feature"], "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0).cast("bigint")))
+    wanted = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("n")
+    return rows.join(wanted, ["day", "feature", "salt"])
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``id, key, ms`` under the keys in use, at most four a row and test: the columns of ``_SHAPES`` tell which.
+
+    Rows without a service have no key by service.
+    """
     none = F.lit(None).cast("string")
-    keys = [
-        F.struct(
-            (F.col("service") if by_service else none).alias("service"),
-            (F.col("level") if by_level else none).alias("level"),
-        )
-        for by_service, by_level in shapes
-    ]
-    return rows.select("id", "test", "ms", F.explode(F.array(*keys)).alias("k")).select(
-        "id", "test", "k.service", "k.level", "ms", _div(F.col("ms"), BLOCK_MS).alias("block")
-    )
+    keys = []
+    for shape, (s, v) in _SHAPES.items():
+        needed = F.col(shape)
+        for name in ["service"] * s + ["level"] * v:
+            needed = needed & F.col(name).isNotNull()
+        keys.append(F.when(needed, _key(F.col("test"), F.col("level") if v else none, F.col("service") if s else none)))
+    return rows.select("id", "ms", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
 
 
-def _keyed_rows(logs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFrame | None:
-    """Rows under every key some filter uses, None without filters."""
-    # At most eight rows: which keys are in use, with and without a row test.
-    used = wanted.select(
-        F.col("service").isNotNull().alias("s"), F.col("level").isNotNull().alias("l"),
-        F.col("test").isNotNull().alias("t"),
-    ).distinct().collect()
-    plain, tested = ([(r["s"], r["l"]) for r in used if r["t"] is t] for t in (False, True))
-    parts = []
-    if plain:
-        parts.append(_keyed(_rows(logs).withColumn("test", F.lit(None).cast("string")), plain))
-    if tested:
-        parts.append(_keyed(tested_rows(logs, _tests(wanted), max_broadcast), tested))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+def _in_use(wanted: DataFrame) -> tuple[set, bool]:
+    """Which keys are in use, with and without a row test (at most eight), and whether a bound lies inside an hour."""
+    shape = F.struct(*[F.col(c).isNotNull().alias(c) for c in ("service", "level", "test")])
+    inside = F.bool_or((F.pmod("since", F.lit(HOUR_MS)) != 0) | F.lit(False)) | F.bool_or((F.pmod("until", F.lit(HOUR_MS)) != 0) | F.lit(False))
+    found = wanted.groupBy(shape.alias("shape")).agg(F.coalesce(inside, F.lit(False)).alias("inside")).collect()
+    return {tuple(r["shape"]) for r in found}, any(r["inside"] for r in found)
 
 
-def _on(left: DataFrame, right: DataFrame, names: tuple[str, ...], how: str) -> DataFrame:
-    """Null-safe equi-join that keeps the left columns and the new right ones."""
-    renamed = right.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in right.columns])
-    condition = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
-    joined = left.join(renamed, condition, how)
-    return joined if how == "left_semi" else joined.drop(*[f"_{n}" for n in names])
+def _keyed_rows(logs: DataFrame, wanted: DataFrame, used: set, max_broadcast: int) -> DataFrame | None:
+    """Rows under every key some filter uses, None without filters."""
+    logs, parts = on_all_cores(logs), []
+    if any(not tested for *_, tested in used):
+        flags = [F.lit((*shape, False) in used).alias(name) for name, shape in _SHAPES.items()]
+        parts.append(_keyed(_rows(logs).select("*", F.lit(None).cast("string").alias("test"), *flags)))
+    if any(tested for *_, tested in used):
+        parts.append(_keyed(tested_rows(logs, _tests(wanted), max_broadcast)))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def match_saved_filters(
@@ -200,59 +259,45 @@ def match_saved_filters(
 ) -> DataFrame:
     """``filter_id, matches`` for every saved filter, 0 without a match; NULL fields are not supplied.
 
-    ``filters``: ``filter_id, service, level, since, until, q, attr``.
+    ``filters``: ``filter_id, service, level, since, until, q, attr``. A repeated ``filter_id`` has a count per row.
     """
-    wanted = _wanted(filters)
-    keyed = _keyed_rows(logs, wanted, max_broadcast)
+    wanted = materialise(_wanted(filters), "filters")
+    used, cut = _in_use(wanted)
+    keyed = _keyed_rows(logs, wanted, used, max_broadcast)
     if keyed is None:
         return filters.select("filter_id", F.lit(0).cast("bigint").alias("matches"))
-
     bounds = F.array(
         F.struct(F.col("since").alias("at"), F.lit(-1).alias("sign")),
         F.struct(F.coalesce("until", F.lit(_OPEN)).alias("at"), F.lit(1).alias("sign")),
     )
-    probes = wanted.select("filter_id", *_KEY, F.explode(bounds).alias("b")).select(
-        "filter_id", *_KEY, "b.at", "b.sign", _div(F.col("b.at"), BLOCK_MS).alias("block")
-    ).where(F.col("at").isNotNull())
-
-    # Rows before each block. A window holds the blocks of one key: hours of the covered time.
-    totals = keyed.groupBy(*_KEY, "block").agg(F.count(F.lit(1)).alias("n"))
-    asked = probes.select(*_KEY, "block").distinct().withColumn("n", F.lit(0).cast("bigint"))
-    earlier_blocks = Window.partitionBy(*_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.unionByName(asked).groupBy(*_KEY, "block").agg(F.sum("n").alias("n")).select(
-        *_KEY, "block", F.coalesce(F.sum("n").over(earlier_blocks), F.lit(0)).alias("before")
-    )
-
-    found = _on(probes, before, (*_KEY, "block"), "left")
-    rank = F.coalesce("before", F.lit(0))
-    inner = probes.where((F.col("at") < _OPEN) & (F.pmod("at", F.lit(BLOCK_MS)) != 0)).select(
-        *_KEY, "block", "at"
-    ).distinct()
-    # Bounds on whole blocks, as report ranges usually are, need no second look at the rows.
-    if not inner.isEmpty():
-        found = _on(found, _inside(keyed, inner), (*_KEY, "at"), "left")
-        rank = rank + F.coalesce("inside", F.lit(0))
-    counts = found.groupBy("filter_id").agg(F.sum(F.col("sign") * rank).alias("n"))
-    return filters.select("filter_id").join(counts, "filter_id", "left").select(
+    probes = wanted.select("no", "key", F.explode(bounds).alias("b")).select("no", "key", "b.at", "b.sign").where("at IS NOT NULL")
+
+    tick = hour = floored(F.col("ms"), HOUR_MS)
+    if cut:
+        # Hours that some bound lies inside; the rows of all others are counted by the hour.
+        inner = probes.where((F.col("at") < _OPEN) & (F.pmod("at", F.lit(HOUR_MS)) != 0)).select(
+            floored(F.col("at"), HOUR_MS).alias("hour")
+        ).distinct()
+        keyed = keyed.withColumn("in_hour", hour).join(
+            broadcast_if_small(inner, max_broadcast), F.col("in_hour") == F.col("hour"), "left"
+        )
+        tick = F.when(F.col("hour").isNotNull(), F.col("ms")).otherwise(F.col("in_hour"))
+    ticks = materialise(keyed.groupBy("key", tick.alias("at")).agg(F.count(F.lit(1)).alias("n")), "ticks")
+
+    def by(size: int):
+        return lambda blocks: ticks.groupBy("key", floored(F.col("at"), size).alias("at")).agg(F.sum("n").alias("n"))
+
+    levels = [Level(HOUR_MS, None, by(HOUR_MS))]
+    if cut:
+        # No window holds more than the seconds of an hour or the milliseconds of a second.
+        levels += [Level(1000, HOUR_MS, by(1000)), Level(1, 1000, by(1))]
+    found = probes.join(ranked(probes, ("key",), levels), ["key", "at"])
+    counts = found.groupBy("no").agg(F.sum(F.col("sign") * F.col("before")).alias("n"))
+    return wanted.select("no", "filter_id").join(counts, "no", "left").select(
         "filter_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("matches")
     )
 
 
-def _inside(keyed: DataFrame, inner: DataFrame) -> DataFrame:
-    """Rows of the same block before each bound inside one: ``test, service, level, at, inside``.
-
-    A window holds one block of one key, and rows of one millisecond are one row by then.
-    """
-    ticks = _on(keyed, inner.select(*_KEY, "block").distinct(), (*_KEY, "block"), "left_semi").groupBy(
-        *_KEY, "block", F.col("ms").alias("at")
-    ).agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("row"))
-    marks = inner.select("*", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("row"))
-    earlier = Window.partitionBy(*_KEY, "block").orderBy("at", "row").rowsBetween(Window.unboundedPreceding, -1)
-    return ticks.unionByName(marks).withColumn("inside", F.sum("n").over(earlier)).where(
-        ~F.col("row")
-    ).select(*_KEY, "at", "inside")
-
-
 def match_rows(logs: DataFrame, filters: DataFrame, max_broadcast: int = MAX_BROADCAST_FILTERS) -> DataFrame:
     """``filter_id, id`` for every row a saved filter selects: as many rows as there are matches.
 
@@ -260,18 +305,18 @@ def match_rows(logs: DataFrame, filters: DataFrame, max_broadcast: int = MAX_BRO
     otherwise every day is split over salts. To count only, use ``match_saved_filters``.
     """
     wanted = _wanted(filters)
-    keyed = _keyed_rows(logs, wanted, max_broadcast)
+    keyed = _keyed_rows(logs, wanted, _in_use(wanted)[0], max_broadcast)
     none = filters.select("filter_id", F.lit(None).cast("string").alias("id")).limit(0)
     span = _rows(logs).agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
     if keyed is None or span["first"] is None:
         return none
-    first = F.greatest(F.coalesce(_div(F.col("since"), DAY_MS), F.lit(span["first"])), F.lit(span["first"]))
-    last = F.least(F.coalesce(_div(F.col("until"), DAY_MS), F.lit(span["last"])), F.lit(span["last"]))
+    first = F.greatest(F.coalesce(floored(F.col("since"), DAY_MS), F.lit(span["first"])), F.lit(span["first"]))
+    last = F.least(F.coalesce(floored(F.col("until"), DAY_MS), F.lit(span["last"])), F.lit(span["last"]))
     daily = wanted.where(first <= last).select(
-        "filter_id", *[F.col(k).alias(f"_{k}") for k in _KEY], "since", "until",
-        F.explode(F.sequence(first, last)).alias("on_day"),
+        "filter_id", F.col("key").alias("of_key"), "since", "until",
+        F.explode(F.sequence(first, last, F.lit(DAY_MS).cast("bigint"))).alias("on_day"),
     )
-    rows = keyed.withColumn("day", _div(F.col("ms"), DAY_MS))
+    rows = keyed.withColumn("day", floored(F.col("ms"), DAY_MS))
     condition = F.col("day") == F.col("on_day")
     if fits(daily, max_broadcast):
         daily = F.broadcast(daily)
@@ -279,8 +324,7 @@ def match_rows(logs: DataFrame, filters: DataFrame, max_broadcast: int = MAX_BRO
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         daily = daily.withColumn("on_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
         condition = condition & (F.col("salt") == F.col("on_salt"))
-    for name in _KEY:
-        condition = condition & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    condition = condition & (F.col("key") == F.col("of_key"))
     condition = condition & (F.col("since").isNull() | (F.col("ms") >= F.col("since")))
     condition = condition & (F.col("until").isNull() | (F.col("ms") < F.col("until")))
     return rows.join(daily, condition).select("filter_id", "id")

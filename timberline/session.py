@@ -81,11 +81,38 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when the frame holds at most ``max_rows`` rows; counted per task, so no rows are gathered."""
-    return df.count() <= max_rows
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """Spread the rows of an input with fewer partitions than cores, before costly work on each row.
+
+    A large table has more partitions than that and is left as it is, without a shuffle; so is a frame that is shuffled
+    already.
+    """
+    cores, planned = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if "Exchange" in planned.executedPlan().toString() or planned.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+# Bytes of texts in a broadcast table.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def fits(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when the frame holds at most so many rows, and so many bytes of texts; summed per task, no rows are gathered."""
+    wide = [name for name, kind in df.dtypes if kind not in _FIXED]
+    text = sum((F.coalesce(F.octet_length(_as_text(df, name)), F.lit(0)) for name in wide), F.lit(0)).cast("bigint")
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= max_rows and found["bytes"] <= max_bytes
+
+
+_FIXED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
+
+def _as_text(df: DataFrame, name: str):
+    kind = dict(df.dtypes)[name]
+    return F.to_json(name) if kind.startswith(("array", "map", "struct")) else F.col(name)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast behind a row-count check; otherwise leave the join strategy to the planner."""
+    """Broadcast behind a check of rows and bytes; otherwise leave the join strategy to the planner."""
     return F.broadcast(df) if fits(df, max_rows) else df

@@ -108,6 +108,26 @@ def test_visibility(spark):
     assert tuple(matching.visibility_totals(audit).first()) == (4, 2, 1, 19_999)
 
 
+def test_visible_in_time_reads_no_later_rows(spark, tmp_path):
+    markers = spark.createDataFrame(
+        [("a", 0), ("a", 30_000), ("b", 19_999), ("c", 5), ("d", 1), ("e", 7), ("e", 7), (None, 3), ("f", None)], "marker string, ms bigint"
+    ).select("marker", F.timestamp_millis("ms").alias("sent_at"))
+    rows = [("a", 500), ("a", 900), ("a", 40_000), ("b", 39_998), ("b", 10), ("c", 20_005), ("d", 999_999), ("e", 7), ("f", 2), (None, 4)]
+    spark.createDataFrame(rows, "attr_marker string, ms bigint").select(
+        "attr_marker", F.timestamp_millis("ms").alias("ingested_at")
+    ).write.parquet(str(tmp_path / "logs"))
+    logs = spark.read.parquet(str(tmp_path / "logs"))
+    found = matching.visible_in_time(markers, logs)
+    got = sorted((r["marker"] or "", r["delay_ms"], r["failed"]) for r in found.select("marker", "delay_ms", "failed").collect() if not r["failed"])
+    assert got == [("a", 500, False), ("a", 10_000, False), ("b", 19_999, False), ("e", 0, False), ("e", 0, False)]
+    late = {r["marker"] for r in found.where("failed").collect()}
+    assert late == {"c", "d", None, "f"} and found.count() == 9 and found.where("failed AND seen_at IS NOT NULL").count() == 0
+    assert tuple(matching.visibility_totals(found).first())[:2] == (9, 4)
+    plan = plan_text(found)
+    assert "GreaterThanOrEqual(ingested_at,1970-01-01" in plan and "LessThan(ingested_at,1970-01-01" in plan
+    assert matching.visible_in_time(markers.limit(0), logs).count() == 0
+
+
 FILTERS = "filter_id int, service string, level string, since timestamp, until timestamp, q string, attr map<string,string>"
 
 

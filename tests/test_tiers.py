@@ -202,3 +202,17 @@ def test_cells_are_read_once_and_pruned(spark, drawn, tmp_path):
     c = tiers.cover(BASE + 60_000, BASE + DAY, 3_600_000, dict.fromkeys(tiers.TIERS))
     plan = plan_text(tiers.count_by_key(spark.createDataFrame([], STORED_LOGS), stored, LogFilter(), c, "1h"))
     assert plan.count("Scan parquet") == 2 and plan.count("Exchange (") == 1 and "PartitionFilters: [((tier" in plan and "PushedFilters: [Or(" in plan
+
+
+def test_a_marker_is_found_without_reading_the_table(spark, tmp_path):
+    """Row groups whose marker statistics or bloom filter lack the value are skipped."""
+    times = [f"2026-06-{d:02d}T10:{m:02d}:00Z" for d in range(1, 11) for m in range(20)]
+    body = {"logs": [entry(timestamp=t, attributes={"marker": f"m{i * 7919 % 200}"}) for i, t in enumerate(times)]}
+    table = LogTable(spark, str(tmp_path / "t")).bootstrap()
+    table.append(validation.validate_envelopes(make_envelopes(spark, [body])))
+    found = table.read_logs(LogFilter(attributes={"marker": "m17"})).select("timestamp", "attr_marker")
+    plan = found._jdf.queryExecution().executedPlan()
+    assert len(found.collect()) == 1 and "EqualTo(attr_marker,m17)" in plan_text(found)
+    found._jdf.collectToPython()
+    read = plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    assert 0 < read <= 2 * 20

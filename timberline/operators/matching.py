@@ -43,6 +43,42 @@ def visibility_audit(
     )
 
 
+def visible_in_time(markers: DataFrame, logs: DataFrame, deadline_ms: int = VISIBILITY_DEADLINE_MS) -> DataFrame:
+    """For each accepted marker: whether it could be read within the deadline, from the rows of that time alone.
+
+    ``markers``: ``marker, sent_at``; ``logs`` needs ``attr_marker`` and ``ingested_at``. Both sides are cut into bins as
+    long as the deadline: a marker meets the rows of its bin and the next, so no row later than its deadline. The span of
+    all markers bounds the scan. A marker that is only seen later, or was sent at no known time, has failed and has no
+    ``seen_at``; a row from before it was sent is not its row. Repeated markers are judged by their own ``sent_at``.
+    """
+    span = markers.agg(F.min("sent_at").alias("first"), F.max("sent_at").alias("last")).select(
+        instants.millis(F.col("first")).alias("first"), instants.millis(F.col("last")).alias("last")
+    ).first()
+    ms = instants.millis(F.col("ingested_at"))
+    rows = logs.where(F.col("attr_marker").isNotNull())
+    if span["first"] is None:
+        rows = rows.limit(0)
+    else:
+        rows = rows.where(F.col("ingested_at") >= instants.instant_lit(span["first"])).where(
+            F.col("ingested_at") < instants.instant_lit(span["last"] + deadline_ms)
+        )
+    # A marker written many times in one millisecond is one row per task.
+    seen = rows.groupBy(F.col("attr_marker").alias("marker"), ms.alias("seen_ms")).agg(F.lit(True).alias("seen")).select(
+        "marker", "seen_ms", floored(F.col("seen_ms"), deadline_ms).alias("bin")
+    )
+    sent = markers.select("marker", "sent_at", instants.millis(F.col("sent_at")).alias("sent_ms")).where("sent_ms IS NOT NULL").distinct()
+    own = floored(F.col("sent_ms"), deadline_ms)
+    probes = sent.withColumn("bin", F.explode(F.array(own, own + deadline_ms)))
+    delay = F.col("seen_ms") - F.col("sent_ms")
+    first = probes.join(seen, ["marker", "bin"]).where((delay >= 0) & (delay < deadline_ms)).groupBy("marker", "sent_at").agg(
+        F.min("seen_ms").alias("seen_ms"), F.min(delay).alias("delay_ms")
+    )
+    return markers.select("marker", "sent_at").join(first, ["marker", "sent_at"], "left").select(
+        "marker", "sent_at", instants.from_millis(F.col("seen_ms")).alias("seen_at"), "delay_ms",
+        F.col("delay_ms").isNull().alias("failed"),
+    )
+
+
 def visibility_totals(audit: DataFrame) -> DataFrame:
     return audit.agg(
         F.count(F.lit(1)).alias("markers"),

@@ -75,7 +75,7 @@ def rollup_1s(spark, sf):
 
 @query(_counts_sql("1 hour", "service"))
 def aggregate_with_rollup(spark, sf):
-    logs = views.logs_view(spark, sf)
+    logs = _logs(spark, sf)
     return rollup.aggregate_with_rollup(
         logs, rollup.rollup_1s(logs), RANGE, "1h", "service", covered_from="2024-01-01T00:00:00Z"
     )
@@ -83,7 +83,7 @@ def aggregate_with_rollup(spark, sf):
 
 @query(_counts_sql("5 minutes", "CAST(NULL AS VARCHAR)", f"{SQL_RANGE} AND service = 'svc-5' AND level = 'info'"))
 def aggregate_with_rollup_filtered(spark, sf):
-    logs = views.logs_view(spark, sf)
+    logs = _logs(spark, sf)
     f = LogFilter("svc-5", "info", SINCE, UNTIL)
     return rollup.aggregate_with_rollup(
         logs, rollup.rollup_1s(logs), f, "5m", covered_from="2024-01-01T00:00:00Z"
@@ -92,7 +92,7 @@ def aggregate_with_rollup_filtered(spark, sf):
 
 @query(_counts_sql("1 hour", "level", f"{SQL_RANGE} AND contains(lower(message), 'view')"))
 def aggregate_route_falls_back(spark, sf):
-    logs = views.logs_view(spark, sf)
+    logs = _logs(spark, sf)
     f = LogFilter(since=SINCE, until=UNTIL, q="view")
     return rollup.aggregate_with_rollup(
         logs, rollup.rollup_1s(logs), f, "1h", "level", covered_from="2024-01-01T00:00:00Z"
@@ -144,7 +144,7 @@ WITH {LOGS}
 SELECT id, {iso('ts')} AS "timestamp" FROM logs WHERE ts >= TIMESTAMP '2024-01-20 08:00:00'
 """)
 def read_recent(spark, sf):
-    recent = rollup.read_recent(views.logs_view(spark, sf), NOW)
+    recent = rollup.read_recent(views.logs_view(spark, sf, rollup.coverage_start(NOW)), NOW)
     return recent.select("id", instants.wire_timestamp(F.col("timestamp")).alias("timestamp"))
 
 
@@ -154,7 +154,7 @@ SELECT CAST(floor(epoch_ms(ts) / 1000) AS BIGINT) AS second, service, level, cou
 FROM logs WHERE ts >= TIMESTAMP '2024-01-20 08:00:00' GROUP BY 1, 2, 3
 """)
 def evict_rollup(spark, sf):
-    return rollup.evict_rollup(rollup.rollup_1s(views.logs_view(spark, sf)), NOW)
+    return rollup.evict_rollup(rollup.rollup_1s(views.logs_view(spark, sf, rollup.coverage_start(NOW))), NOW)
 
 
 @query(f"""
@@ -340,6 +340,11 @@ def answer_requests(spark, sf):
 
 BOARD_NOW = "2024-01-31T00:00:00.000Z"
 
+
+def _board_logs(spark, sf):
+    return views.logs_view(spark, sf, "2024-01-01T00:00:00Z", BOARD_NOW)
+
+
 BOARD = f"""
 WITH {LOGS}, seen AS (
   SELECT * FROM logs WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' AND service = 'svc-6'
@@ -366,14 +371,14 @@ UNION ALL SELECT * FROM (
 @query(BOARD)
 def dashboard_report(spark, sf):
     report = dashboard.dashboard_report(
-        views.logs_view(spark, sf), LogFilter(service=" svc-6 ", q="  "), BOARD_NOW, "30d", "level"
+        _board_logs(spark, sf), LogFilter(service=" svc-6 ", q="  "), BOARD_NOW, "30d", "level"
     )
     return dashboard.as_rows(report)
 
 
 @query(BOARD)
 def dashboard_from_tiers(spark, sf):
-    logs = views.logs_view(spark, sf)
+    logs = _board_logs(spark, sf)
     report = dashboard.dashboard_report(
         logs, LogFilter(service="svc-6"), BOARD_NOW, "30d", "level", cells=tiers.cells_of(logs)
     )
@@ -389,7 +394,7 @@ SELECT id, {iso('ts')} AS "timestamp", CAST(rn - 40 AS INTEGER) AS row_no, total
 """)
 def dashboard_second_page(spark, sf):
     """The rows of a board continued from its first page, on the board's own range."""
-    logs = views.logs_view(spark, sf)
+    logs = _board_logs(spark, sf)
     report = dashboard.dashboard_report(logs, LogFilter(service="svc-6"), BOARD_NOW, "30d", limit=40)
     rows = paging.page_rows(logs, report.filter, 40, report.page().boundary)
     return rows.select("id", instants.wire_timestamp(F.col("timestamp")).alias("timestamp"), "row_no", "has_more")

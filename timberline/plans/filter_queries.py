@@ -76,7 +76,8 @@ def filter_range_union(spark, sf):
         ("2024-01-03T00:00:00Z", "2024-01-05T00:00:00.500Z"),
         ("2024-01-20T12:00:00.125Z", "2024-01-22T00:00:00Z"),
     ]
-    return to_wire(views.logs_view(spark, sf).where(P.range_union(ranges)))
+    # The view itself is cut to the span of all ranges; the union picks within it.
+    return to_wire(views.logs_view(spark, sf, ranges[0][0], ranges[-1][1]).where(P.range_union(ranges)))
 
 
 @query("""
@@ -183,7 +184,9 @@ WITH {LOGS}, ordered AS (
 SELECT {WIRE}, CAST(rn AS INTEGER) AS row_no, total > {PAGE} AS has_more FROM ordered WHERE rn <= {PAGE}
 """)
 def page_after_cursor(spark, sf):
-    return _wire_page(paging.page_rows(views.logs_view(spark, sf), P.LogFilter(), PAGE, CURSOR))
+    # No row of the page is later than the cursor's own millisecond.
+    logs = views.logs_view(spark, sf, until=instants.to_millis(CURSOR[0]) + 1)
+    return _wire_page(paging.page_rows(logs, P.LogFilter(), PAGE, CURSOR))
 
 
 def _pages_sql(source: str) -> str:

@@ -66,6 +66,26 @@ def validate_entries(spark, sf):
     )
 
 
+# One entry per event with one attribute; every fiftieth is of 65,519 to 65,530 characters: as JSON 11 bytes more.
+@query("""
+SELECT CAST(event_id AS VARCHAR) AS batch_id,
+       CASE WHEN event_id % 50 = 0 AND 65519 + event_id // 50 % 12 + 11 > 65536 THEN 'attributes exceed 65536 bytes' END AS reason
+FROM events
+""")
+def validate_attribute_bytes(spark, sf):
+    n = F.col("event_id")
+    size = F.when(n % 50 == 0, 65_519 + F.call_function("div", n, F.lit(50)) % 12).otherwise(n % 100)
+    text = F.repeat(F.lit("x"), size.cast("int"))
+    entry = F.concat(
+        F.lit('{"logs":[{"timestamp":"2024-01-01T00:00:00Z","level":"info","service":"s","message":"m","attributes":{"text":"'),
+        text, F.lit('"}}]}'),
+    )
+    bodies = views.table(spark, sf, "events").select(
+        n.cast("string").alias("batch_id"), instants.instant_lit(views.BATCH_CLOCK).alias("received_at"), entry.alias("body")
+    )
+    return validation.validate_envelopes(bodies).select("batch_id", "reason")
+
+
 @query(f"WITH {ENTRIES} SELECT batch_id, idx, reason FROM entries WHERE reason IS NOT NULL")
 def split_rejected(spark, sf):
     return validation.split_valid(_validated(spark, sf))[1]
@@ -156,13 +176,15 @@ SQL_CUT = "TIMESTAMP '2024-01-20 18:00:00'"
 
 @query(f"WITH {LOGS} SELECT id, {iso('ts')} AS \"timestamp\" FROM logs WHERE ts < {SQL_CUT}")
 def retention_expired(spark, sf):
-    gone = retention.expired(views.logs_view(spark, sf), retention.cutoff(NOW, DAYS))
+    cut = retention.cutoff(NOW, DAYS)
+    gone = retention.expired(views.logs_view(spark, sf, until=cut), cut)
     return gone.select("id", instants.wire_timestamp(F.col("timestamp")).alias("timestamp"))
 
 
 @query(f"WITH {LOGS} SELECT id, {iso('ts')} AS \"timestamp\" FROM logs WHERE ts >= {SQL_CUT}")
 def retention_survivors(spark, sf):
-    kept = retention.survivors(views.logs_view(spark, sf), retention.cutoff(NOW, DAYS))
+    cut = retention.cutoff(NOW, DAYS)
+    kept = retention.survivors(views.logs_view(spark, sf, since=cut), cut)
     return kept.select("id", instants.wire_timestamp(F.col("timestamp")).alias("timestamp"))
 
 
@@ -176,7 +198,8 @@ SELECT CAST(floor(rn / 2000) + 1 AS BIGINT) AS batch_no, rn % 2000 + 1 AS "rows"
 FROM ordered WHERE rn % 2000 = 1999 OR rn = total - 1
 """)
 def retention_plan(spark, sf):
-    plan = retention.retention_plan(views.logs_view(spark, sf), retention.cutoff(NOW, DAYS))
+    cut = retention.cutoff(NOW, DAYS)
+    plan = retention.retention_plan(views.logs_view(spark, sf, until=cut), cut)
     return plan.withColumn("last_ts", instants.wire_timestamp(F.col("last_ts")))
 
 
@@ -201,6 +224,21 @@ def write_and_read_logs(spark, sf):
     return to_wire(_stored(spark, sf).read_logs())
 
 
+@query(f"""
+WITH {ENTRIES}
+SELECT {iso('ts')} AS "timestamp", service, message FROM entries
+WHERE reason IS NULL AND 'm-' || CAST(event_id % 500 AS VARCHAR) = 'm-47'
+""")
+def stored_marker_lookup(spark, sf):
+    """Rows of one value of the stored marker column, found by its own statistics and bloom filter."""
+    entry = F.col("batch_id").cast("bigint") * views.BATCH_SIZE + F.col("idx")
+    marked = F.map_concat("attr", F.create_map(F.lit("marker"), F.concat(F.lit("m-"), (entry % 500).cast("string"))))
+    table = LogTable(spark, scratch_path(spark, "table")).bootstrap()
+    table.append(_validated(spark, sf).withColumn("attr", F.when(F.col("attr").isNotNull(), marked)))
+    found = table.read_logs(LogFilter(attributes={"marker": "m-47"}))
+    return found.select(instants.wire_timestamp(F.col("timestamp")).alias("timestamp"), "service", "message")
+
+
 @query(f"WITH {ENTRIES} SELECT batch_id, idx, reason FROM entries WHERE reason IS NOT NULL")
 def write_and_read_rejects(spark, sf):
     return _stored(spark, sf).rejects().select("batch_id", "idx", "reason")
@@ -272,3 +310,33 @@ def stream_counts_equals_batch(spark, sf):
     ).trigger(availableNow=True).start().awaitTermination()
     written = spark.read.schema("start string, `group` string, count bigint").parquet(out)
     return written.groupBy("start", "group").agg(F.max("count").alias("count"))
+
+
+# Events before mid-month, then those after it, then the sign-ups of the whole month: most of them come too late.
+@query(f"""
+WITH {LOGS}, early AS (
+  SELECT max(ts) - INTERVAL '2 hours' AS mark FROM logs WHERE event_type <> 'signup'
+), kept AS (
+  SELECT * FROM logs WHERE event_type <> 'signup' OR time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' > (SELECT mark FROM early)
+)
+SELECT {bucket('1 hour')} AS start, service AS "group", count(*) AS "count" FROM kept GROUP BY 1, 2
+""")
+def stream_counts_with_late_rows(spark, sf):
+    """Live counts over three micro-batches: a late row inside the watermark corrects its cell, later ones change nothing."""
+    source, out, checkpoint = (scratch_path(spark, name) for name in ("logs", "counts", "checkpoint"))
+    logs = views.logs_view(spark, sf).select("timestamp", "service", "level", "message")
+    late, half = F.startswith("message", F.lit("signup")), instants.instant_lit("2024-01-16T00:00:00Z")
+    for part in (~late & (F.col("timestamp") < half), ~late & (F.col("timestamp") >= half), late):
+        logs.where(part).coalesce(1).write.mode("append").parquet(source)
+        counted = stream_counts(spark.readStream.schema(logs.schema).parquet(source), "1h", "service")
+
+        def write(changed, epoch):
+            changed.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy("epoch").parquet(out)
+
+        counted.writeStream.outputMode("update").foreachBatch(write).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.schema("start string, `group` string, count bigint").parquet(out)
+    return written.groupBy("start", "group").agg(F.max("count").alias("count"))

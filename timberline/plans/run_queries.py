@@ -9,7 +9,8 @@ from timberline.operators import matching, run_metrics, validation
 from timberline.plans import views
 from timberline.plans.ingest_queries import ENTRIES
 from timberline.plans.registry import LOGS, iso, query
-from timberline.sources.resources import parse_resource_samples
+from timberline.session import scratch_path
+from timberline.sources.resources import parse_resource_samples, read_resource_samples
 
 # Every event is a marker sent at its instant. Views never show up; the rest can be read ``value``
 # seconds later, so large values miss the deadline.
@@ -21,7 +22,7 @@ WITH {LOGS}, audit AS (
 )"""
 
 
-def _audit(spark, sf):
+def _markers_and_rows(spark, sf):
     logs = views.logs_from(views.table(spark, sf, "events"), "event_id", "event_type", "value")
     marker = F.concat(F.lit("m-"), F.col("event_id").cast("string"))
     markers = logs.select(marker.alias("marker"), F.col("timestamp").alias("sent_at"))
@@ -30,7 +31,11 @@ def _audit(spark, sf):
         marker.alias("attr_marker"),
         instants.from_millis(instants.millis(F.col("timestamp")) + delay).alias("ingested_at"),
     )
-    return matching.visibility_audit(markers, stored)
+    return markers, stored
+
+
+def _audit(spark, sf):
+    return matching.visibility_audit(*_markers_and_rows(spark, sf))
 
 
 @query(f"{AUDIT} SELECT marker, sent_at, delay_ms, coalesce(delay_ms >= 20000, true) AS failed FROM audit")
@@ -40,6 +45,15 @@ def visibility_audit(spark, sf):
     )
 
 
+@query(f"""{AUDIT}
+SELECT marker, sent_at, CASE WHEN delay_ms < 20000 THEN delay_ms END AS delay_ms, coalesce(delay_ms >= 20000, true) AS failed FROM audit
+""")
+def visible_in_time(spark, sf):
+    return matching.visible_in_time(*_markers_and_rows(spark, sf)).select(
+        "marker", instants.wire_timestamp(F.col("sent_at")).alias("sent_at"), "delay_ms", "failed"
+    )
+
+
 @query(f"""{AUDIT}
 SELECT count(*) AS markers, count(*) FILTER (coalesce(delay_ms >= 20000, true)) AS deadline_failures,
        count(*) FILTER (delay_ms IS NULL) AS missing, max(delay_ms) FILTER (delay_ms < 20000) AS max_delay_ms
@@ -209,17 +223,33 @@ FROM events GROUP BY 1
 """.replace("avg(user_id * 1048576.0)", "avg(CAST(user_id AS DOUBLE) * 1048576)")
    .replace("max(user_id * 1048576.0)", "max(CAST(user_id AS DOUBLE) * 1048576)"))
 def resource_summary(spark, sf):
-    raw = views.table(spark, sf, "events").select(
+    summary = run_metrics.resource_summary(parse_resource_samples(_raw_samples(spark, sf)))
+    return summary.withColumn("avg_cpu_percent", F.round("avg_cpu_percent", 6)).withColumn(
+        "avg_memory_bytes", F.round("avg_memory_bytes", 3)
+    )
+
+
+@query("""
+SELECT event_type AS container, count(*) AS samples, max(value) AS max_cpu_percent,
+       CAST(max(user_id) AS DOUBLE) * 1048576 AS max_memory_bytes
+FROM events GROUP BY 1
+""")
+def resource_samples_from_csv(spark, sf):
+    """The same samples, written as CSV text and scanned from there."""
+    path = scratch_path(spark, "samples")
+    _raw_samples(spark, sf).write.option("header", True).csv(path)
+    summary = run_metrics.resource_summary(read_resource_samples(spark, path))
+    return summary.select("container", "samples", "max_cpu_percent", "max_memory_bytes")
+
+
+def _raw_samples(spark, sf):
+    return views.table(spark, sf, "events").select(
         instants.wire(instants.naive_millis(F.col("ts"))).alias("timestamp"),
         F.col("event_type").alias("container"),
         F.concat(F.col("value").cast("string"), F.lit("%")).alias("cpu_percent"),
         F.concat(F.col("user_id").cast("string"), F.lit("MiB / 2GiB")).alias("memory_usage"),
         F.concat(F.pmod("user_id", F.lit(100)).cast("string"), F.lit("%")).alias("memory_percent"),
     )
-    summary = run_metrics.resource_summary(parse_resource_samples(raw))
-    return summary.withColumn("avg_cpu_percent", F.round("avg_cpu_percent", 6)).withColumn(
-        "avg_memory_bytes", F.round("avg_memory_bytes", 3)
-    )
 
 
 @query(f"""

@@ -1,7 +1,8 @@
 """Token counts with a whole-token shortcut.
 
-The vocabulary strings that encode alone as one token are found once per worker by running the tokenizer's own merges on
-each of them. A pre-token among them counts 1; only the others are merged, each distinct one once per batch.
+The vocabulary strings that encode alone as one token are found once, on the driver, by running the tokenizer's own merges on
+each of them; tasks get the proved set, which the vocabulary bounds. A pre-token among them counts 1; only the others are
+merged, each distinct one once per batch, in the task's own thread.
 
 A null or empty text has no tokens. Special strings inside a text are single tokens, as is the library's default.
 """
@@ -9,6 +10,7 @@ A null or empty text has no tokens. Special strings inside a text are single tok
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -19,25 +21,38 @@ from timberline.llm.common import frames, texts
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
 
+def _tokenizer(path: str):
+    # A task has one core; the library's own threads would work beside it.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
+def _specials(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as file:
+        return sorted((t["content"] for t in json.load(file)["added_tokens"]), key=len, reverse=True)
+
+
+@lru_cache(2)
+def proved(path: str) -> frozenset[str]:
+    """Strings that the library gives exactly one token for; the alphabet of byte symbols is undone first."""
+    tokenizer, specials = _tokenizer(path), set(_specials(path))
+    vocabulary = {tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())}
+    asked = [x for x in vocabulary if x and "\ufffd" not in x and x not in specials]
+    return frozenset(x for x, e in zip(asked, tokenizer.encode_batch(asked, add_special_tokens=False)) if len(e.ids) == 1)
+
+
 class Counter:
     def __init__(self, path: str, pattern: str):
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.tokenizer, specials = _tokenizer(path), _specials(path)
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.cut = regex.compile(pattern)
-        self.tokenizer.encode_special_tokens = True
-        # A string is proved if the library gives exactly one token for it; the alphabet of byte symbols is undone first.
-        vocabulary = [self.tokenizer.decode([i], skip_special_tokens=False) for i in range(self.tokenizer.get_vocab_size())]
-        vocabulary = [x for x in set(vocabulary) if x and "�" not in x and x not in specials]
-        self.one = set()
-        for start in range(0, len(vocabulary), 4096):
-            part = vocabulary[start:start + 4096]
-            self.one.update(x for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)) if len(e.ids) == 1)
+        self.one: frozenset[str] = frozenset()
         self.known: dict[str, int] = {}
 
     def merged(self, pieces: set[str]) -> None:
@@ -68,8 +83,11 @@ def load(path: str, pattern: str) -> Counter:
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512) -> DataFrame:
     """Tokens of each whole text; one narrow stage."""
+    one = docs.sparkSession.sparkContext.broadcast(proved(path))
+
     def run(batches):
         counter = load(path, pattern)
+        counter.one = one.value
         yield from frames(batches, lambda ids, found: {
             "doc_id": ids, "n_bytes": [len(x.encode()) for x in found], "n_tokens": [counter.count(x) for x in found],
         })

@@ -24,7 +24,7 @@ HEADLINE = (
     "filter_message_literal", "message_search_documents", "page_first", "page_after_cursor", "page_table",
     "rollup_1s", "aggregate_with_rollup", "service_series_other", "dashboard_report", "match_saved_filters",
     "visibility_totals", "validate_entries", "batch_summary", "retention_plan", "delete_matching",
-    "latency_summary", "constraint_audit",
+    "latency_summary", "constraint_audit", "aggregate_with_tiers", "dashboard_from_tiers", "visible_in_time",
 )
 
 

@@ -277,3 +277,10 @@ def test_identical_lines_have_ids_of_their_own_under_any_split(spark, table, tmp
 def test_a_whole_file_is_one_document(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n"logs":\n[]}\n')
     assert [r[0] for r in read_envelopes(spark, str(tmp_path)).select("body").collect()] == ['{\n"logs":\n[]}\n']
+
+
+def test_object_stores_are_refused(spark):
+    for root in ("s3a://bucket/logs", "S3://bucket"):
+        with pytest.raises(ValueError, match="one caller"):
+            LogTable(spark, root)
+    LogTable(spark, "s3a")

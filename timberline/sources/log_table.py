@@ -63,8 +63,14 @@ class Snapshot:
         return replace(f, since=self.floor)
 
 
+# Stores in which two callers may both create the same file.
+_NO_EXCLUSIVE_CREATE = ("s3", "s3a", "s3n")
+
+
 class LogTable:
     def __init__(self, spark: SparkSession, root: str):
+        if root.split("://", 1)[0].lower() in _NO_EXCLUSIVE_CREATE and "://" in root:
+            raise ValueError("the table needs a file system that lets only one caller create a file")
         self.spark = spark
         self.root = root.rstrip("/")
 

@@ -285,4 +285,4 @@ def test_quality_rules(docs, none):
 
 def test_pipeline_is_registered():
     assert "pipeline" in contract.queries() and len(corpus_pipeline.STAGES) == 5
-    assert sum(bool(re.match(r"op\d+_", k)) for k in contract.queries()) == 10
+    assert sum(bool(re.match(r"op\d+_", k)) for k in contract.queries()) == 13

@@ -105,7 +105,7 @@ def test_stored_tiers_take_late_rows_and_read_few_folders(spark, tmp_path):
     table.apply_retention("2026-07-02T10:00:00.050Z", 30)
     assert table.count_by_bucket(wide, "1h").collect() == aggregate.count_by_bucket(table.read_logs(), wide, "1h").collect()
     assert sum(r["count"] for r in table.count_by_bucket(wide, "1d").collect()) == 2
-    assert storage.children(spark, f"{tmp_path}/t/rollup/tier=60/period=2026-05-30") == []
+    assert storage.children(spark, f"{tmp_path}/t/rollup/tier=60/period=2026-05-01") == []
     assert storage.children(spark, f"{tmp_path}/t/rollup/tier=86400/period=2025-01-01") == []
 
 

@@ -20,7 +20,7 @@ from timberline.operators.aggregate import check_bucket, count_by_bucket, group_
 from timberline.schema import BUCKET_MS, RECENT_WINDOW_MS
 
 # Seconds of a cell, finest first, and the calendar unit whose cells are stored together.
-TIERS = {1: "day", 60: "day", 3_600: "month", 86_400: "year"}
+TIERS = {1: "day", 60: "month", 3_600: "month", 86_400: "year"}
 # How long the cells of a tier are kept by default, in milliseconds; the coarsest for good.
 KEPT_MS = {1: RECENT_WINDOW_MS, 60: 2 * 86_400_000, 3_600: 92 * 86_400_000, 86_400: None}
 

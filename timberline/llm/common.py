@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.session import configure
+from timberline.session import configure, scratch_path
+from timberline.sources import storage
 
 # Texts per Arrow batch: long texts must not add up to a large batch.
 BATCH_ROWS = "1000"
@@ -80,3 +81,21 @@ def frames(batches: Iterator, make) -> Iterator:
 
     for batch in batches:
         yield pa.RecordBatch.from_pydict(make(batch.column("doc_id"), batch.column("text").to_pylist()))
+
+
+class Steps:
+    """Tables an operator writes to the shared folder between its steps; each is removed once no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[out] = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            storage.remove(self.spark, self.paths.pop(frame))

@@ -83,6 +83,23 @@ def frames(batches: Iterator, make) -> Iterator:
         yield pa.RecordBatch.from_pydict(make(batch.column("doc_id"), batch.column("text").to_pylist()))
 
 
+def keep_rows(docs: DataFrame, judge) -> DataFrame:
+    """The rows of ``docs`` whose text is kept; each row is judged by its own text, so ids may be null or repeat.
+
+    ``judge()`` makes, once per task, a function from a text (null: empty) to whether its row stays.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        keeps = judge()
+        for batch in batches:
+            yield batch.filter(pa.array([keeps(x or "") for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Steps:
     """Tables an operator writes to the shared folder between its steps; each is removed once no later step reads it."""
 

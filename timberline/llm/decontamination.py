@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import texts
+from timberline.llm.common import keep_rows, texts
 
 WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id bigint, item_id bigint, covered bigint, item_words bigint, coverage double"
@@ -103,44 +103,55 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = 5, threshold: flo
     return found
 
 
+def _finder(block, least: int, threshold: float):
+    """A function from a text to (item, covered words, words) of the items of a block that it leaks."""
+    number: dict[str, int] = {}
+    coded = [[number.setdefault(w, len(number) + 1) for w in found] for _, found in block]
+    seeds: dict[tuple, list[int]] = {}
+    for k, codes in enumerate(coded):
+        n = min(least, len(codes))
+        for i in range(len(codes) - n + 1):
+            seeds.setdefault(tuple(codes[i:i + n]), []).append(k)
+    sizes = sorted({len(s) for s in seeds})
+
+    def leaks(text):
+        codes = [number.get(w, 0) for w in tokens(text)]
+        near: dict[int, list[int]] = {}
+        for n in sizes:
+            for i, window in enumerate(zip(*[codes[j:] for j in range(n)])):
+                if window in seeds:
+                    for k in seeds[window]:
+                        near.setdefault(k, []).append(i)
+        for k, places in near.items():
+            item = coded[k]
+            n = min(least, len(item))
+            # Only the neighbourhood of seeds can hold tiles; a word 0, which no item has, parts the pieces.
+            keep = bytearray(len(codes))
+            for i in places:
+                keep[i:i + n] = b"\x01" * min(n, len(codes) - i)
+            kept = [c for i, c in enumerate(codes) for c in ((c,) if keep[i] else (0,) if i and keep[i - 1] else ())]
+            # Places of the item whose words the kept text lacks can't be covered.
+            has = set(kept)
+            if sum(c in has for c in item) < threshold * len(item):
+                continue
+            covered = tile(item, kept, n)
+            if covered >= threshold * len(item):
+                yield block[k][0], covered, len(item)
+
+    return leaks
+
+
 def _matcher(shared, least: int, threshold: float):
     def run(batches):
         import pyarrow as pa
 
-        number: dict[str, int] = {}
-        coded = [[number.setdefault(w, len(number) + 1) for w in found] for _, found in shared.value]
-        seeds: dict[tuple, list[int]] = {}
-        for k, codes in enumerate(coded):
-            n = min(least, len(codes))
-            for i in range(len(codes) - n + 1):
-                seeds.setdefault(tuple(codes[i:i + n]), []).append(k)
-        sizes = sorted({len(s) for s in seeds})
+        leaks = _finder(shared.value, least, threshold)
         for batch in batches:
             out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                codes = [number.get(w, 0) for w in tokens(text)]
-                near: dict[int, list[int]] = {}
-                for n in sizes:
-                    for i, window in enumerate(zip(*[codes[j:] for j in range(n)])):
-                        if window in seeds:
-                            for k in seeds[window]:
-                                near.setdefault(k, []).append(i)
-                for k, places in near.items():
-                    item = coded[k]
-                    n = min(least, len(item))
-                    # Only the neighbourhood of seeds can hold tiles; a word 0, which no item has, parts the pieces.
-                    keep = bytearray(len(codes))
-                    for i in places:
-                        keep[i:i + n] = b"\x01" * min(n, len(codes) - i)
-                    kept = [c for i, c in enumerate(codes) for c in ((c,) if keep[i] else (0,) if i and keep[i - 1] else ())]
-                    # Places of the item whose words the kept text lacks can't be covered.
-                    has = set(kept)
-                    if sum(c in has for c in item) < threshold * len(item):
-                        continue
-                    covered = tile(item, kept, n)
-                    if covered >= threshold * len(item):
-                        for c, v in zip(out, (doc, shared.value[k][0], covered, len(item), covered / len(item))):
-                            out[c].append(v)
+                for item, covered, size in leaks(text):
+                    for c, v in zip(out, (doc, item, covered, size, covered / size)):
+                        out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
                 ("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int64()), ("item_words", pa.int64()), ("coverage", pa.float64())]))
 
@@ -148,6 +159,15 @@ def _matcher(shared, least: int, threshold: float):
 
 
 def clean(docs: DataFrame, items: DataFrame, least: int = 5, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that leak an item. A null id never leaves."""
-    leaked = find_leaks(docs, items, least, threshold).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("leaked_id"), "left_anti")
+    """``docs`` without the rows whose text leaks an item; each row by its own text."""
+    for block in blocks(items):
+        docs = keep_rows(docs, _judge(docs.sparkSession.sparkContext.broadcast(block), least, threshold))
+    return docs
+
+
+def _judge(shared, least: int, threshold: float):
+    def judge():
+        leaks = _finder(shared.value, least, threshold)
+        return lambda text: next(leaks(text), None) is None
+
+    return judge

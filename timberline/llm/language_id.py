@@ -1,10 +1,13 @@
 """Language identification by error-correcting output codes.
 
 Each language has a codeword. For each bit a binary classifier over hashed byte n-grams (naive Bayes on counts that
-Spark sums over all training texts) gives a margin; the language whose codeword loses least, by logistic loss weighted with
-the bit's training accuracy, is chosen. A text whose two best languages lose about the same is flagged ambiguous.
+Spark sums over all training texts) gives a margin. A second pass over the training texts sums each bit's logistic loss on each
+language; a codeword's loss is the mean of its bits' losses, weighted by how little each bit lost on that language in training. The
+language whose codeword loses least is chosen (ties: the first by name). A text whose two best languages lose about
+the same is flagged ambiguous.
 
-Null, empty and letterless texts are ``und`` with score 0. Without any training language all texts are ``und``.
+Null, empty and letterless texts are ``und`` with score 0. Without any training language all texts are ``und``. Repeated rows
+count each; texts are read whole.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import frames, remainder, texts
+from timberline.llm.common import frames, keep_rows, remainder, texts
 
 BUCKETS = 1 << 14
 SCHEMA = "doc_id bigint, lang_pred string, score double, ambiguous boolean"
@@ -60,8 +63,48 @@ def gram_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def margins(text: str, weights):
+    """Each bit's evidence; it grows with the length, but neighbouring grams repeat each other."""
+    import numpy as np
+
+    n = grams(text)
+    at = np.flatnonzero(n)
+    return (n[at] @ weights[at]) / np.sqrt(max(n.sum(), 1))
+
+
+def bit_trust(train: DataFrame, languages: list[str], code, weights):
+    """Weights of the bits of each language's codeword, summing to 1: exp(-mean logistic loss on its training texts).
+
+    Losses are summed as whole millionths, so that the order of tasks does not matter.
+    """
+    import numpy as np
+
+    model = train.sparkSession.sparkContext.broadcast((languages, code, weights))
+
+    def run(batches):
+        import pyarrow as pa
+
+        languages, code, weights = model.value
+        number = {x: i for i, x in enumerate(languages)}
+        loss, texts_of = np.zeros(code.shape, np.int64), np.zeros(len(code), np.int64)
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                i = number[lang]
+                loss[i] += np.rint(1e6 * np.logaddexp(0, -code[i] * margins(text, weights))).astype(np.int64)
+                texts_of[i] += 1
+        for i in np.flatnonzero(texts_of):
+            bits = np.arange(code.shape[1])
+            yield pa.RecordBatch.from_pydict({"i": np.full(len(bits), i), "bit": bits, "loss": loss[i], "n": np.full(len(bits), texts_of[i])})
+
+    sums = train.mapInArrow(run, "i bigint, bit bigint, loss bigint, n bigint").groupBy("i", "bit").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    found = sums.toPandas()  # a row for each language and bit
+    trust = np.zeros(code.shape)
+    trust[found["i"], found["bit"]] = np.exp(-found["loss"] / found["n"] / 1e6)
+    return trust / trust.sum(1, keepdims=True)
+
+
 def fit(docs: DataFrame):
-    """(languages, codewords, weights): learned from texts with a language outside the held-out quarter."""
+    """(languages, codewords, weights, trust): learned from texts with a language outside the held-out quarter."""
     import numpy as np
 
     train = texts(docs, "lang", ).where(F.col("lang").isNotNull() & (remainder(4) != 2)).select("lang", "text")
@@ -70,7 +113,7 @@ def fit(docs: DataFrame):
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(found["lang"].unique())
     if not languages:
-        return [], None, None
+        return [], None, None, None
     counts = np.zeros((len(languages), BUCKETS))
     counts[np.searchsorted(languages, found["lang"]), found["bucket"]] = found["n"]
     shares = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
@@ -80,32 +123,50 @@ def fit(docs: DataFrame):
         on, off = shares[code[:, bit] > 0], shares[code[:, bit] < 0]
         if len(on) and len(off):
             weights[:, bit] = np.log(on.mean(0)) - np.log(off.mean(0))
-    return languages, code, weights.astype(np.float32)
+    weights = weights.astype(np.float32)
+    return languages, code, weights, bit_trust(train, languages, code, weights)
+
+
+def decider(model, gap: float):
+    """A function from a text to (language, score, whether it is ambiguous)."""
+    import numpy as np
+    import regex
+
+    languages, code, weights, trust = model
+    letter = regex.compile(r"\p{L}")
+
+    def decide(text):
+        if not languages or not letter.search(text):
+            return "und", 0.0, False
+        loss = (trust * np.logaddexp(0, -code * margins(text, weights))).sum(1)
+        like = np.exp(loss.min() - loss)
+        order = np.sort(loss)
+        return languages[int(loss.argmin())], float(1 / like.sum()), len(order) > 1 and bool(order[1] - order[0] < gap)
+
+    return decide
+
+
+def clear_rows(docs: DataFrame, gap: float = 0.02) -> DataFrame:
+    """``docs`` without the rows of no language, or of none clearly."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    def judge():
+        decide = decider(model.value, gap)
+
+        def keeps(text):
+            lang, _, ambiguous = decide(text)
+            return lang != "und" and not ambiguous
+
+        return keeps
+
+    return keep_rows(docs, judge)
 
 
 def identify(docs: DataFrame, gap: float = 0.02) -> DataFrame:
-    languages, code, weights = fit(docs)
-    model = docs.sparkSession.sparkContext.broadcast((languages, code, weights))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches):
-        import numpy as np
-        import regex
-
-        languages, code, weights = model.value
-        letter = regex.compile(r"\p{L}")
-
-        def decide(text):
-            if not languages or not letter.search(text):
-                return "und", 0.0, False
-            n = grams(text)
-            at = np.flatnonzero(n)
-            # Evidence grows with the length, but neighbouring grams repeat each other.
-            margin = (n[at] @ weights[at]) / np.sqrt(n.sum())
-            loss = np.logaddexp(0, -code * margin).mean(1)
-            like = np.exp(loss.min() - loss)
-            like /= like.sum()
-            order = np.sort(like)[::-1]
-            return languages[int(loss.argmin())], float(order[0]), len(order) > 1 and bool(order[0] - order[1] < gap)
+        decide = decider(model.value, gap)
 
         def columns(ids, found):
             out = [decide(x) for x in found]

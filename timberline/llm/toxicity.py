@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import frames, labelled_sample, logistic, logistic_fit, remainder, texts
+from timberline.llm.common import frames, keep_rows, labelled_sample, logistic, logistic_fit, remainder, texts
 
 SCHEMA = "doc_id bigint, score double, n_matches bigint"
 PER_CLASS = 2500
@@ -133,3 +133,16 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
 
     return texts(docs).mapInArrow(run, SCHEMA).select(
         "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_matches")
+
+
+def clear_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def judge():
+        if model.value is None:
+            return lambda text: True
+        grammar, weights = Grammar(model.value[0]), model.value[1]
+        return lambda text: logistic([inputs(grammar.features(text), len(text))], weights)[0] < threshold
+
+    return keep_rows(docs, judge)

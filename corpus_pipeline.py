@@ -1,33 +1,27 @@
 """The corpus pipeline: language, toxicity, near duplicates, benchmark leaks, then token ids.
 
 Each stage works on all that its predecessor kept. All but the last return the columns of ``documents``.
-Null ids never leave by a join on ids.
+Every row is judged by its own text, so ids may be null, repeat, or name different texts.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from timberline.llm import byte_bpe, decontamination, language_id, ngram_jaccard, toxicity
 from timberline.llm.common import table
 from timberline.session import configure, scratch_path
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    gone = rejected.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, or of no language clearly, go."""
     table(spark, sf_dir, "documents")
-    return _without(docs, language_id.identify(docs).where((F.col("lang_pred") == "und") | F.col("ambiguous")))
+    return language_id.clear_rows(docs)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return toxicity.clear_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

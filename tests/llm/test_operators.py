@@ -16,6 +16,7 @@ import corpus_pipeline
 from timberline.llm import (
     byte_bpe, decontamination, language_id, license_scan, ngram_jaccard, ngram_lm, quality_classifier, quality_rules, token_counts, toxicity,
 )
+from timberline.llm.common import Steps
 
 BASE = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
@@ -283,6 +284,49 @@ def test_quality_rules(docs, none):
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
 
 
+def test_jaccard_unlinked_template(spark):
+    """Texts of one template, each with a fifth of its own words, are below the threshold and make hardly any candidates."""
+    template = [f"t{i}" for i in range(200)]
+    made = [(i, " ".join([f"own{i}x{k}" for k in range(44)] + template)) for i in range(300)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    steps = Steps(spark)
+    _, _, postings = ngram_jaccard.prepare(df, 80, steps)
+    assert ngram_jaccard.candidates(postings, 80).count() < 300
+    assert all(r.component_id == r.doc_id for r in ngram_jaccard.join(df).collect())
+
+
+def test_shingles_of_long_texts_and_words():
+    made = ["a b c d e f " * 60_000, "x" * 300 + " y " + "x" * 299 + "z q r s", None, "", " \t", "É é A a", "one " + "w" * 5000]
+    for text, got in zip(made, ngram_jaccard.shingle_sets(made), strict=True):
+        w = (text or "").encode().lower().split()
+        assert len(got) == len({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()})
+        assert list(got) == list(next(ngram_jaccard.shingle_sets([text])))
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    """One row of a group stays; rows of one id with other texts, and rows without an id, are judged by themselves."""
+    near = BASE + " tail"
+    made = [(1, BASE), (1, BASE), (2, near), (None, near), (2, "quite another text of these two"), (None, "alone without an id"), (3, ""), (3, None)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    kept = Counter((r.doc_id, r.text) for r in ngram_jaccard.keep_one(df).collect())
+    assert kept == Counter([(1, BASE), (2, "quite another text of these two"), (None, "alone without an id"), (3, ""), (3, None)])
+    items = spark.createDataFrame([(9, BASE)], "item_id bigint, text string")
+    left = Counter((r.doc_id, r.text) for r in decontamination.clean(df, items).collect())
+    assert left == Counter(made[4:])
+
+
+def test_language_bits_are_weighted(spark):
+    made = [(i, ("the cat and the dog are here" if i % 2 else "der hund und die katze sind da") + f" {i}", "en" if i % 2 else "de") for i in range(60)]
+    df = spark.createDataFrame(made + [(None, "123 !", None), (7, None, "en")], "doc_id bigint, text string, lang string")
+    languages, code, _, trust = language_id.fit(df)
+    assert languages == ["de", "en"] and trust.shape == code.shape and trust.sum(1) == pytest.approx([1, 1]) and (trust > 0).all()
+    assert Counter(r.lang_pred for r in language_id.identify(df).collect()) == {"en": 30, "de": 30, "und": 2}
+    assert language_id.clear_rows(df).count() == 60 and language_id.clear_rows(df).columns == df.columns
+    # Equal evidence for two languages is flagged and leaves.
+    twins = spark.createDataFrame([(i, "same words in both", "en" if i % 2 else "de") for i in range(40)], "doc_id bigint, text string, lang string")
+    assert all(r.ambiguous for r in language_id.identify(twins).collect()) and language_id.clear_rows(twins).count() == 0
+
+
 def test_pipeline_is_registered():
     assert "pipeline" in contract.queries() and len(corpus_pipeline.STAGES) == 5
     assert sum(bool(re.match(r"op\d+_", k)) for k in contract.queries()) == 13

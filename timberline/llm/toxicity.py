@@ -1,9 +1,9 @@
-"""Toxicity by a weighted finite-state pattern grammar.
+"""Toxicity by a learned lexicon with modifiers, read clause by clause.
 
-A first transducer maps words to symbols: I insult, H threat, T target, N negation, R reported speech, o other. The grammar
-then reads each clause's symbols once and gives it a weight: an insult or threat counts its learned weight, more
-near a target, less right behind a negation or after reported speech. The text's score is the calibrated sum of its
-heaviest clause and its matches. Insult words and word beginnings are learned from labels; the closed word classes are fixed.
+No transducers are composed: words map to symbols (I insult, H threat, T target, N negation, R reported speech, o other), and one pass
+over a clause's symbols adds the weight of each insult or threat, more near a target, less right behind a negation or after
+reported speech. An insult counts without a target too. The text's score is the calibrated sum of its
+heaviest clause and its matches. Insult words and word beginnings are learned from labels; the other word classes are fixed.
 
 Null, empty and clean texts get the calibrated score of no match. Without labels of both kinds every score is 0.
 """

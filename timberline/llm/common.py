@@ -42,14 +42,15 @@ def words(text: str) -> list[bytes]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
     """At most ``per_class`` whole texts of each label value outside the held-out fifth, chosen by a hash of the id.
 
-    The bound is what makes it fit the driver; only ids pass the ordering, texts are fetched for the chosen ones.
+    The bound is what makes it fit the driver; only ids pass the ordering, texts are fetched for the chosen ones. A
+    document chosen for both values counts as 1.
     """
     train = labels.where(F.col(label).isNotNull() & (remainder(5) != 0)).select("doc_id", F.col(label).cast("int").alias("y"))
     chosen = None
     for value in (0, 1):
         part = train.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
-    found = docs.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("text", "y").where(F.col("text").isNotNull())
+    found = docs.join(F.broadcast(chosen.groupBy("doc_id").agg(F.max("y").alias("y"))), "doc_id").select("text", "y").where(F.col("text").isNotNull())
     return [(r.text, r.y) for r in found.toLocalIterator()]
 
 

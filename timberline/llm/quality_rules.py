@@ -1,9 +1,14 @@
 """Quality rules with host verdicts, in built-in functions only.
 
-Failures of the per-document rules are summed per host, rates are shrunk with a beta prior fitted to all hosts by
-moments, and a host whose shrunk rate is above the limit rejects its documents.
-
-A null text has no words and fails; a null host is a host of its own (the null one). Repeated rows count each.
+Each document is tried by four rules: too few words, too many words in repeated windows, too many symbols, too many repeated
+lines. Failures are summed per host and rule. Per rule a beta prior is fitted to the rates of all hosts by moments (the spread
+that chance alone explains taken off), each host's rate is shrunk towards its mean, and a host is rejected when a shrunk rate
+lies more than ``deviations`` standard deviations of the prior above that mean. So the limit follows from the hosts themselves: where
+all are alike none is rejected, however often a rule fails, and a host of few documents has to fail far more often.
+
+A null text has no words and fails; a null host is a host of its own (the null one). Repeated rows count each. The documents
+are measured once; of each row only the counts are written and read again, so very long texts and a host of a third of all rows
+cost no more than their share.
 """
 
 from __future__ import annotations
@@ -11,9 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.session import broadcast_if_small
+from timberline.session import broadcast_if_small, materialise
 
 WINDOW = 8
+# Rules over the measured counts. The first two fail a document by themselves, all four count for its host.
+RULES = {
+    "short": "n_words < 20",
+    "repeated": "100 * n_repeat_words > 30 * n_words",
+    "symbols": "10 * n_symbols > word_chars",
+    "lines": "10 * n_dup_lines > 3 * n_lines",
+}
+# Rates are whole ten-thousandths, so that their sums over hosts are exact whatever their order.
+SCALE = 10_000
 
 
 def let(value: Column, then) -> Column:
@@ -54,29 +68,58 @@ def measure(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(word)).cast("long").alias("n_words"),
         F.char_length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda found: F.struct(F.size(found).cast("long").alias("n"), F.size(F.array_distinct(found)).alias("distinct"))).alias("lines"),
         repeat_words(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n_repeat_words"),
-    ).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-
-
-def host_verdicts(measured: DataFrame, limit: float = 0.6) -> DataFrame:
-    """Shrunk failure rate and verdict of each host."""
-    failed = F.col("base_failed") | (10 * F.col("n_symbols") > F.col("word_chars"))
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(failed.cast("long")).alias("k"))
-    rate = F.col("k") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v")).select(
-        F.greatest(F.least("m", F.lit(0.999)), F.lit(0.001)).alias("m"), "v")
-    # A spread of zero between hosts means a firm prior; its strength stays within 1 and 1000 documents.
-    strength = F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("m") * (1 - F.col("m")) / F.greatest("v", F.lit(1e-9)) - 1))
-    prior = prior.select("m", strength.alias("s"))
-    return hosts.join(F.broadcast(prior)).select(
-        "host", ((F.col("k") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))).alias("host_rate")
-    ).withColumn("host_rejected", F.col("host_rate") > limit)
-
-
-def apply(docs: DataFrame, limit: float = 0.6, max_hosts: int = 100_000) -> DataFrame:
-    measured = measure(docs)
-    hosts = broadcast_if_small(host_verdicts(measured, limit), max_hosts).withColumnRenamed("host", "of_host")
+    ).select(
+        "doc_id", "host", "n_words", "word_chars", "n_symbols", F.col("lines.n").alias("n_lines"),
+        (F.col("lines.n") - F.col("lines.distinct")).alias("n_dup_lines"), "n_repeat_words",
+    ).withColumn("base_failed", F.expr(f"{RULES['short']} OR {RULES['repeated']}"))
+
+
+def host_counts(measured: DataFrame) -> DataFrame:
+    """Documents of each host, and how many fail each rule."""
+    return measured.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(rule).cast("long")).alias(name) for name, rule in RULES.items()])
+
+
+def priors(hosts: DataFrame) -> DataFrame:
+    """One row: mean ``m``, strength ``s`` (in documents) and ``limit`` of the beta prior of each rule."""
+    scaled = lambda name: F.floor(SCALE * F.col(name) / F.col("n"))
+    # Chance alone spreads the rate of a host of n documents by m (1 - m) / n; the sum of 1 / n is kept in whole parts too.
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(F.floor(F.lit(1_000_000) / F.col("n"))).alias("parts"), *[
+        out for name in RULES for out in (F.sum(scaled(name)).alias(f"{name}_1"), F.sum(scaled(name) * scaled(name)).alias(f"{name}_2"))])
+    found = sums.where("hosts > 0")
+    for name in RULES:
+        found = found.withColumn(f"{name}_mean", F.col(f"{name}_1") / F.col("hosts") / SCALE)
+        found = found.withColumn(f"{name}_m", F.greatest(F.least(f"{name}_mean", F.lit(0.999)), F.lit(0.001)))
+        spread = F.col(f"{name}_2") / F.col("hosts") / (SCALE * SCALE) - F.col(f"{name}_mean") * F.col(f"{name}_mean")
+        chance = F.col(f"{name}_m") * (1 - F.col(f"{name}_m")) * F.col("parts") / F.col("hosts") / 1_000_000
+        found = found.withColumn(f"{name}_v", F.greatest(spread - chance, F.lit(1e-9)))
+        # The strength stays within 1 and 1000 documents.
+        found = found.withColumn(f"{name}_s", F.greatest(F.lit(1.0), F.least(
+            F.lit(1000.0), F.col(f"{name}_m") * (1 - F.col(f"{name}_m")) / F.col(f"{name}_v") - 1)))
+    return found.select(*[f"{name}_{x}" for name in RULES for x in "ms"])
+
+
+def host_verdicts(measured: DataFrame, deviations: float = 3.0) -> DataFrame:
+    """Shrunk rate of each rule and verdict of each host."""
+    hosts = host_counts(measured)
+    # The priors are a single row.
+    joined = hosts.join(F.broadcast(priors(hosts)))
+    m, s = (lambda name: F.col(f"{name}_m")), (lambda name: F.col(f"{name}_s"))
+    rates = {name: (F.col(name) + m(name) * s(name)) / (F.col("n") + s(name)) for name in RULES}
+    # The difference to the mean is squared, as a square root may differ in its last digit between systems.
+    beyond = [(rates[name] > m(name)) & ((rates[name] - m(name)) * (rates[name] - m(name)) * (s(name) + 1)
+              > deviations * deviations * m(name) * (1 - m(name))) for name in RULES]
+    rejected = beyond[0]
+    for one in beyond[1:]:
+        rejected = rejected | one
+    return joined.select("host", *[rates[name].alias(f"{name}_rate") for name in RULES], rejected.alias("host_rejected"))
+
+
+def apply(docs: DataFrame, deviations: float = 3.0, max_hosts: int = 100_000) -> DataFrame:
+    measured = materialise(measure(docs), "quality-measured")
+    hosts = broadcast_if_small(materialise(host_verdicts(measured, deviations), "quality-hosts"), max_hosts).withColumnRenamed("host", "of_host")
     return measured.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"), "host_rate")
+        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), *[f"{name}_rate" for name in RULES], "host_rejected")

@@ -131,6 +131,47 @@ FROM rows GROUP BY conv_id
 """
 
 
+def _quality_sql(deviations: float = 3.0, window: int = 8) -> str:
+    """Windows are compared as texts; words hold no blank, so a window's text is its words."""
+    rules, scale = quality_rules.RULES, quality_rules.SCALE
+    square = float(deviations * deviations)
+    sums = ", ".join(f"CAST(sum(CAST({r} AS BIGINT)) AS BIGINT) AS {n}" for n, r in rules.items())
+    scaled = {n: f"CAST(floor({scale} * {n} / n) AS BIGINT)" for n in rules}
+    moments = ", ".join(f"CAST(sum({x}) AS BIGINT) / count(*) / {scale} AS {n}_mean, CAST(sum({x} * {x}) AS BIGINT) / count(*) / {scale * scale} AS {n}_square"
+                        for n, x in scaled.items())
+    clipped = ", ".join(f"greatest(least({n}_mean, CAST(0.999 AS DOUBLE)), CAST(0.001 AS DOUBLE)) AS {n}_m" for n in rules)
+    spread = ", ".join(f"greatest({n}_square - {n}_mean * {n}_mean - {n}_m * (1 - {n}_m) * parts / hosts / 1000000, CAST(1e-9 AS DOUBLE)) AS {n}_v" for n in rules)
+    strength = ", ".join(f"greatest(CAST(1 AS DOUBLE), least(CAST(1000 AS DOUBLE), {n}_m * (1 - {n}_m) / {n}_v - 1)) AS {n}_s" for n in rules)
+    rates = ", ".join(f"({n} + {n}_m * {n}_s) / (n + {n}_s) AS {n}_rate" for n in rules)
+    beyond = " OR ".join(f"({n}_rate > {n}_m AND ({n}_rate - {n}_m) * ({n}_rate - {n}_m) * ({n}_s + 1) > CAST({square} AS DOUBLE) * {n}_m * (1 - {n}_m))" for n in rules)
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT i, p, array_to_string(list_slice(w, p, p + {window - 1}), ' ') AS x FROM docs CROSS JOIN unnest(range(1, len(w) - {window - 2})) u(p)
+), again AS (
+  SELECT i, p FROM windows QUALIFY count(*) OVER (PARTITION BY i, x) > 1
+), covered AS (
+  SELECT i, count(DISTINCT p + k) AS n FROM again CROSS JOIN range({window}) r(k) GROUP BY i
+), measured AS MATERIALIZED (
+  SELECT i, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs) LEFT JOIN covered USING (i)
+), hosts AS MATERIALIZED (
+  SELECT source, count(*) AS n, {sums} FROM measured GROUP BY source
+), moments AS (
+  SELECT count(*) AS hosts, CAST(sum(CAST(floor(1000000 / n) AS BIGINT)) AS BIGINT) AS parts, {moments} FROM hosts
+), clipped AS (SELECT *, {clipped} FROM moments), spread AS (SELECT *, {spread} FROM clipped
+), priors AS (SELECT *, {strength} FROM spread), rates AS (SELECT source, {rates}, * EXCLUDE (source) FROM hosts CROSS JOIN priors
+), verdicts AS (SELECT *, {beyond} AS host_rejected FROM rates)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rules['short']} OR {rules['repeated']} AS base_failed,
+       NOT ({rules['short']} OR {rules['repeated']}) AND NOT host_rejected AS kept, {', '.join(f'{n}_rate' for n in rules)}, host_rejected
+FROM measured JOIN verdicts ON measured.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+
 def _clusters_sql(rounds: int = 10, k: int = 8, dim: int = 64, scale: int = 1024, seed: int = 3) -> str:
     """Plain rounds: every vector against every centroid. A key holds the distance first and then the number."""
     parts = [f"""
@@ -163,4 +204,4 @@ FROM a{rounds} a JOIN kept USING (i) JOIN c{rounds} c ON c.c = a.key % {k}
 """
 
 
-ORACLES: dict[str, str] = {"op11_chat_format": OP11_SQL.strip(), "op13_centroid_clustering": _clusters_sql().strip()}
+ORACLES: dict[str, str] = {"op8_quality_rules": _quality_sql().strip(), "op11_chat_format": OP11_SQL.strip(), "op13_centroid_clustering": _clusters_sql().strip()}

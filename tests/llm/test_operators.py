@@ -17,6 +17,7 @@ from timberline.llm import (
     byte_bpe, decontamination, language_id, license_scan, ngram_jaccard, ngram_lm, quality_classifier, quality_rules, token_counts, toxicity,
 )
 from timberline.llm.common import Steps
+from timberline.llm.components import components
 
 BASE = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
@@ -330,3 +331,14 @@ def test_language_bits_are_weighted(spark):
 def test_pipeline_is_registered():
     assert "pipeline" in contract.queries() and len(corpus_pipeline.STAGES) == 5
     assert sum(bool(re.match(r"op\d+_", k)) for k in contract.queries()) == 13
+
+
+def test_components_of_stars_and_chains(spark):
+    def found(pairs):
+        return {r.node: r.component for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+
+    assert found([]) == {} and found([(1, 1)]) == {}
+    assert found([(5, 2), (7, 2), (9, 3), (3, 9)]) == {2: 2, 5: 2, 7: 2, 3: 3, 9: 3}
+    chain = found([(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (95, 91)])
+    assert chain == {**{i: 0 for i in range(41)}, **{i: 90 for i in (90, 91, 95, 100)}}
+    assert components(spark.createDataFrame([(5, 2)] * 3, "a bigint, b bigint")).count() == 2

@@ -341,16 +341,22 @@ def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     comp = F.coalesce("component", "class")
     opened = steps.write(postings.join(label, F.col("class") == F.col("node"), "left").select(
         "fragment", "h", "class", "n", "i", comp.alias("component")), "open")
-    steps.drop(postings, label)
+    steps.drop(postings)
     checked = star.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     pairs = candidates(opened, percent, "component")
     pairs = steps.write(pairs.join(
         checked, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"), "rest-pairs")
     steps.drop(opened, star)
     more = linked(docs, pairs, order, percent, steps)
-    label = steps.write(components(near.unionAll(more)), "components")
+    # The new links join components, so only these are put together.
+    of_a = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    joins = more.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(joins).select(F.col("node").alias("part"), F.col("component").alias("whole"))
     first = known.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    named = steps.write(first.join(label, F.col("class") == F.col("node"), "left").select("class", "first", comp.alias("component")), "classes")
+    parts = first.join(label, F.col("class") == F.col("node"), "left").select("class", "first", comp.alias("part"))
+    named = steps.write(parts.join(top, "part", "left").select("class", "first", F.coalesce("whole", "part").alias("component")), "classes")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     out = steps.write(named.join(least, "component").select("class", "first", "component", "least"), "named")
     steps.drop(pairs, near, more, label, named)

@@ -12,6 +12,7 @@ texts and items match nothing; repeated rows are checked each.
 from __future__ import annotations
 
 import re
+from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,27 +57,43 @@ def tile(item: list[int], text: list[int], least: int) -> int:
                 out.append(i - n + 1)
         return out
 
-    def common(n: int, at: dict | None = None) -> list[tuple[int, int]]:
-        """Equal unmarked windows of n words as (item start, text start)."""
-        ours, theirs = rolling(item, n), rolling(text, n)
-        starts: dict[int, list[int]] = {}
+    def starts_of(n: int) -> dict[int, deque]:
+        ours, starts = rolling(item, n), {}
         for i in free(marked_item, n):
-            starts.setdefault(ours[i], []).append(i)
-        return [(i, j) for j in free(marked_text, n) if theirs[j] in starts for i in starts[theirs[j]] if item[i:i + n] == text[j:j + n]]
+            starts.setdefault(ours[i], deque()).append(i)
+        return starts
+
+    def shared(n: int) -> bool:
+        """Whether an unmarked window of n words is common; windows of equal hash are told apart by their words."""
+        starts, theirs = starts_of(n), rolling(text, n)
+        return any(h in starts and any(item[i:i + n] == text[j:j + n] for i in starts[h]) for j in free(marked_text, n) if (h := theirs[j]) in starts)
+
+    def mark(n: int) -> int:
+        """Marks common windows of n words from left to right; a window of the item that is marked in part is never looked at again."""
+        starts, theirs, done = starts_of(n), rolling(text, n), 0
+        for j in free(marked_text, n):
+            ahead = starts.get(theirs[j])
+            if not ahead or marked_text.find(1, j, j + n) >= 0:
+                continue
+            while ahead and marked_item.find(1, ahead[0], ahead[0] + n) >= 0:
+                ahead.popleft()
+            i = next((i for i in ahead if marked_item.find(1, i, i + n) < 0 and item[i:i + n] == text[j:j + n]), None)
+            if i is not None:
+                marked_item[i:i + n] = marked_text[j:j + n] = b"\x01" * n
+                done += n
+        return done
 
     while length >= least:
         # The longest length that still has a common window: windows nest, so it can be halved for.
         low, high = least - 1, length
         while low < high:
             middle = (low + high + 1) // 2
-            low, high = (middle, high) if common(middle) else (low, middle - 1)
+            low, high = (middle, high) if shared(middle) else (low, middle - 1)
         if low < least:
             break
-        for i, j in common(low):
-            if not any(marked_item[i:i + low]) and not any(marked_text[j:j + low]):
-                marked_item[i:i + low] = marked_text[j:j + low] = b"\x01" * low
-                covered += low
-        length = low
+        covered += mark(low)
+        # No common window of this length is left.
+        length = low - 1
     return covered
 
 

@@ -139,6 +139,14 @@ def test_requests_agree_with_each_alone(spark, drawn):
     assert requests.answer_requests(none, logs, cells).count() == 0
 
 
+def test_buckets_of_requests_are_not_shuffled(spark, drawn):
+    """A request's buckets are made behind the last shuffle, so that disk grows with the requests and not with their buckets."""
+    logs, cells = drawn
+    asked = spark.createDataFrame([("r", None, None, BASE + 1, BASE + 3 * DAY - 1, "1m", "service")], REQUESTS)
+    plan = plan_text(requests.answer_requests(asked, logs, cells), "simple")
+    assert plan.index("Generate explode") < plan.index("Exchange")
+
+
 def test_boundaries_belong_to_their_filter(spark, tmp_path):
     logs = make_logs(spark, [(n, BASE + n // 2, "info", "s", "m", {"k": "1"}) for n in range(9)]).cache()
     f = LogFilter("s", attributes={"k": "1"})

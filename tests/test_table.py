@@ -151,6 +151,12 @@ def test_read_envelopes_by_file_and_line(spark, tmp_path):
     assert read_envelopes(spark, str(tmp_path / "lines"), whole_files=False).count() == 2
 
 
+def test_lines_of_one_file_are_judged_on_all_cores(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"logs":[],"n":{n}}}\n' for n in range(200)))
+    rows = read_envelopes(spark, str(tmp_path / "a.jsonl"), whole_files=False).select("batch_id", F.spark_partition_id().alias("task")).collect()
+    assert len({r["batch_id"] for r in rows}) == 200 and len({r["task"] for r in rows}) == spark.sparkContext.defaultParallelism
+
+
 def test_stream_equals_batch_over_restarts(spark, table, tmp_path):
     source, checkpoint = tmp_path / "in", str(tmp_path / "checkpoint")
     bodies = [logs_at(f"2026-07-1{i}T10:00:00Z", "2020-01-01T00:00:00Z", "bad") for i in range(6)] + ["{", {"logs": []}]

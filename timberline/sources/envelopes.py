@@ -18,7 +18,8 @@ def read_envelopes(spark: SparkSession, path: str, whole_files: bool = True) ->
     """One row per batch document: a whole file, or one line of a file.
 
     A file is read by one task in both cases: only then are line numbers, and with them ids, the same however the
-    read is split. Files of lines should therefore stay well below an executor's memory.
+    read is split. Files of lines should therefore stay well below an executor's memory. Their lines are dealt to all
+    cores before any document is looked at.
     """
     return identified(spark.read.text(path, wholetext=True), whole_files)
 
@@ -34,6 +35,8 @@ def identified(files: DataFrame, whole_files: bool = True) -> DataFrame:
     lines = F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)
     documents = F.array("value") if whole_files else F.when(F.col("value") != "", lines)
     placed = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(documents).alias("line", "body"))
+    if not whole_files:
+        placed = placed.repartition(files.sparkSession.sparkContext.defaultParallelism, "path", "line")
     place = F.concat_ws("#", "path", F.col("line").cast("string"), F.sha2("body", 256))
     return placed.select(
         F.sha2(place, 256).substr(1, 32).alias("batch_id"), F.current_timestamp().alias("received_at"), "body",

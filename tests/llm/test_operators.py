@@ -296,6 +296,31 @@ def test_jaccard_unlinked_template(spark):
     assert all(r.component_id == r.doc_id for r in ngram_jaccard.join(df).collect())
 
 
+def test_jaccard_sets_are_shuffled_once_for_both_ends(spark, monkeypatch):
+    """The sets of the checked classes are made and shuffled by one exchange that both joins read, and are not written."""
+    written, plans, write = [], [], Steps.write
+
+    def watched(self, df, label):
+        written.append(label)
+        if label == "class-links":
+            found = df.select("*")
+            found.collect()
+            plans.append(found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return write(self, df, label)
+
+    monkeypatch.setattr(Steps, "write", watched)
+    made = [(i, " ".join([f"g{i % 4}w{k}" for k in range(60)] + [f"own{i}"])) for i in range(24)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ngram_jaccard.join(spark.createDataFrame(made, "doc_id bigint, text string"))
+        assert {(r.doc_id, r.component_id) for r in found.collect()} == {(i, i % 4) for i in range(24)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "fragments" not in written
+    assert plans[0].count("MapInArrow") == 1 and plans[0].count("ReusedExchange") >= 1
+
+
 def test_shingles_of_long_texts_and_words():
     made = ["a b c d e f " * 60_000, "x" * 300 + " y " + "x" * 299 + "z q r s", None, "", " \t", "É é A a", "one " + "w" * 5000]
     for text, got in zip(made, ngram_jaccard.shingle_sets(made), strict=True):

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from timberline.llm.common import Steps, texts
 from timberline.llm.components import components
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 BLOOM_BITS = 25
 FRAGMENTS = 4
 LONGEST = 5
@@ -185,7 +185,8 @@ def global_order(profiled: DataFrame):
     order[counts["slot"]] = counts["k"]
     ranked = np.sort(order)
     mass = np.cumsum(ranked)
-    return order, ranked[np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS).clip(max=len(ranked) - 1)]
+    # Four bytes are enough for an order: every task holds it.
+    return order.clip(max=(1 << 31) - 1).astype(np.int32), ranked[np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS).clip(max=len(ranked) - 1)]
 
 
 def postings_of(docs: DataFrame, order, percent: int) -> DataFrame:
@@ -302,16 +303,18 @@ def fragments(docs: DataFrame, pairs: DataFrame, order) -> DataFrame:
 
 
 def linked(docs: DataFrame, pairs: DataFrame, order, percent: int, steps: Steps) -> DataFrame:
-    """The pairs (a, b) whose summed overlaps reach the threshold, written."""
-    parts = steps.write(fragments(docs, pairs, order), "fragments")
+    """The pairs (a, b) whose summed overlaps reach the threshold, written.
+
+    Sets are shuffled by class and fragment once, for both ends, and once more beside the pairs of the first end.
+    """
+    parts = fragments(docs, pairs, order)
     mine = parts.select(F.col("class").alias("a"), "fragment", F.col("s").alias("sa"))
     other = parts.select(F.col("class").alias("b"), "fragment", F.col("s").alias("sb"))
-    partial = pairs.join(mine, "a").join(other, ["b", "fragment"]).select(
+    asked = pairs.withColumn("fragment", F.explode(F.array(*(F.lit(k) for k in range(FRAGMENTS)))))
+    partial = asked.join(mine, ["a", "fragment"]).join(other, ["b", "fragment"]).select(
         "a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
-    found = steps.write(partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(
+    return steps.write(partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(
         100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "class-links")
-    steps.drop(parts)
-    return found
 
 
 def prepare(docs: DataFrame, percent: int, steps: Steps):

@@ -33,6 +33,8 @@ from timberline.llm.common import Steps, texts
 from timberline.llm.components import components
 
 SKETCH_BITS = 20
+# Slots whose counts are one row.
+SLOTS = 1 << 12
 BLOOM_BITS = 25
 FRAGMENTS = 4
 LONGEST = 5
@@ -145,15 +147,15 @@ def slots(found, bits: int):
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, class and number of shingles of each whole text, and behind them (slot, k): each task's number of shingles in
-    each of 2^SKETCH_BITS slots. One pass over the texts."""
+    """doc_id, class and number of shingles of each whole text, and behind them (block, counts): each task's number of shingles in
+    each of 2^SKETCH_BITS slots, SLOTS of them a row. One pass over the texts."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         def rows(**columns):
             n = len(next(iter(columns.values())))
-            kinds = {"doc_id": pa.int64(), "class": pa.int64(), "n": pa.int64(), "slot": pa.int32(), "k": pa.int64()}
+            kinds = {"doc_id": pa.int64(), "class": pa.int64(), "n": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
             return pa.RecordBatch.from_pydict({c: pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()})
 
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -163,26 +165,45 @@ def profile(docs: DataFrame) -> DataFrame:
                 np.add.at(total, slots(found, SKETCH_BITS), 1)
                 sets.append((class_of(found), len(found)))
             yield rows(**{"doc_id": batch.column("doc_id").to_pylist(), "class": [c for c, _ in sets], "n": [n for _, n in sets]})
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo:lo + (1 << 16)]
-            yield rows(slot=part.astype(np.int32), k=total[part])
+        blocks = total.reshape(-1, SLOTS)
+        used = np.flatnonzero(blocks.any(axis=1)).tolist()
+        if used:
+            yield rows(block=used, counts=[narrow(blocks[k]) for k in used])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, class bigint, n bigint, slot int, k bigint")
+    return texts(docs).mapInArrow(run, "doc_id bigint, class bigint, n bigint, block int, counts binary")
+
+
+def narrow(counts) -> bytes:
+    """A block's counts in as few bytes each as the largest needs."""
+    import numpy as np
+
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def summed(blocks):
+    """The sums of a block's counts; the number of bytes tells those of a count."""
+    import numpy as np
+    import pyarrow as pa
+
+    total = np.zeros(SLOTS, np.int64)
+    for counts in blocks.column("counts").to_pylist():
+        total += np.frombuffer(counts, f"u{len(counts) // SLOTS}").astype(np.int64)
+    return pa.table({"block": blocks.column("block")[:1], "counts": pa.array([narrow(total)], pa.binary())})
 
 
 def described(profiled: DataFrame) -> DataFrame:
-    return profiled.where("slot IS NULL").select("doc_id", "class", "n")
+    return profiled.where("block IS NULL").select("doc_id", "class", "n")
 
 
 def global_order(profiled: DataFrame):
     """(number of shingles per slot, cuts between fragments): slots by their number make the order, each fragment holds
-    about the same number of shingles. 2^SKETCH_BITS rows reach the driver whatever the input."""
+    about the same number of shingles. 2^SKETCH_BITS counts reach the driver whatever the input, in blocks."""
     import numpy as np
 
-    counts = profiled.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("k").alias("k")).toPandas()
-    order = np.zeros(1 << SKETCH_BITS, np.int64)
-    order[counts["slot"]] = counts["k"]
+    order = np.zeros(((1 << SKETCH_BITS) // SLOTS, SLOTS), np.int64)
+    for row in profiled.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(summed, "block int, counts binary").collect():
+        order[row["block"]] = np.frombuffer(row["counts"], f"u{len(row['counts']) // SLOTS}")
+    order = order.ravel()
     ranked = np.sort(order)
     mass = np.cumsum(ranked)
     # Four bytes are enough for an order: every task holds it.
@@ -265,9 +286,9 @@ def bit_table(pairs: DataFrame):
     found = pairs.select(F.explode(F.array("a", "b")).alias("class")).select(
         F.shiftright(bit, 6).alias("word"),
         F.expr(f"shiftleft(1L, cast(shiftrightunsigned(class, {64 - BLOOM_BITS}) & 63 as int))").alias("bits"),
-    ).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    ).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    table[found["word"].astype(np.int64)] = found["bits"]
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
     return table
 
 

@@ -367,3 +367,37 @@ def test_components_of_stars_and_chains(spark):
     chain = found([(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (95, 91)])
     assert chain == {**{i: 0 for i in range(41)}, **{i: 90 for i in (90, 91, 95, 100)}}
     assert components(spark.createDataFrame([(5, 2)] * 3, "a bigint, b bigint")).count() == 2
+
+
+def test_jaccard_order_reaches_the_driver_in_blocks(spark):
+    import numpy as np
+
+    made = [" ".join(f"w{(i * k) % 101}" for k in range(60)) for i in range(40)] + ["one two", "", None]
+    profiled = ngram_jaccard.profile(spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string").repartition(3))
+    blocks = profiled.where("block IS NOT NULL").groupBy("block").count().collect()
+    assert len(blocks) * ngram_jaccard.SLOTS <= 1 << ngram_jaccard.SKETCH_BITS and max(r["count"] for r in blocks) <= 3
+    order, cuts = ngram_jaccard.global_order(profiled)
+    at = np.concatenate([ngram_jaccard.slots(s, ngram_jaccard.SKETCH_BITS) for s in ngram_jaccard.shingle_sets(made)])
+    assert (order == np.bincount(at, minlength=len(order))).all() and order.itemsize == 2 and list(cuts) == sorted(cuts)
+
+
+def test_jaccard_near_copies_meet_their_common_text(spark, monkeypatch):
+    """Copies of one text with words of their own are linked with it, not with each other, and are not paired out."""
+    import random
+
+    draw, base = random.Random(5), [f"b{i}" for i in range(150)]
+    made = [(0, " ".join(base))]
+    for i in range(1, 121):
+        own = dict.fromkeys(draw.sample(range(10, 140, 10), 2))
+        made.append((i, " ".join(f"own{i}x{k}" if k in own else w for k, w in enumerate(base))))
+    pairs, write = {}, Steps.write
+
+    def counted(self, df, label):
+        out = write(self, df, label)
+        pairs[label] = out.count()
+        return out
+
+    monkeypatch.setattr(Steps, "write", counted)
+    found = ngram_jaccard.join(spark.createDataFrame(made, "doc_id bigint, text string").repartition(4)).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 121
+    assert pairs["star-pairs"] + pairs["rest-pairs"] < 4 * len(made)

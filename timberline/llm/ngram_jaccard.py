@@ -9,8 +9,8 @@ splits frequent shingles. Partial overlaps are counted by fragment and summed pe
 reach the threshold get their whole overlap, again counted by fragment and summed.
 
 ``links`` gives every linked pair of classes and ``link_counts`` their number per document. ``join`` needs the components only, and
-there groups of near copies are not paired out: first each shingle's members are checked against its smallest
-class only; then pairs are made between components that still share a shingle. Any link
+there groups of near copies are not paired out: first each shingle's members are checked only against the class that has
+fewest rarer shingles before it, as the common text of a group does; then pairs are made between components that still share a shingle. Any link
 between different texts that is not checked joins texts that are linked already.
 
 Null, empty and wordless texts have no shingles and are linked with nothing; a null id has a null component unless
@@ -20,6 +20,7 @@ it is linked. Repeated rows are one class. Long texts are shingled whole, in blo
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,9 +33,11 @@ from pyspark.sql.window import Window
 from timberline.llm.common import Steps, texts
 from timberline.llm.components import components
 
-SKETCH_BITS = 20
+SKETCH_BITS = 23
 # Slots whose counts are one row.
 SLOTS = 1 << 12
+# Larger counts are this in the order, which every task holds: two bytes are enough.
+MOST = (1 << 16) - 1
 BLOOM_BITS = 25
 FRAGMENTS = 4
 LONGEST = 5
@@ -158,7 +161,7 @@ def profile(docs: DataFrame) -> DataFrame:
             kinds = {"doc_id": pa.int64(), "class": pa.int64(), "n": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
             return pa.RecordBatch.from_pydict({c: pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()})
 
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             sets = []
             for found in shingle_sets(batch.column("text").to_pylist()):
@@ -168,27 +171,34 @@ def profile(docs: DataFrame) -> DataFrame:
         blocks = total.reshape(-1, SLOTS)
         used = np.flatnonzero(blocks.any(axis=1)).tolist()
         if used:
-            yield rows(block=used, counts=[narrow(blocks[k]) for k in used])
+            yield rows(block=used, counts=[packed(blocks[k]) for k in used])
 
     return texts(docs).mapInArrow(run, "doc_id bigint, class bigint, n bigint, block int, counts binary")
 
 
-def narrow(counts) -> bytes:
-    """A block's counts in as few bytes each as the largest needs."""
+def packed(counts) -> bytes:
+    """A block's counts in as few bytes each as the largest needs, most of them zero."""
     import numpy as np
 
-    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), 1)
+
+
+def unpacked(data: bytes):
+    import numpy as np
+
+    data = zlib.decompress(data)
+    return np.frombuffer(data, f"u{len(data) // SLOTS}")
 
 
 def summed(blocks):
-    """The sums of a block's counts; the number of bytes tells those of a count."""
+    """The sums of a block's counts."""
     import numpy as np
     import pyarrow as pa
 
     total = np.zeros(SLOTS, np.int64)
-    for counts in blocks.column("counts").to_pylist():
-        total += np.frombuffer(counts, f"u{len(counts) // SLOTS}").astype(np.int64)
-    return pa.table({"block": blocks.column("block")[:1], "counts": pa.array([narrow(total)], pa.binary())})
+    for counts in blocks.column("counts"):
+        total += unpacked(counts.as_py()).astype(np.int64)
+    return pa.table({"block": blocks.column("block")[:1], "counts": pa.array([packed(total)], pa.binary())})
 
 
 def described(profiled: DataFrame) -> DataFrame:
@@ -200,14 +210,13 @@ def global_order(profiled: DataFrame):
     about the same number of shingles. 2^SKETCH_BITS counts reach the driver whatever the input, in blocks."""
     import numpy as np
 
-    order = np.zeros(((1 << SKETCH_BITS) // SLOTS, SLOTS), np.int64)
-    for row in profiled.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(summed, "block int, counts binary").collect():
-        order[row["block"]] = np.frombuffer(row["counts"], f"u{len(row['counts']) // SLOTS}")
-    order = order.ravel()
-    ranked = np.sort(order)
-    mass = np.cumsum(ranked)
-    # Four bytes are enough for an order: every task holds it.
-    return order.clip(max=(1 << 31) - 1).astype(np.int32), ranked[np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS).clip(max=len(ranked) - 1)]
+    order, frequency = np.zeros(((1 << SKETCH_BITS) // SLOTS, SLOTS), np.uint16), np.zeros(MOST + 1, np.int64)
+    sums = profiled.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(summed, "block int, counts binary")
+    for row in sums.collect():
+        order[row["block"]] = unpacked(row["counts"]).clip(max=MOST)
+        frequency += np.bincount(order[row["block"]], minlength=MOST + 1)
+    mass = np.cumsum(frequency * np.arange(MOST + 1))
+    return order.ravel(), np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
 
 
 def postings_of(docs: DataFrame, order, percent: int) -> DataFrame:
@@ -352,13 +361,15 @@ def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     document, their component, and its smallest document."""
     steps = Steps(docs.sparkSession)
     known, order, postings = prepare(docs, percent, steps)
-    # Each shingle's members against its smallest class.
-    hub = postings.groupBy("h").agg(F.min(F.struct("class", "n", "i")).alias("hub"))
+    # Each shingle's members against the class with fewest rarer shingles.
+    hub = postings.groupBy("h").agg(F.min(F.struct("i", "class", "n")).alias("hub"))
     star = postings.join(hub, "h").select(
         F.col("hub.class").alias("a"), F.col("class").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"),
         F.col("hub.i").alias("ia"), F.col("i").alias("ib"))
-    star = steps.write(star.where(can_link(percent, F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))).select(
-        "a", "b", "na", "nb").distinct(), "star-pairs")
+    ends = [F.struct(F.col(c).alias("class"), F.col(n).alias("n")) for c, n in (("a", "na"), ("b", "nb"))]
+    star = star.where(can_link(percent, F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))).select(F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+    star = steps.write(star.select(
+        F.col("low.class").alias("a"), F.col("high.class").alias("b"), F.col("low.n").alias("na"), F.col("high.n").alias("nb")).distinct(), "star-pairs")
     near = linked(docs, star, order, percent, steps)
     label = steps.write(components(near), "star-components")
     # What is left: shingles that several components hold still, paired between components.

@@ -42,6 +42,15 @@ def test_tokens_of_a_batch():
         assert len(set(keys.tolist())) == len(keys) and set(places.tolist()) == set(range(len(keys)))
 
 
+def test_long_texts_are_split_apart():
+    texts = ["", "a " * 30, "b", "c " * 200, "", "d d", "e " * 60, " "]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(len(x))), "text": pa.array(x, pa.string())}) for x in (texts, [], ["f"])]
+    found = [batch.column("text").to_pylist() for batch in ngram_lm.parts(batches, 100)]
+    assert sum(found, []) == [*texts, "f"] and all(sum(map(len, x[:-1])) < 100 for x in found) and len(found) == 4
+    tokens = [ngram_lm.tokens_of(batch.column("text")) for batch in ngram_lm.parts(batches, 100)]
+    assert sum((sizes.tolist() for *_, sizes in tokens), []) == [len(words(t)) + 2 for t in (*texts, "f")]
+
+
 @pytest.mark.parametrize("size", [0, 1, 500])
 def test_packed_rows_come_back(size):
     draw = np.random.default_rng(3)
@@ -73,13 +82,12 @@ def test_followers_of_wide_numbers(tmp_path):
                 grams[context, context % 7, word] = draw.choice([1, 2, 3, 300, ngram_lm.room(bits) if bits <= 28 else 70_000, 1 << 31])
         root, asked = str(tmp_path / str(bits)), [*grams, (1, 1, most), (50, 0, 0), (2, 3, 1), (ngram_lm.NONE, 0, 0)]
         columns, n = [np.array(c, np.int64) for c in zip(*sorted(grams))], np.array([grams[g] for g in sorted(grams)], np.int64)
-        rows = pa.Table.from_batches(ngram_lm.deal_grams(3, columns, n, 4)).to_batches()
-        writes = []
-        frame = type("Rows", (), {"mapInArrow": lambda self, run, schema: writes.extend(run(iter(rows)))})
+        (rows,) = ngram_lm.deal_grams(3, columns, n, 4)
+        frame = type("Rows", (), {"mapInArrow": lambda self, run, schema: [list(run(iter([rows.slice(i, 1)]))) for i in range(rows.num_rows)]})
         ngram_lm.store_grams(frame(), 3, root, 4, bits)
         contexts = ngram_lm.Shards(root, "contexts3", 4, ngram_lm.CONTEXT)
         columns = [np.array(c, np.int64) for c in zip(*asked)]
-        found, fields = contexts.followers(ngram_lm.gram_keys(columns[:2]), columns[2], bits)
+        found, fields, _ = contexts.followers(ngram_lm.gram_keys(columns[:2]), columns[2], bits)
         assert found.tolist() == [grams.get(g, 0) for g in asked]
         of = [[n for g, n in grams.items() if g[:2] == a[:2]] for a in asked]
         assert fields.T.tolist() == [[sum(x), x.count(1), x.count(2), sum(m > 2 for m in x)] for x in of]

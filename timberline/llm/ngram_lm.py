@@ -29,6 +29,8 @@ from timberline.session import scratch_path
 
 # Tokens that are summed in a task before rows are sent on.
 CHUNK = 2_000_000
+# Bytes of texts that are split into words at once, besides the last of them.
+PART = 1 << 24
 ORDER = 3
 WORDS_KEPT = 400_000
 CONTEXT = ("total", "n1", "n2", "n3")
@@ -73,6 +75,18 @@ def token_hashes(text: str, hashes: Hashes):
     return out
 
 
+def parts(batches, size: int = PART):
+    """The batches, cut where their texts are long."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = firsts((np.cumsum(lengths) - lengths) // size)
+        for low, high in zip(first, np.r_[first[1:], len(lengths)]):
+            yield batch.slice(low, high - low)
+
+
 def tokens_of(column):
     """Of a batch's texts: the hashes of its distinct words with start and end, the place there of each token, and the tokens of each text.
 
@@ -279,13 +293,15 @@ def taken(table: dict, column: str, at):
 
 
 def save(root: str, name: str, shard: int, columns: dict) -> None:
-    """One file: the length of its head, the head, then the arrays; those but keys in the smallest type that holds them."""
+    """One file: the length of its head, the head, then the arrays; those but keys and places of contexts in the smallest type that holds them."""
     import numpy as np
 
     os.makedirs(root, exist_ok=True)
     head, parts, size = {}, [], 0
     for column, values in columns.items():
-        if not column.endswith("key"):
+        if column == "many":
+            values = values.astype(np.int32 if values.max(initial=0) < 1 << 31 else np.int64)
+        elif not column.endswith("key"):
             values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
         head[column] = values.dtype.str, size, len(values)
         parts.append(values.tobytes().ljust(-(-values.nbytes // 8) * 8, b"\0"))
@@ -327,6 +343,28 @@ def found_at(stored, keys):
     return at, stored[at] == keys
 
 
+def places_in(stored, places):
+    """How many stored places lie before each, and whether it is one of them. Both are of one type, so none is copied to search."""
+    import numpy as np
+
+    before = np.searchsorted(stored, places.astype(stored.dtype))
+    if not len(stored):
+        return before, np.zeros(len(places), bool)
+    return before, (stored[np.minimum(before, len(stored) - 1)] == places) & (before < len(stored))
+
+
+def pair_counts(table: dict, keys, at, hit):
+    """Most pairs are contexts too, found at ``at`` where ``hit``, and lie in the order of these; the others are kept by themselves."""
+    import numpy as np
+
+    out, rest = np.zeros(len(keys), np.int64), np.flatnonzero(~hit)
+    if len(rest) < len(keys):
+        out[hit] = taken(table, "n", at[hit])
+    at, hit = found_at(table["own_key"], keys[rest])
+    out[rest[hit]] = table["own_n"][at[hit]]
+    return out
+
+
 class Shards:
     def __init__(self, root: str, name: str, shards: int, fields: tuple[str, ...]):
         self.root, self.name, self.shards, self.fields, self.open = root, name, shards, fields, {}
@@ -366,27 +404,25 @@ class Shards:
             out[i, mine[hit]] = rank * self.shards + k if field == "number" else taken(table, field, rank)
 
     def pair_fields(self, k, table, keys, mine, out):
-        """By the key of a pair: most pairs are contexts too and lie in the order of these, the others are kept by themselves."""
-        if "key" in table:
-            at, hit = found_at(table["key"], keys)
-            out[0, mine[hit]] = taken(table, "n", at[hit])
-        at, hit = found_at(table["own_key"], keys)
-        out[0, mine[hit]] = table["own_n"][at[hit]]
+        out[0, mine] = pair_counts(table, keys, *found_at(table.get("key", keys[:0]), keys))
 
     def followers(self, keys, words, bits: int):
-        """Of contexts and words after them: the counts of the n-grams, and the fields of the contexts."""
+        """Of contexts and words after them: the counts of the n-grams, the fields of the contexts, and, of pairs, their own counts."""
         import numpy as np
 
-        n, fields = np.zeros(len(keys), np.int64), np.zeros((len(CONTEXT), len(keys)), np.int64)
+        n, fields, own = np.zeros(len(keys), np.int64), np.zeros((len(CONTEXT), len(keys)), np.int64), np.zeros(len(keys), np.int64)
         mask = (1 << bits) - 1
         for _, table, mine in self.split(keys):
-            at, hit = found_at(table["key"], keys[mine])
+            sought = keys[mine]
+            at, hit = found_at(table.get("key", sought[:0]), sought)
+            if self.name == "pairs":
+                own[mine] = pair_counts(table, sought, at, hit)
+            if not hit.any():
+                continue
             at, mine = at[hit], mine[hit]
-            many, more = table["many"].astype(np.int64), table["more"].astype(np.int64)
-            before = np.searchsorted(many, at)
-            several = np.r_[many, -1][before] == at
+            before, several = places_in(table["many"], at)
             # Contexts with one follower hold one place each, the others so many more.
-            low = at + more[before]
+            low = at + table["more"][before]
             wanted = words[mine]
             entries = table["followers"][low]
             first = self.counts(table, low, entries, bits)
@@ -396,14 +432,14 @@ class Shards:
             n[mine] = first * ((entries & mask) == wanted)
 
             mine, before, low, wanted = mine[several], before[several], low[several], wanted[several]
-            high = low + (more[before + 1] - more[before])
+            high = low + (table["more"][before + 1] - table["more"][before])
             while len(open_ := np.flatnonzero(low < high)):
                 middle = (low[open_] + high[open_]) >> 1
                 below = (table["followers"][middle] & mask).astype(np.int64) < wanted[open_]
                 low[open_[below]], high[open_[~below]] = middle[below] + 1, middle[~below]
             entries = table["followers"][low]
             n[mine] = self.counts(table, low, entries, bits) * ((entries & mask) == wanted)
-        return n, fields
+        return n, fields, own
 
     @staticmethod
     def counts(table: dict, at, entries, bits: int):
@@ -430,19 +466,16 @@ def ends_of(sizes, order: int):
     return np.flatnonzero(at >= order - 1)
 
 
-def by_shard(batches, level: int, finish):
-    """``finish(shard, data)`` of each shard's rows of a level; the partition is in the order of its shards. Other rows pass."""
+def of_shard(batches, level: int, finish):
+    """``finish(shard, data)`` of the rows of a level in a partition, which are those of one shard. Other rows pass."""
     shard, held = None, []
     for batch in batches:
         for of, k, data in zip(*[column.to_pylist() for column in batch.columns]):
-            if of != level:
+            if of == level:
+                shard = k
+                held.append(data)
+            else:
                 yield as_rows([of], [k], [data])
-                continue
-            if held and k != shard:
-                yield from finish(shard, held)
-                held = []
-            shard = k
-            held.append(data)
     if held:
         yield from finish(shard, held)
 
@@ -464,9 +497,7 @@ def count_words(train: DataFrame, shards: int) -> DataFrame:
             return keys, n
 
         held, size, most = [], 0, WORDS_KEPT
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts(batches):
             keys, places, _ = tokens_of(batch.column("text"))
             n = np.bincount(places, minlength=len(keys))
             n[-2] = 0  # the start of a text is no word of it
@@ -499,7 +530,7 @@ def store_words(rows: DataFrame, root: str, shards: int) -> DataFrame:
             save(root, "words", shard, {"key": keys, "rank": rank} | small("count", n[by_count]))
             yield pa.RecordBatch.from_pydict({"size": [len(keys)], "tokens": [int(n.sum())], "types": [int((n > 0).sum())]})
 
-        yield from by_shard(batches, OF_WORDS, finish)
+        yield from of_shard(batches, OF_WORDS, finish)
 
     return rows.mapInArrow(run, "size bigint, tokens bigint, types bigint")
 
@@ -522,9 +553,7 @@ def count_ngrams(train: DataFrame, order: int, root: str, shards: int, bits: int
                 yield from deal_grams(k, *distinct_grams([flat[at + i] for i in range(k)], one[:len(at)], bits), shards)
 
         held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts(batches):
             keys, places, sizes = tokens_of(batch.column("text"))
             numbers, count = vocabulary.look_up(keys)
             if not np.delete(count, -2).all():
@@ -576,7 +605,7 @@ def store_grams(rows: DataFrame, order: int, root: str, shards: int, bits: int)
                 "followers": word.astype(np.uint64) | np.minimum(n, room(bits)).astype(np.uint64) << np.uint64(bits),
                 "over_at": over, "over": n[over]})
 
-        yield from by_shard(batches, order, finish)
+        yield from of_shard(batches, order, finish)
 
     return rows.mapInArrow(run, ROWS)
 
@@ -608,7 +637,7 @@ def store_pairs(rows: DataFrame, root: str, shards: int, bits: int) -> DataFrame
             of_contexts[at[hit]] = n[hit]
             save(root, "pairs", shard, small("n", of_contexts) | {"own_key": key[~hit], "own_n": n[~hit]})
 
-        yield from by_shard(batches, 2, finish)
+        yield from of_shard(batches, 2, finish)
 
     return rows.mapInArrow(run, ROWS)
 
@@ -633,7 +662,7 @@ def store_fields(rows: DataFrame, root: str, shards: int) -> DataFrame:
             row = [*((before == i).sum() for i in (1, 2, 3, 4)), (before > 2).sum(), before.sum()]
             yield pa.RecordBatch.from_pydict({"level": pa.array([1], pa.int32())} | {c: [int(x)] for c, x in zip(columns, row)})
 
-        for batch in by_shard(batches, OF_WORDS, finish):
+        for batch in of_shard(batches, OF_WORDS, finish):
             if "data" not in batch.schema.names:
                 yield batch
                 continue
@@ -687,9 +716,9 @@ def interpolated(discount: list[float], n, context, lower):
 
 
 def open_model(model: dict) -> tuple:
-    """Pairs, words, and the contexts of each higher order."""
+    """Pairs, which are the contexts of order 3 too, words, and the contexts of each higher order."""
     shards = lambda name, fields: Shards(model["root"], name, model["shards"], fields)
-    return shards("pairs", ("n",)), shards("words", FIELDS), [shards(f"contexts{k}", CONTEXT) for k in range(3, model["order"] + 1)]
+    return shards("pairs", ("n",)), shards("words", FIELDS), [shards(f"contexts{k}", CONTEXT) for k in range(4, model["order"] + 1)]
 
 
 def described(vocabulary: Shards, keys):
@@ -713,14 +742,22 @@ def scored(model: dict, opened: tuple, keys, places, sizes):
 
     pairs, vocabulary, higher = opened
     fields = described(vocabulary, keys)
-    ends = ends_of(sizes, 2)
-    count, base, own = lower_orders(model, pairs, fields[:, places[ends - 1]], fields[:, places[ends]])
+    number, ends = fields[0, places], ends_of(sizes, 2)
+    keys = gram_keys([number[ends - 1], number[ends]])
+    if model["order"] > 2:
+        after, context, n = pairs.followers(keys, number[np.minimum(ends + 1, len(number) - 1)], model["bits"])
+    else:
+        (n,) = pairs.look_up(keys)
+    count, base, own = lower_orders(model, n, fields[:, places[ends - 1]], fields[:, places[ends]])
+    if model["order"] > 2:
+        # Pairs that another one of their text follows.
+        pair = np.flatnonzero(np.diff(ends) == 1)
+        own[pair + 1] = interpolated(model["d3"], after[pair], context[:, pair], own[pair + 1])
     of = np.zeros(len(places))
     of[ends] = own
-    number = fields[0, places]
-    for k, contexts in enumerate(higher, 3):
+    for k, contexts in enumerate(higher, 4):
         at = ends_of(sizes, k)
-        n, context = contexts.followers(gram_keys([number[at - k + i] for i in range(1, k)]), number[at], model["bits"])
+        n, context, _ = contexts.followers(gram_keys([number[at - k + i] for i in range(1, k)]), number[at], model["bits"])
         of[at] = interpolated(model[f"d{k}"], n, context, of[at])
     return count, base, np.log10(of[ends])
 
@@ -729,15 +766,16 @@ def log_probabilities(model: dict, pairs: Shards, vocabulary: Shards, left, righ
     """(count of the right word, log10 base probability, log10 probability by the orders up to 2) of each bigram."""
     import numpy as np
 
-    count, base, own = lower_orders(model, pairs, described(vocabulary, left), described(vocabulary, right))
+    left, right = described(vocabulary, left), described(vocabulary, right)
+    (n,) = pairs.look_up(gram_keys([left[0], right[0]]))
+    count, base, own = lower_orders(model, n, left, right)
     return count, base, np.log10(own)
 
 
-def lower_orders(model: dict, pairs: Shards, left, right):
-    """The same of the words' fields, the last not as a logarithm."""
+def lower_orders(model: dict, n, left, right):
+    """The same of the counts of pairs and the fields of their words, the last not as a logarithm."""
     import numpy as np
 
-    (n,) = pairs.look_up(gram_keys([left[0], right[0]]))
     _, count, before = right[:3]
     d1 = np.r_[0.0, model["d1"]]
     uniform = 1.0 / (model["types"] + 1)
@@ -759,9 +797,7 @@ def score(docs: DataFrame, holdout: int = 7, held: int = 2, order: int = ORDER)
         import pyarrow as pa
 
         opened = open_model(model)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts(batches):
             keys, places, sizes = tokens_of(batch.column("text"))
             count, base, own = scored(model, opened, keys, places, sizes)
             starts = np.r_[0, np.cumsum(sizes - 1)[:-1]]
